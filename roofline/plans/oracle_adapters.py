@@ -165,7 +165,7 @@ SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS run_id,
             ELSE 'delivered' END AS message,
        'src' || CAST(k % 4 AS VARCHAR) AS source,
        CASE WHEN event_type IN ('view', 'click') THEN k END AS count,
-       ts AS at,
+       ts AS "at",
        CAST(event_id AS VARCHAR) AS event_id,
        event_id AS event_no,
        CAST(user_id AS VARCHAR) AS host
@@ -173,11 +173,11 @@ FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM even
 
 _STATUS = "[" + ", ".join("NULL" if s is None else str(s) for s in STATUS_BY_K) + "]"
 CTES["attempts"] = ((), f"""
-SELECT listing_id, cycle, at, event_id, channel, status, retry_after,
-       row_number() OVER (PARTITION BY listing_id, cycle ORDER BY at, event_id) AS attempt
+SELECT listing_id, cycle, "at", event_id, channel, status, retry_after,
+       row_number() OVER (PARTITION BY listing_id, cycle ORDER BY "at", event_id) AS attempt
 FROM (SELECT CAST(user_id AS VARCHAR) AS listing_id,
              CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS cycle,
-             ts AS at, event_id,
+             ts AS "at", event_id,
              CASE WHEN event_type IN ('view', 'error') THEN 'telegram'
                   WHEN event_type IN ('click', 'signup') THEN 'email' ELSE 'ha' END AS channel,
              {_STATUS}[k % 10 + 1] AS status,
