@@ -124,8 +124,8 @@ def detail_rows(t: Tables) -> DataFrame:
         F.initcap("p_type").alias("apartment_type"),
         F.when(F.col("l_linenumber") == 6, F.lit(None).cast("string"))
         .otherwise(F.date_format("l_shipdate", "MMMM yyyy")).alias("available_from"),
-        F.round(F.col("l_tax") * 1000, 2).alias("additional_costs"),
-        F.round(F.col("l_extendedprice") / 1000 + F.col("l_tax") * 1000, 2).alias("warm_rent"),
+        (F.col("l_tax") * 1000).alias("additional_costs"),
+        (F.col("l_extendedprice") / 1000 + F.col("l_tax") * 1000).alias("warm_rent"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit(" €")).alias("deposit"),
         F.when(F.col("l_linenumber") % 3 == 0, F.array(F.lit("Balkon"), F.col("p_brand")))
         .otherwise(F.array().cast("array<string>")).alias("features"),
@@ -217,3 +217,48 @@ def delivery_attempts(t: Tables) -> DataFrame:
         F.when(k % 2 == 0, F.floor("value")).alias("retry_after"),
     )
     return base.withColumn("attempt", F.row_number().over(w))
+
+
+# --------------------------------------------------------------------------- A
+# Fixed values of the A adapter.
+RESULT_STATUS_BY_SIZE = [None, "", "new", "interested"]
+AVAILABLE_BY_SIZE = [True, False, None]
+REMOVED_BODY = "Diese Anzeige ist nicht mehr verfügbar."
+ALIVE_BODY = "Schöne Wohnung, Anzeige aktiv"
+
+
+def results_table(t: Tables) -> DataFrame:
+    """A: one results row per part."""
+    p = t.part
+    k = F.col("p_partkey")
+    source = F.when(k % 10 == 0, "rss").otherwise("kleinanzeigen")
+    status = F.element_at(F.array(*[F.lit(v).cast("string") for v in RESULT_STATUS_BY_SIZE]),
+                          (F.col("p_size") % 4 + 1).cast("int"))
+    avail = F.element_at(F.array(*[F.lit(v).cast("boolean") for v in AVAILABLE_BY_SIZE]),
+                         (F.col("p_size") % 3 + 1).cast("int"))
+    checked = F.when(k % 5 != 0, F.lit("2024-01-01").cast("timestamp_ntz")
+                     + F.make_interval(days=(k % 7).cast("int")))
+    return p.select(
+        F.concat(source, F.lit(":"), k.cast("string")).alias("listing_id"),
+        F.col("p_name").alias("title"),
+        F.when(k % 13 != 0, F.concat(F.lit("https://www.kleinanzeigen.de/s-anzeige/"), k.cast("string"))).alias("url"),
+        source.alias("source"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("wohnung-mieten")).alias("search_type"),
+        status.alias("status"),
+        F.col("p_retailprice").alias("price"), F.col("p_size").cast("double").alias("sqm"),
+        avail.alias("available"), checked.alias("last_checked"),
+        F.lit(None).cast("timestamp_ntz").alias("removed_at"))
+
+
+def recheck_fetches(t: Tables) -> DataFrame:
+    """A: the latest lineitem of each part stands in for its recheck fetch."""
+    li = t.lineitem
+    k = F.col("l_partkey")
+    source = F.when(k % 10 == 0, "rss").otherwise("kleinanzeigen")
+    code = (F.when(F.col("l_linenumber") == 1, 404).when(F.col("l_linenumber") == 2, 410)
+            .when(F.col("l_linenumber") == 3, 403).when(F.col("l_linenumber") == 4, 500).otherwise(200))
+    body = F.when(F.col("l_returnflag") == "R", F.lit(REMOVED_BODY)).otherwise(F.lit(ALIVE_BODY))
+    order = F.struct("l_shipdate", *LINE_KEY)
+    latest = li.groupBy(F.concat(source, F.lit(":"), k.cast("string")).alias("listing_id")).agg(
+        F.max_by(F.struct(code.alias("http_status"), body.alias("body")), order).alias("f"))
+    return latest.select("listing_id", "f.http_status", "f.body")

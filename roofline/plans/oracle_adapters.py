@@ -68,19 +68,19 @@ CTES["seen_all"] = (("seen1", "seen2"), "SELECT key FROM seen1 UNION SELECT key
 
 CTES["details"] = ((), f"""
 SELECT listing_id,
-       arg_min(l_extendedprice / 1000 + 1, okey) AS price,
-       arg_min(l_linenumber / 2.0::DOUBLE + 0.5, okey) AS rooms,
-       arg_min(l_quantity + 1, okey) AS sqm,
-       arg_min(CASE WHEN l_linenumber % 2 = 0 THEN 'detail ' || p_type || ' ' || p_brand ELSE '' END, okey) AS description,
-       arg_min(CASE WHEN l_linenumber <> 5 THEN l_linenumber - 2.0::DOUBLE END, okey) AS bedrooms,
-       arg_min(1.0::DOUBLE, okey) AS bathrooms,
-       arg_min(CAST(l_linenumber AS VARCHAR), okey) AS floor,
-       arg_min(upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)), okey) AS apartment_type,
-       arg_min(CASE WHEN l_linenumber <> 6 THEN strftime(l_shipdate, '%B %Y') END, okey) AS available_from,
-       arg_min(l_tax * 1000, okey) AS additional_costs,
-       arg_min(l_extendedprice / 1000 + l_tax * 1000, okey) AS warm_rent,
-       arg_min(CAST(l_orderkey AS VARCHAR) || ' €', okey) AS deposit,
-       arg_min(CASE WHEN l_linenumber % 3 = 0 THEN ['Balkon', p_brand] ELSE []::VARCHAR[] END, okey) AS features
+       arg_min_null(l_extendedprice / 1000 + 1, okey) AS price,
+       arg_min_null(l_linenumber / 2.0::DOUBLE + 0.5, okey) AS rooms,
+       arg_min_null(l_quantity + 1, okey) AS sqm,
+       arg_min_null(CASE WHEN l_linenumber % 2 = 0 THEN 'detail ' || p_type || ' ' || p_brand ELSE '' END, okey) AS description,
+       arg_min_null(CASE WHEN l_linenumber <> 5 THEN l_linenumber - 2.0::DOUBLE END, okey) AS bedrooms,
+       arg_min_null(1.0::DOUBLE, okey) AS bathrooms,
+       arg_min_null(CAST(l_linenumber AS VARCHAR), okey) AS floor,
+       arg_min_null(upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)), okey) AS apartment_type,
+       arg_min_null(CASE WHEN l_linenumber <> 6 THEN strftime(l_shipdate, '%B %Y') END, okey) AS available_from,
+       arg_min_null(l_tax * 1000, okey) AS additional_costs,
+       arg_min_null(l_extendedprice / 1000 + l_tax * 1000, okey) AS warm_rent,
+       arg_min_null(CAST(l_orderkey AS VARCHAR) || ' €', okey) AS deposit,
+       arg_min_null(CASE WHEN l_linenumber % 3 = 0 THEN ['Balkon', p_brand] ELSE []::VARCHAR[] END, okey) AS features
 FROM (SELECT {_SOURCE} || ':' || {_NATIVE} AS listing_id, l.*, p.p_type, p.p_brand,
              (l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_shipdate, l.l_quantity) AS okey
       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
@@ -236,3 +236,73 @@ def signature_sql(a: str) -> str:
 
 
 ORDER_SQL = "search_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity"
+
+
+from .adapters import ALIVE_BODY, REMOVED_BODY  # noqa: E402
+
+CTES["results"] = ((), """
+SELECT CASE WHEN p_partkey % 10 = 0 THEN 'rss' ELSE 'kleinanzeigen' END || ':' || CAST(p_partkey AS VARCHAR) AS listing_id,
+       p_name AS title,
+       CASE WHEN p_partkey % 13 <> 0 THEN 'https://www.kleinanzeigen.de/s-anzeige/' || CAST(p_partkey AS VARCHAR) END AS url,
+       CASE WHEN p_partkey % 10 = 0 THEN 'rss' ELSE 'kleinanzeigen' END AS source,
+       CASE WHEN p_size % 2 = 0 THEN 'wohnung-mieten' END AS search_type,
+       ([NULL, '', 'new', 'interested']::VARCHAR[])[p_size % 4 + 1] AS status,
+       p_retailprice AS price, CAST(p_size AS DOUBLE) AS sqm,
+       ([TRUE, FALSE, NULL]::BOOLEAN[])[p_size % 3 + 1] AS available,
+       CASE WHEN p_partkey % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(p_partkey % 7 AS INTEGER)) END AS last_checked,
+       CAST(NULL AS TIMESTAMP) AS removed_at
+FROM part""")
+
+CTES["fetches"] = ((), f"""
+SELECT listing_id,
+       arg_max(CASE l_linenumber WHEN 1 THEN 404 WHEN 2 THEN 410 WHEN 3 THEN 403 WHEN 4 THEN 500 ELSE 200 END, okey) AS http_status,
+       arg_max(CASE WHEN l_returnflag = 'R' THEN '{REMOVED_BODY}' ELSE '{ALIVE_BODY}' END, okey) AS body
+FROM (SELECT CASE WHEN l_partkey % 10 = 0 THEN 'rss' ELSE 'kleinanzeigen' END || ':' || CAST(l_partkey AS VARCHAR) AS listing_id,
+             l.*, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS okey
+      FROM lineitem l) x
+GROUP BY listing_id""")
+
+
+def cycle_ctes(portal: str = "board", cap: int = 15) -> dict[str, str]:
+    """The cycle chain (§3.1) as CTEs over ``listings``, ``searches``, ``seen_all``
+    and ``details``."""
+    hay = None  # noqa: F841
+    return {
+        "fetched": "SELECT l.* FROM listings l WHERE l.search_id IN (SELECT search_id FROM searches WHERE enabled AND url <> '')",
+        "matched": f"SELECT l.*, s.search_type FROM fetched l JOIN searches s ON l.search_id = s.search_id WHERE {criteria_sql('l', 's')}",
+        "firsts": f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY {ORDER_SQL}) AS rn
+FROM matched) x WHERE rn = 1""",
+        "new1": "SELECT f.* FROM firsts f WHERE NOT EXISTS (SELECT 1 FROM seen_all s WHERE s.key = f.listing_id)",
+        "enr": f"""SELECT n.listing_id, n.source, n.title, n.url,
+  coalesce(n.price, d.price) AS price, coalesce(n.rooms, d.rooms) AS rooms, coalesce(n.sqm, d.sqm) AS sqm,
+  n.location, coalesce(nullif(d.description, ''), n.description) AS description, n.thumbnail,
+  CASE WHEN len(d.features) > 0 THEN d.features ELSE n.features END AS features,
+  d.bedrooms, d.bathrooms, d.floor, d.apartment_type, d.available_from, d.additional_costs, d.warm_rent, d.deposit,
+  n.search_id, n.search_type, n.l_orderkey, n.l_linenumber, n.l_partkey, n.l_suppkey, n.l_shipdate, n.l_quantity,
+  d.listing_id IS NOT NULL AS has_detail
+FROM new1 n LEFT JOIN details d ON d.listing_id = n.listing_id AND n.source = '{portal}'""",
+        "refiltered": f"""SELECT e.* FROM enr e JOIN searches s ON s.search_id = e.search_id
+WHERE s.enabled AND s.url <> '' AND {criteria_sql('e', 's')}""",
+        "csigs": f"SELECT r.*, {signature_sql('r')} AS signature FROM refiltered r",
+        "cranked": f"""SELECT *, first_value(listing_id) OVER (PARTITION BY signature ORDER BY {ORDER_SQL}) AS first_id
+FROM csigs WHERE signature IS NOT NULL""",
+        "kept": """SELECT * EXCLUDE (first_id) FROM cranked WHERE listing_id = first_id AND signature NOT IN (SELECT key FROM seen_all)
+UNION ALL SELECT * FROM csigs WHERE signature IS NULL""",
+        "cdropped": """SELECT * EXCLUDE (first_id) FROM cranked WHERE listing_id <> first_id OR signature IN (SELECT key FROM seen_all)""",
+        "individual": f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS position FROM kept) x
+WHERE position <= {cap}""",
+        "overflow": f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {ORDER_SQL}) AS position FROM kept) x
+WHERE position > {cap}""",
+    }
+
+
+def html_escape_sql(x: str) -> str:
+    return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+            f"'\"', '&quot;'), '''', '&#x27;')")
+
+
+def format_attrs_sql(a: str) -> str:
+    return (f"concat_ws(' · ', CASE WHEN {a}.price IS NOT NULL THEN CAST(CAST(round_even({a}.price, 0) AS BIGINT) AS VARCHAR) || ' €' END, "
+            f"CASE WHEN {a}.rooms IS NOT NULL THEN format('{{:g}}', {a}.rooms) || ' Zi' END, "
+            f"CASE WHEN {a}.sqm IS NOT NULL THEN format('{{:g}}', {a}.sqm) || ' m²' END, "
+            f"CASE WHEN {a}.location <> '' THEN {a}.location END)")
