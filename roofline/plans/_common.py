@@ -16,7 +16,7 @@ def flat_arrays(df: DataFrame, sep: str = "|") -> DataFrame:
 
 
 def clean_searches(t: A.Tables) -> DataFrame:
-    return read_searches(A.searches_raw(t), A.default_criteria(t.spark))
+    return t.memo("clean_searches", lambda: read_searches(A.searches_raw(t), A.default_criteria(t.spark)))
 
 
 def fetched(t: A.Tables) -> DataFrame:

@@ -47,6 +47,13 @@ class Tables:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
+        self._memo: dict = {}
+
+    def memo(self, key: str, build):
+        """Build a sub-plan once per query (DataFrames are immutable plans)."""
+        if key not in self._memo:
+            self._memo[key] = build()
+        return self._memo[key]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -61,6 +68,10 @@ def _pick(values, n):
 
 # --------------------------------------------------------------------------- L
 def listings(t: Tables) -> DataFrame:
+    return t.memo("listings", lambda: _listings(t))
+
+
+def _listings(t: Tables) -> DataFrame:
     """L: one listing row per lineitem, carrying its fetch order."""
     li = t.lineitem
     dims = (t.supplier.select("s_suppkey", "s_nationkey")
@@ -95,6 +106,10 @@ def listings(t: Tables) -> DataFrame:
 
 
 def seen_stores(t: Tables):
+    return t.memo("seen_stores", lambda: _seen_stores(t))
+
+
+def _seen_stores(t: Tables):
     """Two seen stores: ids shipped before 1996 with return flag R, and with A."""
     base = listings(t).filter(F.col("_shipdate") < F.lit(SEEN_CUTOFF).cast("timestamp_ntz"))
     cols = [F.col("listing_id").alias("key"), "title", "url", "source"]
@@ -104,6 +119,10 @@ def seen_stores(t: Tables):
 
 
 def detail_rows(t: Tables) -> DataFrame:
+    return t.memo("detail_rows", lambda: _detail_rows(t))
+
+
+def _detail_rows(t: Tables) -> DataFrame:
     """Detail-page fields for listings with l_linenumber >= 4: the first lineitem per
     listing id (by the unique key) supplies them."""
     li = t.lineitem.filter(F.col("l_linenumber") >= 4)
@@ -138,6 +157,10 @@ def detail_rows(t: Tables) -> DataFrame:
 
 # --------------------------------------------------------------------------- S
 def searches_raw(t: Tables) -> DataFrame:
+    return t.memo("searches_raw", lambda: _searches_raw(t))
+
+
+def _searches_raw(t: Tables) -> DataFrame:
     """S: one raw search row per nation; every cell is text or null."""
     n = F.col("n_nationkey")
     name = F.lower(F.col("n_name"))
@@ -165,6 +188,10 @@ def default_criteria(spark: SparkSession) -> DataFrame:
 
 # --------------------------------------------------------------------------- R
 def run_events(t: Tables) -> DataFrame:
+    return t.memo("run_events", lambda: _run_events(t))
+
+
+def _run_events(t: Tables) -> DataFrame:
     """R: the events table as run events of cycles (one run per user and day)."""
     e = t.events
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -200,6 +227,10 @@ CHANNEL_BY_TYPE = {"view": "telegram", "error": "telegram", "click": "email",
 
 
 def delivery_attempts(t: Tables) -> DataFrame:
+    return t.memo("delivery_attempts", lambda: _delivery_attempts(t))
+
+
+def _delivery_attempts(t: Tables) -> DataFrame:
     """V: one send attempt per event: listing = user, cycle = day, attempt = row
     number within (listing, cycle) by (ts, event_id)."""
     e = t.events
@@ -228,6 +259,10 @@ ALIVE_BODY = "Schöne Wohnung, Anzeige aktiv"
 
 
 def results_table(t: Tables) -> DataFrame:
+    return t.memo("results_table", lambda: _results_table(t))
+
+
+def _results_table(t: Tables) -> DataFrame:
     """A: one results row per part."""
     p = t.part
     k = F.col("p_partkey")
@@ -251,6 +286,10 @@ def results_table(t: Tables) -> DataFrame:
 
 
 def recheck_fetches(t: Tables) -> DataFrame:
+    return t.memo("recheck_fetches", lambda: _recheck_fetches(t))
+
+
+def _recheck_fetches(t: Tables) -> DataFrame:
     """A: the latest lineitem of each part stands in for its recheck fetch."""
     li = t.lineitem
     k = F.col("l_partkey")

@@ -20,6 +20,8 @@ _BASE = ("listings", "searches", "seen_all", "details")
 
 
 def cycle(t, prime=False, seen=None):
+    if not prime and seen is None:
+        return t.memo("cycle", lambda: cycle(t, prime=False, seen=D.seen_union(*A.seen_stores(t))))
     one, two = A.seen_stores(t)
     seen = D.seen_union(one, two) if seen is None else seen
     return run_cycle(A.listings(t), clean_searches(t), seen, A.detail_rows(t), A.LISTING_ORDER, NOW,

@@ -29,11 +29,11 @@ FROM matched) x WHERE rn = 1"""}
 
 
 def matched(t):
-    return M.match_per_search(fetched(t), active_searches(clean_searches(t)))
+    return t.memo("matched", lambda: M.match_per_search(fetched(t), active_searches(clean_searches(t))))
 
 
 def firsts(t):
-    return M.first_match_wins(matched(t), ORDER)
+    return t.memo("firsts", lambda: M.first_match_wins(matched(t), ORDER))
 
 
 @register("match_per_search", sql=with_ctes("listings", "searches", extra=_MATCHED) + """

@@ -56,15 +56,15 @@ SELECT * FROM (SELECT *, CASE WHEN consecutive_failures = {THRESHOLD} THEN 'aler
 
 
 def events(t):
-    return R.number_events(A.run_events(t), EVENT_ORDER)
+    return t.memo("events", lambda: R.number_events(A.run_events(t), EVENT_ORDER))
 
 
 def runs(t):
-    return R.run_records(events(t))
+    return t.memo("runs", lambda: R.run_records(events(t)))
 
 
 def streaks(t):
-    return H.failure_streak(runs(t))
+    return t.memo("streaks", lambda: H.failure_streak(runs(t)))
 
 
 @register("event_seq", sql=with_ctes("run_events", extra=_EV) + "SELECT run_id, event_id, seq FROM ev")
