@@ -77,7 +77,7 @@ def page_url(url, n) -> Column:
     segs = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.rlike(_PAGE_SEGMENT))
     page_seg = F.array(F.concat(F.lit(PAGE_SEGMENT_FMT), n.cast("string")))
     n_segs = F.size(segs)
-    last_is_code = (n_segs > 0) & F.element_at(segs, -1).rlike(_CODE_SEGMENT)
+    last_is_code = (n_segs > 0) & F.coalesce(F.try_element_at(segs, F.lit(-1)).rlike(_CODE_SEGMENT), F.lit(False))
     paged = F.when(last_is_code, F.concat(F.slice(segs, 1, n_segs - 1), page_seg, F.slice(segs, -1, 1))) \
         .otherwise(F.concat(segs, page_seg))
     final = F.when(n > 1, paged).otherwise(segs)

@@ -71,12 +71,12 @@ def tag_numbers(tags) -> tuple[Column, Column]:
     tags = F.col(tags) if isinstance(tags, str) else tags
     has_z = lambda t: F.contains(F.lower(t), F.lit("zimmer"))
     room_hit = F.array_position(F.transform(tags, lambda t: has_z(t) & parse_number(t).isNotNull()), F.lit(True))
-    rooms = F.when(room_hit > 0, parse_number(F.element_at(tags, room_hit.cast("int"))))
+    rooms = F.when(room_hit > 0, parse_number(F.try_element_at(tags, room_hit.cast("int"))))
     low = lambda t: F.lower(t)
     sqm_vals = F.transform(tags, lambda t, i: F.when(
         (F.contains(low(t), F.lit("m²")) | F.contains(low(t), F.lit("m2")))
         & (~has_z(t) | ((room_hit > 0) & (i + 1 > room_hit))), parse_number(t)))
-    sqm = F.element_at(F.filter(sqm_vals, lambda x: x.isNotNull()), 1)
+    sqm = F.try_element_at(F.filter(sqm_vals, lambda x: x.isNotNull()), F.lit(1))
     return rooms, sqm
 
 
