@@ -43,10 +43,27 @@ SEEN_TABLE_SCHEMA = "key string, title string, url string, source string, batch_
 
 def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str, results_path: str,
                        outbox_path: str, order: list[str], now, details: DataFrame | None = None,
-                       cap: int = 15, enrich_source: str | None = None, prime: bool | None = None):
-    """The ``foreachBatch`` function of I1 (exposed for tests)."""
+                       cap: int = 15, enrich_source: str | None = None, prime: bool | None = None,
+                       runs_path: str | None = None, fail_on_error: bool = False):
+    """The ``foreachBatch`` function of I1 (exposed for tests).
+
+    A failing batch is recorded as a ``failed`` run row (when ``runs_path`` is given)
+    and the stream goes on, as the poll loop does; ``fail_on_error`` re-raises
+    instead, so the batch is retried from the checkpoint."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        try:
+            _process(batch, batch_id)
+        except Exception as exc:  # noqa: BLE001 - a failing cycle never stops the stream
+            log.exception("cycle batch %s failed", batch_id)
+            if fail_on_error:
+                raise
+            if runs_path is not None:
+                spark.createDataFrame([(int(batch_id), "failed", str(exc)[:2000])],
+                                      "batch_id bigint, status string, error_summary string") \
+                    .write.mode("append").parquet(runs_path)
+
+    def _process(batch: DataFrame, batch_id: int) -> None:
         seen_all = _read_or_empty(spark, seen_path, SEEN_TABLE_SCHEMA)
         if not seen_all.filter(F.col("batch_id") == batch_id).isEmpty():
             return  # replay of a committed batch: nothing to add
