@@ -18,15 +18,24 @@ from ._joins import DIMENSION_MAX_ROWS, broadcast_if_small, min_by_key, row_boun
 CRITERIA_SIDE = ["search_id", "search_type", *CRITERIA_COLS]
 
 
-def attach_criteria(listings: DataFrame, searches: DataFrame) -> DataFrame:
+def criteria_dim(searches: DataFrame) -> DataFrame:
+    """The search side of D1: id, type and criteria, broadcast when its row count is
+    proven small (checked once; reuse the result for every join of a cycle)."""
+    return broadcast_if_small(searches.select(*CRITERIA_SIDE))
+
+
+def attach_criteria(listings: DataFrame, searches: DataFrame | None = None,
+                    dim: DataFrame | None = None) -> DataFrame:
     """Every listing carries the criteria and ``search_type`` of its own search."""
-    dim = broadcast_if_small(searches.select(*CRITERIA_SIDE))
+    dim = dim if dim is not None else criteria_dim(searches)
     return listings.join(dim, "search_id")
 
 
-def match_per_search(listings: DataFrame, searches: DataFrame) -> DataFrame:
-    """D1 + C3: listings that satisfy the criteria of their own search."""
-    dim = broadcast_if_small(searches.select(*CRITERIA_SIDE))
+def match_per_search(listings: DataFrame, searches: DataFrame | None = None,
+                     dim: DataFrame | None = None) -> DataFrame:
+    """D1 + C3: listings that satisfy the criteria of their own search (the
+    criteria test is the residual of the equi-join)."""
+    dim = dim if dim is not None else criteria_dim(searches)
     return listings.join(dim, "search_id").filter(matches_criteria()).drop(*CRITERIA_COLS)
 
 

@@ -16,10 +16,15 @@ def flat_arrays(df: DataFrame, sep: str = "|") -> DataFrame:
 
 
 def clean_searches(t: A.Tables) -> DataFrame:
-    return t.memo("clean_searches", lambda: read_searches(A.searches_raw(t), A.default_criteria(t.spark)))
+    return t.memo("clean_searches", lambda: read_searches(A.searches_raw(t), A.DEFAULT_CRITERIA))
+
+
+def active_dim(t: A.Tables) -> DataFrame:
+    """Criteria side of the active searches, size-checked once per query."""
+    from ..operators.matching import criteria_dim
+    return t.memo("active_dim", lambda: criteria_dim(active_searches(clean_searches(t))))
 
 
 def fetched(t: A.Tables) -> DataFrame:
     """Listings of the active searches only (inactive ones are never fetched)."""
-    s = active_searches(clean_searches(t)).select("search_id")
-    return A.listings(t).join(F.broadcast(s), "search_id", "left_semi")
+    return t.memo("fetched", lambda: A.listings(t).join(active_dim(t).select("search_id"), "search_id", "left_semi"))

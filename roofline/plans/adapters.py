@@ -7,6 +7,8 @@ build sides and the fact table (lineitem, events) is only scanned once.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +44,9 @@ DEFAULT_CRITERIA = {"min_rent": None, "max_rent": 80.0, "min_rooms": None, "max_
 PORTAL_PATH = "https://www.kleinanzeigen.de/s-wohnung-mieten/"
 
 
+_READERS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
+
+
 class Tables:
     """Lazy parquet readers for one scale-factor directory."""
 
@@ -58,7 +63,13 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        # One reader per table and session: schema inference is a Spark job, and a
+        # query reads some tables several times.
+        key = (self.sf_dir, name)
+        cache = _READERS.setdefault(self.spark, {})
+        if key not in cache:
+            cache[key] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return cache[key]
 
 
 def _pick(values, n):
@@ -178,14 +189,6 @@ def _searches_raw(t: Tables) -> DataFrame:
                              "max_sqm", "required_keywords", "excluded_keywords")])
 
 
-def default_criteria(spark: SparkSession) -> DataFrame:
-    d = DEFAULT_CRITERIA
-    schema = ("min_rent double, max_rent double, min_rooms double, max_rooms double, "
-              "min_sqm double, max_sqm double, required_keywords array<string>, "
-              "excluded_keywords array<string>")
-    return spark.createDataFrame([tuple(d[k] for k in d)], schema)
-
-
 # --------------------------------------------------------------------------- R
 def run_events(t: Tables) -> DataFrame:
     return t.memo("run_events", lambda: _run_events(t))

@@ -46,15 +46,16 @@ def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details
     """Build every stage of one cycle.  ``prime`` stores everything and notifies
     nothing.  ``enrich_source`` limits enrichment to one source (the portal)."""
     active = active_searches(searches)
-    fetched = listings.join(F.broadcast(active.select("search_id")), "search_id", "left_semi")
-    filtered = M.first_match_wins(M.match_per_search(fetched, active), order)
+    dim = M.criteria_dim(active)  # one bounded size check per cycle
+    fetched = listings.join(dim.select("search_id"), "search_id", "left_semi")
+    filtered = M.first_match_wins(M.match_per_search(fetched, dim=dim), order)
     new = D.only_new(filtered, seen)
     if details is not None:
         if enrich_source is not None:
             portal_ids = new.filter(F.col("source") == enrich_source).select("listing_id")
             details = details.join(portal_ids, "listing_id", "left_semi")
         enriched = E.enrich(new, details)
-        refiltered = (M.attach_criteria(enriched.drop("search_type"), active)
+        refiltered = (M.attach_criteria(enriched.drop("search_type"), dim=dim)
                       .filter(matches_criteria()).drop(*CRITERIA_COLS))
     else:
         refiltered = new
@@ -71,14 +72,17 @@ def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details
                  seen_rows=D.seen_rows(kept, dropped), results=R.result_rows(kept, now), prime=prime)
 
 
-def cycle_stats(c: Cycle) -> DataFrame:
+def cycle_stats(c: Cycle, cap: int = V.DEFAULT_CAP) -> DataFrame:
     """The funnel of one cycle as one row, computed in a single job: fetched
     (cross-search duplicates included), filtered (after cycle dedup), new (after
-    re-filter and repost dedup), notified (individually delivered; with no channel
-    configured every individual message counts as delivered)."""
-    stages = [("fetched", c.fetched), ("filtered", c.filtered), ("new", c.kept), ("notified", c.individual)]
+    re-filter and repost dedup), notified (individual messages: the first ``cap``
+    new listings, none in a prime cycle).  The stages share one lineage, so the
+    flags are counted over one tagged union and Spark reuses the common exchanges."""
+    stages = [("fetched", c.fetched), ("filtered", c.filtered), ("new", c.kept)]
     tagged = None
     for name, df in stages:
         part = df.select(F.lit(name).alias("stage"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    return tagged.agg(*[F.count_if(F.col("stage") == name).cast("bigint").alias(name) for name, _ in stages])
+    counts = tagged.agg(*[F.count_if(F.col("stage") == name).cast("bigint").alias(name) for name, _ in stages])
+    notified = F.lit(0).cast("bigint") if c.prime else F.least(F.col("new"), F.lit(cap)).cast("bigint")
+    return counts.withColumn("notified", notified)

@@ -10,7 +10,7 @@ from ..operators import dedup as D
 from ..operators import matching as M
 from ..sources.searches import active_searches
 from . import adapters as A
-from ._common import clean_searches, fetched, flat_arrays
+from ._common import active_dim, clean_searches, fetched, flat_arrays
 from .oracle_adapters import (ORDER_SQL, criteria_sql, haystack_sql, norm_location_sql, signature_sql,
                               with_ctes)
 from .registry import register
@@ -29,7 +29,7 @@ FROM matched) x WHERE rn = 1"""}
 
 
 def matched(t):
-    return t.memo("matched", lambda: M.match_per_search(fetched(t), active_searches(clean_searches(t))))
+    return t.memo("matched", lambda: M.match_per_search(fetched(t), dim=active_dim(t)))
 
 
 def firsts(t):

@@ -104,7 +104,7 @@ FROM (SELECT *, CASE list_rank WHEN 0 THEN 'kleinanzeigen' ELSE 'rss' END AS sou
 def q_searches_from_lists(t):
     """Searches built from per-region URL list cells, portal lists first."""
     portal, feed = _url_lists(t)
-    out = S.searches_from_lists(portal, feed, A.default_criteria(t.spark))
+    out = S.searches_from_lists(portal, feed, A.DEFAULT_CRITERIA)
     return flat_arrays(out.select("n_regionkey", "list_rank", "item_pos", "url", "source_type",
                                   "max_rent", "min_sqm", "excluded_keywords"))
 

@@ -1,8 +1,8 @@
 """Searches: scan and coercion of the searches table.
 
 The searches table is a dimension (tens to thousands of rows).  Everything here is
-a projection or a filter over it; the one-row defaults table is joined with a
-cross join of exactly one row, which is a projection in disguise.
+a projection or a filter over it; the global defaults are settings and enter the
+plan as literals.
 """
 
 from __future__ import annotations
@@ -39,17 +39,31 @@ def coerce_searches(raw: DataFrame) -> DataFrame:
     return out.filter(F.col("url") != "")
 
 
-def inherit_criteria(searches: DataFrame, defaults: DataFrame) -> DataFrame:
-    """A blank criteria cell takes the global default, column by column.
+def default_literals(defaults) -> dict:
+    """Global criteria as literal Columns.  ``defaults`` is a settings dict, or a
+    one-row DataFrame (its single row is read; settings are one row, not data)."""
+    if isinstance(defaults, DataFrame):
+        row = defaults.select(*CRITERIA_COLS).limit(1).collect()
+        defaults = row[0].asDict() if row else {}
+    out = {}
+    for c in NUMERIC_CRITERIA:
+        out[c] = F.lit(defaults.get(c)).cast("double")
+    for c in KEYWORD_CRITERIA:
+        kws = defaults.get(c)
+        out[c] = (F.array(*[F.lit(k) for k in kws]) if kws else F.array()).cast("array<string>") \
+            if kws is not None else F.lit(None).cast("array<string>")
+    return out
 
-    ``defaults`` must hold exactly one row; the join is a broadcast of that row."""
-    d = defaults.select(*[F.col(c).alias("_d_" + c) for c in CRITERIA_COLS])
-    j = searches.crossJoin(F.broadcast(d.limit(1)))
-    return j.select(*[F.coalesce(F.col(c), F.col("_d_" + c)).alias(c) if c in CRITERIA_COLS
-                      else F.col(c) for c in searches.columns])
 
+def inherit_criteria(searches: DataFrame, defaults) -> DataFrame:
+    """A blank criteria cell takes the global default, column by column (the
+    defaults are literals, so this is a projection, not a join)."""
+    lit = default_literals(defaults)
+    return searches.select(*[F.coalesce(F.col(c), lit[c]).alias(c) if c in CRITERIA_COLS
+                             else F.col(c) for c in searches.columns])
 
-def read_searches(raw: DataFrame, defaults: DataFrame) -> DataFrame:
+
+def read_searches(raw: DataFrame, defaults) -> DataFrame:
     """A10: coercion + inheritance; keyword lists are never null afterwards."""
     s = inherit_criteria(coerce_searches(raw), defaults)
     empty = F.array().cast("array<string>")
@@ -61,7 +75,7 @@ def active_searches(searches: DataFrame) -> DataFrame:
     return searches.filter((F.col("url") != "") & F.col("enabled"))
 
 
-def searches_from_lists(portal_urls: DataFrame, feed_urls: DataFrame, defaults: DataFrame,
+def searches_from_lists(portal_urls: DataFrame, feed_urls: DataFrame, defaults,
                         text_col: str = "urls") -> DataFrame:
     """One search per URL in comma/newline separated text cells, with the
     global criteria; portal URLs before feed URLs, list order kept."""
@@ -75,8 +89,8 @@ def searches_from_lists(portal_urls: DataFrame, feed_urls: DataFrame, defaults:
                 .withColumn("list_rank", F.lit(rank)))
     both = explode(portal_urls, "kleinanzeigen", 0).unionByName(explode(feed_urls, "rss", 1),
                                                                 allowMissingColumns=True)
-    d = defaults.select(*CRITERIA_COLS)
-    return both.crossJoin(F.broadcast(d.limit(1)))
+    lit = default_literals(defaults)
+    return both.select(*both.columns, *[lit[c].alias(c) for c in CRITERIA_COLS])
 
 
 def searches_or_fallback(primary: DataFrame, cached: DataFrame | None, static: DataFrame,
