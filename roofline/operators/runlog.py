@@ -48,30 +48,41 @@ def is_failed_source(message="message", phase="phase") -> F.Column:
     return (F.col(phase) == "fetch_source") & (m.startswith(FAILED_PREFIXES[0]) | m.startswith(FAILED_PREFIXES[1]))
 
 
+# error_summary keeps 2000 characters: "failed_sources=" plus entries of at least two
+# characters each ("x,"), so no entry past the 1000th can ever be visible.
+MAX_SUMMARY_ENTRIES = (MAX_TEXT - len("failed_sources=")) // 2 + 1
+
+
 def summarize_runs(events: DataFrame) -> DataFrame:
     """E4 + E6: run totals from numbered events (``seq`` required).
 
     errors = error-level events; failed sources = failed/blocked fetch events in
     order, repeats kept; polled = distinct sources; duration from first to last
-    event."""
-    failed = F.when(is_failed_source(), F.struct("seq", "source"))
-    agg = events.groupBy("run_id").agg(
+    event.  The summary list is built from the first ``MAX_SUMMARY_ENTRIES`` failed
+    events of each run only (ranked by a window), so no group collects more than
+    that, while the bounded text stays exact."""
+    totals = events.groupBy("run_id").agg(
         F.min("at").alias("started_at"), F.max("at").alias("finished_at"),
         F.count_distinct("source").alias("sources_polled"),
         F.coalesce(F.sum(F.when(F.col("phase") == "fetch_source", F.col("count"))), F.lit(0)).cast("bigint").alias("fetched"),
         F.coalesce(F.sum(F.when(F.col("phase") == "dedup", F.col("count"))), F.lit(0)).cast("bigint").alias("new"),
         F.count_if(F.col("phase") == "notify_item").alias("notified"),
         F.count_if(F.col("level") == "error").alias("errors"),
-        F.array_sort(F.collect_list(failed)).alias("_failed"),
+        F.count_if(is_failed_source()).alias("failed_sources"),
         F.first("host", ignorenulls=True).alias("host"),
     )
-    n_failed = F.size("_failed")
-    summary = F.when(n_failed > 0, F.concat(F.lit("failed_sources="), F.array_join(F.col("_failed.source"), ",")))
-    return agg.select(
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))
+    first_failed = (events.filter(is_failed_source()).select("run_id", "seq", "source", rank.alias("_r"))
+                    .filter(F.col("_r") <= MAX_SUMMARY_ENTRIES))
+    lists = first_failed.groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "source"))).alias("_failed"))
+    summary = F.when(F.col("_failed").isNotNull(),
+                     F.concat(F.lit("failed_sources="), F.array_join(F.col("_failed.source"), ",")))
+    return totals.join(lists, "run_id", "left").select(
         "run_id", "started_at", "finished_at",
         _ms(F.col("started_at"), F.col("finished_at")).cast("bigint").alias("duration_ms"),
         "sources_polled", "fetched", "new", "notified", "errors",
-        n_failed.cast("bigint").alias("failed_sources"),
+        F.col("failed_sources").cast("bigint").alias("failed_sources"),
         bounded_text(summary, MAX_TEXT).alias("error_summary"), "host")
 
 

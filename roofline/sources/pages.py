@@ -40,6 +40,10 @@ def cut_page_walk(cards: DataFrame, pages: DataFrame, max_pages: int, id_col: st
 
     ``cards``: (search_id, page_no, pos, id...); ``pages``: (search_id, page_no,
     failed) for every fetched page.  All steps are aggregations and joins on keys."""
+    # Pages past max_pages are never walked; dropping them first bounds every
+    # per-search list below by max_pages.
+    cards = cards.filter(F.col("page_no") <= max_pages)
+    pages = pages.filter(F.col("page_no") <= max_pages)
     first_seen = cards.groupBy("search_id", id_col).agg(F.min("page_no").alias("_first"))
     fresh = first_seen.groupBy("search_id", F.col("_first").alias("page_no")).agg(F.count(F.lit(1)).alias("fresh"))
     pg = (pages.select("search_id", "page_no", "failed")

@@ -276,3 +276,15 @@ def test_fetch_outcome(spark):
     df = spark.createDataFrame([(403,), (500,), (429,), (404,), (None,), (200,)], "status int")
     got = [r.o for r in df.select(V.fetch_outcome("status").alias("o")).collect()]
     assert got == ["blocked", "retryable", "failed", "failed", "retryable", "ok"]
+
+
+def test_error_summary_bound_is_exact(spark):
+    for names in ([f"s{i}" for i in range(1500)], ["a"] * 1500):
+        rows = [("r", i, "fetch_source", "error", "failed: x", n) for i, n in enumerate(names)]
+        df = spark.createDataFrame(rows, "run_id string, seq long, phase string, level string, message string, "
+                                         "source string")
+        df = df.withColumn("count", F.lit(None).cast("bigint")) \
+            .withColumn("at", F.lit("2024-01-01").cast("timestamp_ntz")).withColumn("host", F.lit("h"))
+        r = RL.summarize_runs(df).first()
+        assert r.failed_sources == len(names)
+        assert r.error_summary == ("failed_sources=" + ",".join(names))[:2000]
