@@ -3,8 +3,8 @@ H1-H5, E10).
 
 The seen store grows for ever, so it is a table joined with ``left_anti``; Spark
 picks a sort-merge or hash join, and AQE broadcasts it only when the runtime size
-is small.  Signatures are uniform hashes except for null, so null-signature rows
-are split off before any shuffle on the signature and added back afterwards.
+is small.  Signatures are uniform hashes except for null, so a null signature is
+grouped under the listing's own id and never forms one hot group.
 """
 
 from __future__ import annotations
@@ -74,22 +74,27 @@ def split_reposts(listings: DataFrame, order: list[str], seen: DataFrame | None
     Adds ``dropped`` (boolean) and ``kept_id`` (the listing that represents the
     signature).  The first listing per signature in fetch order is kept unless the
     signature is already seen; null signatures are never dropped.  Expects one row
-    per listing id (after F1) and a ``signature`` column (``with_signature``)."""
-    nulls = listings.filter(F.col("signature").isNull())
-    keyed = listings.filter(F.col("signature").isNotNull())
-    first = keyed.groupBy("signature").agg(
-        F.min_by(F.col("listing_id"), F.struct(*[F.col(c) for c in order])).alias("kept_id"))
+    per listing id (after F1) and a ``signature`` column (``with_signature``).
+
+    Rows are grouped by the signature, or by their own id when it is null, so null
+    signatures never form one hot group; the first member per group is a
+    ``min_by`` aggregate (combined map-side) joined back on the group key."""
+    group = F.coalesce(F.col("signature"), F.concat(F.lit("id:"), F.col("listing_id")))
+    x = listings.withColumn("_g", group)
+    first = x.groupBy("_g").agg(
+        F.min_by(F.col("listing_id"), F.struct(*[F.col(c) for c in order])).alias("_kept"))
     if seen is not None:
-        known = seen.select(F.col("key").alias("signature"), F.lit(True).alias("_known"))
-        first = first.join(known, "signature", "left")
+        # Seen keys are ids and "sig:" keys; an "id:" group key never matches one.
+        known = seen.select(F.col("key").alias("_g")).distinct().withColumn("_known", F.lit(True))
+        first = first.join(known, "_g", "left")
     else:
         first = first.withColumn("_known", F.lit(None).cast("boolean"))
-    flagged = keyed.join(first, "signature").select(
+    known = F.coalesce(F.col("_known"), F.lit(False))
+    has_sig = F.col("signature").isNotNull()
+    return x.join(first, "_g").select(
         *listings.columns,
-        (F.coalesce(F.col("_known"), F.lit(False)) | (F.col("listing_id") != F.col("kept_id"))).alias("dropped"),
-        F.when(~F.coalesce(F.col("_known"), F.lit(False)), F.col("kept_id")).alias("kept_id"))
-    return flagged.unionByName(nulls.select(*listings.columns, F.lit(False).alias("dropped"),
-                                            F.col("listing_id").alias("kept_id")))
+        (has_sig & (known | (F.col("listing_id") != F.col("_kept")))).alias("dropped"),
+        F.when(~has_sig, F.col("listing_id")).when(~known, F.col("_kept")).alias("kept_id"))
 
 
 def repost_groups(listings: DataFrame, order: list[str]) -> DataFrame:

@@ -73,7 +73,10 @@ def delivery_attempts(status: DataFrame, key: str = "listing_id", cycle: str = "
     attempt ``max_attempts``).  ``settled`` marks the last kept row: delivered or
     given up; a settled listing is persisted as seen and never retried."""
     w = Window.partitionBy(key).orderBy(cycle)
-    x = status.withColumn("n", F.row_number().over(w))
+    # Only the first ``max_attempts`` cycles of a listing can be kept; filtering on
+    # the row number lets Spark cut each key to that many rows map-side
+    # (WindowGroupLimit), so a hot listing never reaches one task whole.
+    x = status.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_attempts)
     x = x.withColumn("_done", (F.col("any_sent") | (F.col("n") >= max_attempts)).cast("int"))
     x = x.withColumn("_prior", F.coalesce(F.max("_done").over(
         w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_done")

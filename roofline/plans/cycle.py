@@ -38,13 +38,21 @@ class Cycle:
     seen_rows: DataFrame
     results: DataFrame
     prime: bool
+    flagged: DataFrame | None = None
 
 
 def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details: DataFrame | None,
               order: list[str], now, cap: int = V.DEFAULT_CAP, prime: bool = False,
-              enrich_source: str | None = None) -> Cycle:
+              enrich_source: str | None = None, materialize: str | None = None) -> Cycle:
     """Build every stage of one cycle.  ``prime`` stores everything and notifies
-    nothing.  ``enrich_source`` limits enrichment to one source (the portal)."""
+    nothing.  ``enrich_source`` limits enrichment to one source (the portal).
+
+    All outputs (kept, dropped, outbox, seen rows, results) branch from the
+    repost-flagged listings.  ``materialize`` cuts the plan there once, so the
+    branches do not each carry (and plan) the whole upstream cycle:
+    ``"checkpoint"`` writes it to ``spark.checkpoint.dir`` (reliable, lineage cut),
+    ``"persist"`` caches it (the caller unpersists ``Cycle.flagged`` when done, as
+    a ``foreachBatch`` writing several sinks does)."""
     active = active_searches(searches)
     dim = M.criteria_dim(active)  # one bounded size check per cycle
     fetched = listings.join(dim.select("search_id"), "search_id", "left_semi")
@@ -60,6 +68,12 @@ def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details
     else:
         refiltered = new
     flagged = D.split_reposts(D.with_signature(refiltered), order, seen)
+    if materialize == "checkpoint":
+        from ..session import cut_lineage
+        flagged = cut_lineage(flagged)
+    elif materialize == "persist":
+        from pyspark import StorageLevel
+        flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
     kept = flagged.filter(~F.col("dropped")).drop("dropped", "kept_id")
     dropped = flagged.filter(F.col("dropped")).drop("dropped", "kept_id")
     if prime:
@@ -69,7 +83,8 @@ def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details
         individual, overflow = V.notify_cap(kept, order, cap)
     return Cycle(fetched=fetched, filtered=filtered, new=new, enriched=refiltered, kept=kept,
                  dropped=dropped, individual=individual, overflow=overflow,
-                 seen_rows=D.seen_rows(kept, dropped), results=R.result_rows(kept, now), prime=prime)
+                 seen_rows=D.seen_rows(kept, dropped), results=R.result_rows(kept, now), prime=prime,
+                 flagged=flagged)
 
 
 def cycle_stats(c: Cycle, cap: int = V.DEFAULT_CAP) -> DataFrame:

@@ -25,7 +25,7 @@ def cycle(t, prime=False, seen=None):
     one, two = A.seen_stores(t)
     seen = D.seen_union(one, two) if seen is None else seen
     return run_cycle(A.listings(t), clean_searches(t), seen, A.detail_rows(t), A.LISTING_ORDER, NOW,
-                     cap=CAP, prime=prime, enrich_source=PORTAL)
+                     cap=CAP, prime=prime, enrich_source=PORTAL, materialize="checkpoint")
 
 
 def _sql(body, **extra):

@@ -70,14 +70,17 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
         seen = seen_all.drop("batch_id")
         is_prime = seen.isEmpty() if prime is None else prime
         c = run_cycle(batch, searches, seen, details, order, now, cap=cap, prime=is_prime,
-                      enrich_source=enrich_source)
-        c.results.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(results_path)
-        if not is_prime:
-            c.individual.select("listing_id", "position").withColumn("batch_id", F.lit(batch_id)) \
-                .write.mode("append").parquet(outbox_path)
-        # The seen rows go last: they are the commit mark of the batch.
-        D.seen_append(seen, c.seen_rows).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(seen_path)
+                      enrich_source=enrich_source, materialize="persist")
+        try:
+            c.results.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(results_path)
+            if not is_prime:
+                c.individual.select("listing_id", "position").withColumn("batch_id", F.lit(batch_id)) \
+                    .write.mode("append").parquet(outbox_path)
+            # The seen rows go last: they are the commit mark of the batch.
+            D.seen_append(seen, c.seen_rows).withColumn("batch_id", F.lit(batch_id)) \
+                .write.mode("append").parquet(seen_path)
+        finally:
+            c.flagged.unpersist()
 
     return on_batch
 
