@@ -85,11 +85,15 @@ def listings(t: Tables) -> DataFrame:
 def _listings(t: Tables) -> DataFrame:
     """L: one listing row per lineitem, carrying its fetch order."""
     li = t.lineitem
-    dims = (t.supplier.select("s_suppkey", "s_nationkey")
-            .join(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name"), "s_nationkey"))
+    # Each dimension joins the fact table on its own, so the planner sizes each build
+    # side from its own table statistics (broadcast while small, shuffle beyond);
+    # joining supplier to nation first would size the pair as a product.
     part = t.part.select("p_partkey", "p_name", "p_type", "p_brand")
+    supplier = t.supplier.select("s_suppkey", "s_nationkey")
+    nation = t.nation.select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
     j = (li.join(part, li.l_partkey == part.p_partkey)
-         .join(dims, li.l_suppkey == dims.s_suppkey))
+         .join(supplier, li.l_suppkey == supplier.s_suppkey)
+         .join(nation, "s_nationkey"))
     source = F.when(F.col("l_partkey") % 10 == 0, "feed").otherwise("board")
     native = F.concat(F.col("l_partkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
     url = F.concat(F.lit("https://listings.example/"), source, F.lit("/"), native)

@@ -19,13 +19,14 @@ CAP = 15
 _BASE = ("listings", "searches", "seen_all", "details")
 
 
-def cycle(t, prime=False, seen=None):
-    if not prime and seen is None:
-        return t.memo("cycle", lambda: cycle(t, prime=False, seen=D.seen_union(*A.seen_stores(t))))
-    one, two = A.seen_stores(t)
-    seen = D.seen_union(one, two) if seen is None else seen
-    return run_cycle(A.listings(t), clean_searches(t), seen, A.detail_rows(t), A.LISTING_ORDER, NOW,
-                     cap=CAP, prime=prime, enrich_source=PORTAL, materialize="checkpoint")
+def cycle(t, materialize: str | None = "checkpoint"):
+    """The cycle of the L adapter.  Queries that read its outputs (kept, outbox,
+    results) cut the lineage after repost dedup; queries on earlier stages don't."""
+    def build():
+        seen = D.seen_union(*A.seen_stores(t))
+        return run_cycle(A.listings(t), clean_searches(t), seen, A.detail_rows(t), A.LISTING_ORDER, NOW,
+                         cap=CAP, enrich_source=PORTAL, materialize=materialize)
+    return t.memo(f"cycle-{materialize}", build)
 
 
 def _sql(body, **extra):
@@ -57,8 +58,7 @@ SELECT listing_id, price, rooms, sqm, description, bedrooms, bathrooms, floor, a
 FROM enr"""))
 def q_enrich_coalesce(t):
     """New listings filled from their detail pages (portal listings only)."""
-    one, two = A.seen_stores(t)
-    c = cycle(t)
+    c = cycle(t, materialize=None)
     details = A.detail_rows(t).join(c.new.filter(F.col("source") == PORTAL).select("listing_id"),
                                     "listing_id", "left_semi")
     e = E.enrich(c.new, details)
@@ -72,7 +72,7 @@ FROM new1 n LEFT JOIN details d ON d.listing_id = n.listing_id
 WHERE n.source = 'board' GROUP BY 1"""))
 def q_enrich_outcomes(t):
     """Enrichment outcomes of the portal listings that are new this cycle."""
-    c = cycle(t)
+    c = cycle(t, materialize=None)
     return E.enrich_outcomes(c.new.filter(F.col("source") == PORTAL), A.detail_rows(t))
 
 
