@@ -138,36 +138,36 @@ def detail_rows(t: Tables) -> DataFrame:
 
 
 def _detail_rows(t: Tables) -> DataFrame:
-    """Detail-page fields for listings with l_linenumber >= 4: the first lineitem per
-    listing id (by the unique key) supplies them."""
     li = t.lineitem.filter(F.col("l_linenumber") >= 4)
     part = t.part.select("p_partkey", "p_type", "p_brand")
     j = li.join(part, li.l_partkey == part.p_partkey)
     source = F.when(F.col("l_partkey") % 10 == 0, "feed").otherwise("board")
     lid = F.concat(source, F.lit(":"), F.col("l_partkey").cast("string"), F.lit("-"),
                    F.col("l_linenumber").cast("string"))
-    fields = F.struct(
+    # Pick the winning lineitem on raw columns; derive the fields once per listing.
+    raw = F.struct("l_extendedprice", "l_linenumber", "l_quantity", "l_tax", "l_shipdate", "l_orderkey",
+                   "p_type", "p_brand")
+    order = F.struct(*[F.col(c) for c in LINE_KEY])
+    w = j.groupBy(lid.alias("listing_id")).agg(F.min_by(raw, order).alias("d")).select("listing_id", "d.*")
+    ln = F.col("l_linenumber")
+    return w.select(
+        "listing_id",
         (F.col("l_extendedprice") / 1000 + 1).alias("price"),
-        (F.col("l_linenumber") / 2.0 + 0.5).alias("rooms"),
+        (ln / 2.0 + 0.5).alias("rooms"),
         (F.col("l_quantity") + 1).alias("sqm"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.concat_ws(" ", F.lit("detail"), "p_type", "p_brand"))
-        .otherwise(F.lit("")).alias("description"),
-        F.when(F.col("l_linenumber") != 5, F.col("l_linenumber") - 2.0).alias("bedrooms"),
+        F.when(ln % 2 == 0, F.concat_ws(" ", F.lit("detail"), "p_type", "p_brand")).otherwise(F.lit(""))
+        .alias("description"),
+        F.when(ln != 5, ln - 2.0).alias("bedrooms"),
         F.lit(1.0).alias("bathrooms"),
-        F.col("l_linenumber").cast("string").alias("floor"),
+        ln.cast("string").alias("floor"),
         F.initcap("p_type").alias("apartment_type"),
-        F.when(F.col("l_linenumber") == 6, F.lit(None).cast("string"))
-        .otherwise(F.date_format("l_shipdate", "MMMM yyyy")).alias("available_from"),
+        F.when(ln == 6, F.lit(None).cast("string")).otherwise(F.date_format("l_shipdate", "MMMM yyyy"))
+        .alias("available_from"),
         (F.col("l_tax") * 1000).alias("additional_costs"),
         (F.col("l_extendedprice") / 1000 + F.col("l_tax") * 1000).alias("warm_rent"),
         F.concat(F.col("l_orderkey").cast("string"), F.lit(" €")).alias("deposit"),
-        F.when(F.col("l_linenumber") % 3 == 0, F.array(F.lit("Balkon"), F.col("p_brand")))
-        .otherwise(F.array().cast("array<string>")).alias("features"),
-    )
-    order = F.struct(*[F.col(c) for c in LINE_KEY])
-    return (j.groupBy(lid.alias("listing_id"))
-            .agg(F.min_by(fields, order).alias("d"))
-            .select("listing_id", "d.*"))
+        F.when(ln % 3 == 0, F.array(F.lit("Balkon"), F.col("p_brand")))
+        .otherwise(F.array().cast("array<string>")).alias("features"))
 
 
 # --------------------------------------------------------------------------- S

@@ -51,6 +51,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    # Only a local session (tests, the bench) falls back to a scratch folder.
     path = configured or tempfile.mkdtemp(prefix="roofline-ckpt-")
     sc.setCheckpointDir(path)
     return path
