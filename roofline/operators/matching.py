@@ -50,8 +50,10 @@ def match_all(listings: DataFrame, searches: DataFrame,
     if n is not None:
         chunks = [s]
     else:
+        # Hash chunks are sized at half the bound: a chunk would need twice its
+        # expected share of a uniform hash to reach the bound.
         total = s.count()
-        k = -(-total // chunk_rows)
+        k = -(-2 * total // chunk_rows)
         chunks = [s.filter(F.pmod(F.xxhash64("match_search_id"), F.lit(k)) == i) for i in range(k)]
     out = None
     for chunk in chunks:

@@ -288,3 +288,17 @@ def test_error_summary_bound_is_exact(spark):
         r = RL.summarize_runs(df).first()
         assert r.failed_sources == len(names)
         assert r.error_summary == ("failed_sources=" + ",".join(names))[:2000]
+
+
+def test_match_all_in_chunks_equals_one_broadcast(spark):
+    s = spark.createDataFrame([(i, "", float(100 * i)) for i in range(1, 8)],
+                              "search_id long, search_type string, max_rent double")
+    for c in ("min_rent", "min_rooms", "max_rooms", "min_sqm", "max_sqm"):
+        s = s.withColumn(c, F.lit(None).cast("double"))
+    s = s.withColumn("required_keywords", F.array().cast("array<string>")) \
+        .withColumn("excluded_keywords", F.array().cast("array<string>"))
+    rows = [(f"x:{i}", "x", "t", "u", float(70 * i), None, None, None, None, None, 1, 1, i) for i in range(12)]
+    li = _listings(spark, rows)
+    one = {(r.listing_id, r.match_search_id) for r in M.match_all(li, s).collect()}
+    chunked = {(r.listing_id, r.match_search_id) for r in M.match_all(li, s, chunk_rows=2).collect()}
+    assert one == chunked and len(one) > 0
