@@ -105,3 +105,12 @@ def results_breakdown(results: DataFrame) -> DataFrame:
     """Results by search_type x status with subtotals (rollup)."""
     return (results.rollup("search_type", "status")
             .agg(F.count(F.lit(1)).alias("results"), F.grouping_id().alias("level")))
+
+
+def write_version(table: DataFrame, base: str, version: int) -> str:
+    """D8 sink: write the next version of a table to its own folder (plain Parquet
+    has no MERGE).  The caller reads version ``n`` and writes ``n + 1``, so a job
+    never overwrites the path it reads from."""
+    path = f"{base.rstrip('/')}/v={version}"
+    table.write.mode("errorifexists").parquet(path)
+    return path

@@ -179,3 +179,25 @@ def event_payload(events: DataFrame) -> DataFrame:
 def run_drilldown(runs: DataFrame, events: DataFrame) -> DataFrame:
     """The events of the given runs, in ``seq`` order."""
     return events.join(runs.select("run_id"), "run_id", "left_semi").orderBy("run_id", "seq")
+
+
+def read_run_backlog_files(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """A14 over JSONL files: one run with nested events per line."""
+    return read_run_backlog(spark.read.text(path))
+
+
+def write_runs(runs: DataFrame, events: DataFrame, primary: str, quarantine: str,
+               batch_id: int | None = None) -> str:
+    """Append runs and events to the primary tables; if that fails, append the
+    same runs as JSONL backlog lines to the quarantine folder instead.  Never
+    raises for a failed primary write; returns where the rows went.  A ``batch_id``
+    column lets a replayed batch be recognised (see ``merge_backlog``)."""
+    if batch_id is not None:
+        runs = runs.withColumn("batch_id", F.lit(batch_id))
+    try:
+        runs.write.mode("append").parquet(f"{primary}/runs")
+        events.write.mode("append").parquet(f"{primary}/events")
+        return "primary"
+    except Exception:  # noqa: BLE001 - the run log is observational
+        backlog_lines(runs, events).write.mode("append").text(quarantine)
+        return "quarantine"

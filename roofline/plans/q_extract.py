@@ -273,6 +273,5 @@ def q_tag_numbers(t):
     tags = F.array(rooms_txt, F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(" m²")),
                    F.when(F.col("l_linenumber") % 2 == 0,
                           F.concat(F.col("l_linenumber").cast("string"), F.lit(" Zimmer, 70 m2"))).otherwise(F.lit("Balkon")))
-    rooms, sqm = X.tag_numbers(tags)
-    return li.select("listing_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-                     rooms.alias("rooms"), sqm.alias("sqm"))
+    x = X.with_tag_numbers(li.withColumn("_tags", tags), "_tags")
+    return x.select("listing_id", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "rooms", "sqm")

@@ -63,23 +63,38 @@ def _field(card: Column, pattern: str | None) -> Column:
     return F.nullif(F.regexp_extract(card, pattern, 1), F.lit(""))
 
 
-def tag_numbers(tags) -> tuple[Column, Column]:
-    """A3: (rooms, sqm) from a card's tag texts.  The first tag containing
+def parse_tags(tags) -> Column:
+    """A3, first step: each tag once: has ``zimmer``, has ``m²``/``m2``, its number."""
+    tags = F.col(tags) if isinstance(tags, str) else tags
+    return F.transform(tags, lambda t: F.struct(
+        F.contains(F.lower(t), F.lit("zimmer")).alias("z"),
+        (F.contains(F.lower(t), F.lit("m²")) | F.contains(F.lower(t), F.lit("m2"))).alias("m"),
+        parse_number(t).alias("num")))
+
+
+def tag_numbers(parsed) -> tuple[Column, Column]:
+    """A3: (rooms, sqm) from parsed tags (``parse_tags``).  The first tag containing
     ``zimmer`` with a number gives rooms; a tag reaches the ``m²``/``m2`` branch
     when it has no ``zimmer`` or comes after the tag that set rooms; the first such
-    tag with a number gives sqm."""
-    tags = F.col(tags) if isinstance(tags, str) else tags
-    has_z = lambda t: F.contains(F.lower(t), F.lit("zimmer"))
-    room_hit = F.array_position(F.transform(tags, lambda t: has_z(t) & parse_number(t).isNotNull()), F.lit(True))
-    rooms = F.when(room_hit > 0, parse_number(F.try_element_at(tags, room_hit.cast("int"))))
-    low = lambda t: F.lower(t)
-    sqm_vals = F.transform(tags, lambda t, i: F.when(
-        (F.contains(low(t), F.lit("m²")) | F.contains(low(t), F.lit("m2")))
-        & (~has_z(t) | ((room_hit > 0) & (i + 1 > room_hit))), parse_number(t)))
+    tag with a number gives sqm.  Project ``parse_tags`` into a column first: the
+    parsed array is read three times here and Spark does not share a higher-order
+    function's result between uses."""
+    parsed = F.col(parsed) if isinstance(parsed, str) else parsed
+    room_hit = F.array_position(F.transform(parsed, lambda s: s["z"] & s["num"].isNotNull()), F.lit(True))
+    rooms = F.when(room_hit > 0, F.try_element_at(parsed, room_hit.cast("int"))["num"])
+    sqm_vals = F.transform(parsed, lambda s, i: F.when(
+        s["m"] & (~s["z"] | ((room_hit > 0) & (i + 1 > room_hit))), s["num"]))
     sqm = F.try_element_at(F.filter(sqm_vals, lambda x: x.isNotNull()), F.lit(1))
     return rooms, sqm
 
 
+def with_tag_numbers(df: DataFrame, tags: str, rooms: str = "rooms", sqm: str = "sqm") -> DataFrame:
+    """A3 as a DataFrame step: parse the tags once, then derive rooms and sqm."""
+    x = df.withColumn("_tags_parsed", parse_tags(tags))
+    r, s = tag_numbers("_tags_parsed")
+    return x.withColumns({rooms: r, sqm: s}).drop("_tags_parsed")
+
+
 def extract_cards(pages: DataFrame, spec: CardSpec = PORTAL_SPEC, body: str = "body", url: str = "url",
                   keep: list[str] | None = None) -> DataFrame:
     """A2: one listing row per card, in page order (``pos``).  A card without a
@@ -96,7 +111,8 @@ def extract_cards(pages: DataFrame, spec: CardSpec = PORTAL_SPEC, body: str = "b
     thumb = F.coalesce(*[_field(c, p) for p in spec.image]) if spec.image else F.lit(None).cast("string")
     tags = (F.transform(F.regexp_extract_all(c, F.lit(spec.tags), 1), lambda t: F.coalesce(node_text(t), F.lit("")))
             if spec.tags else F.array().cast("array<string>"))
-    rooms, sqm = tag_numbers(tags)
+    cards = cards.withColumn("_tags", parse_tags(tags))
+    rooms, sqm = tag_numbers("_tags")
     out = cards.select(
         *keep, "pos",
         stable_id(F.lit(spec.source), native, link).alias("listing_id"),
@@ -222,3 +238,21 @@ def extract_feed_items(items: DataFrame, xml: str = "item_xml", keep: list[str]
                    parse_number(keyword_window(blob, SQM_KEYWORDS)).alias("sqm"),
                    desc.alias("description"))
     return out.filter((F.col("title") != "") & (F.col("url") != ""))
+
+
+def read_feed_items(spark, path: str, row_tag: str = "item", source: str = "rss") -> DataFrame:
+    """A5 over landed feed files: Spark's XML source with one row per ``<item>``,
+    then the same listing rules as ``extract_feed_items``."""
+    raw = (spark.read.format("xml").option("rowTag", row_tag).schema(FEED_ITEM_SCHEMA).load(path))
+    title = strip_text(F.coalesce(F.col("title"), F.lit("")))
+    link = F.coalesce(F.col("link"), F.lit(""))
+    desc = F.coalesce(F.col("summary"), F.col("description"))
+    blob = F.concat(title, F.lit(" "), F.coalesce(desc, F.lit("")))
+    native = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.col("guid"))
+    out = raw.select(stable_id(F.lit(source), native, link).alias("listing_id"), F.lit(source).alias("source"),
+                     title.alias("title"), link.alias("url"),
+                     parse_number(keyword_window(blob, PRICE_KEYWORDS)).alias("price"),
+                     parse_number(keyword_window(blob, ROOMS_KEYWORDS)).alias("rooms"),
+                     parse_number(keyword_window(blob, SQM_KEYWORDS)).alias("sqm"),
+                     desc.alias("description"))
+    return out.filter((F.col("title") != "") & (F.col("url") != ""))

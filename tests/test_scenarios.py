@@ -302,3 +302,25 @@ def test_match_all_in_chunks_equals_one_broadcast(spark):
     one = {(r.listing_id, r.match_search_id) for r in M.match_all(li, s).collect()}
     chunked = {(r.listing_id, r.match_search_id) for r in M.match_all(li, s, chunk_rows=2).collect()}
     assert one == chunked and len(one) > 0
+
+
+def test_feed_files_and_backlog_files(spark, tmp_path):
+    feed = tmp_path / "feed.xml"
+    feed.write_text("<rss><channel><item><title>2 Zimmer 65 m2</title><link>https://f/1</link>"
+                    "<guid>g1</guid><description>700 € warm</description></item>"
+                    "<item><title></title><link>https://f/2</link></item></channel></rss>", encoding="utf-8")
+    items = X.read_feed_items(spark, str(feed)).collect()
+    # The keyword windows keep the source's quirk: 12 characters
+    # before "m2" reach back to "2 Zimmer", and before "€" to "r 65 m2 700 €".
+    assert [(r.listing_id, r.rooms, r.sqm, r.price) for r in items] == [("rss:g1", 2.0, 2.0, 65.0)]
+    runs = spark.createDataFrame([("r1", "success")], "run_id string, status string")
+    events = spark.createDataFrame([("r1", 1, "run_start", "info", "m", None, None, 0, None, "e1")],
+                                   RL.RUN_EVENT_SCHEMA)
+    where = RL.write_runs(runs, events, str(tmp_path / "db"), str(tmp_path / "q"))
+    assert where == "primary"
+    lines = RL.backlog_lines(runs, events)
+    lines.write.text(str(tmp_path / "backlog"))
+    r, e = RL.read_run_backlog_files(spark, str(tmp_path / "backlog"))
+    assert r.first().run_id == "r1" and e.first().event_id == "e1"
+    p = R.write_version(runs, str(tmp_path / "results"), 1)
+    assert spark.read.parquet(p).count() == 1
