@@ -44,9 +44,16 @@ SEEN_TABLE_SCHEMA = "key string, title string, url string, source string, batch_
 def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str, results_path: str,
                        outbox_path: str, order: list[str], now, details: DataFrame | None = None,
                        cap: int = 15, enrich_source: str | None = None, prime: bool | None = None,
-                       runs_path: str | None = None, fail_on_error: bool = False):
+                       runs_path: str | None = None, fail_on_error: bool = False,
+                       commits_path: str | None = None):
     """The ``foreachBatch`` function of I1 (exposed for tests).
 
+    A batch id is appended to a small commit table (``commits_path``, default next
+    to the seen table) after all its sinks are written; a replayed batch id found
+    there is skipped without reading the seen table.  Seen writes are idempotent
+    on their own (``seen_append``), so a crash between sinks and commit mark adds
+    no seen key twice.
+
     A failing batch is recorded as a ``failed`` run row (when ``runs_path`` is given)
     and the stream goes on, as the poll loop does; ``fail_on_error`` re-raises
     instead, so the batch is retried from the checkpoint."""
@@ -63,11 +70,13 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
                                       "batch_id bigint, status string, error_summary string") \
                     .write.mode("append").parquet(runs_path)
 
+    commits = commits_path or seen_path.rstrip("/") + "_commits"
+
     def _process(batch: DataFrame, batch_id: int) -> None:
-        seen_all = _read_or_empty(spark, seen_path, SEEN_TABLE_SCHEMA)
-        if not seen_all.filter(F.col("batch_id") == batch_id).isEmpty():
+        done = _read_or_empty(spark, commits, "batch_id bigint")
+        if not done.filter(F.col("batch_id") == batch_id).isEmpty():
             return  # replay of a committed batch: nothing to add
-        seen = seen_all.drop("batch_id")
+        seen = _read_or_empty(spark, seen_path, SEEN_TABLE_SCHEMA).drop("batch_id")
         is_prime = seen.isEmpty() if prime is None else prime
         c = run_cycle(batch, searches, seen, details, order, now, cap=cap, prime=is_prime,
                       enrich_source=enrich_source, materialize="persist")
@@ -79,6 +88,7 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
             # The seen rows go last: they are the commit mark of the batch.
             D.seen_append(seen, c.seen_rows).withColumn("batch_id", F.lit(batch_id)) \
                 .write.mode("append").parquet(seen_path)
+            spark.createDataFrame([(int(batch_id),)], "batch_id bigint").write.mode("append").parquet(commits)
         finally:
             c.flagged.unpersist()
 
