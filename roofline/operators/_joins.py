@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # A dimension with at most this many rows is broadcast; beyond it the plan keeps a
@@ -21,10 +21,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> Dat
     return F.broadcast(df) if row_bound(df, max_rows) is not None else df
 
 
-def min_by_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """First row per key in ``order``: an aggregate (``min_by`` over a struct), not a
-    window, so hot keys are combined map-side before the shuffle."""
-    rest = [c for c in df.columns if c not in key]
-    ordered = F.struct(*[F.col(c) for c in order])
-    agg = df.groupBy(*key).agg(F.min_by(F.struct(*[F.col(c) for c in rest]), ordered).alias("_first"))
-    return agg.select(*key, *[F.col("_first." + c).alias(c) for c in rest])
+def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """First row per key in ``order``: ``row_number() = 1``, which Spark plans with a
+    partial WindowGroupLimit before the shuffle, so each map partition sends at most
+    one row per key (a hot key is cut map-side, like a partial aggregate)."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    return df.withColumn("_first_rn", F.row_number().over(w)).filter(F.col("_first_rn") == 1).drop("_first_rn")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matches_criteria
 from ..functions.predicates import CRITERIA_COLS
-from ._joins import DIMENSION_MAX_ROWS, broadcast_if_small, min_by_key, row_bound
+from ._joins import DIMENSION_MAX_ROWS, broadcast_if_small, first_per_key, row_bound
 
 CRITERIA_SIDE = ["search_id", "search_type", *CRITERIA_COLS]
 
@@ -65,7 +65,7 @@ def match_all(listings: DataFrame, searches: DataFrame,
 def first_match_wins(matched: DataFrame, order: list[str]) -> DataFrame:
     """one row per listing id: the first *matching* search in fetch order keeps
     it, with its criteria and ``search_type``."""
-    return min_by_key(matched, ["listing_id"], order)
+    return first_per_key(matched, ["listing_id"], order)
 
 
 def fetch_counts(listings: DataFrame, searches: DataFrame) -> DataFrame:
