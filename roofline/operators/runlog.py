@@ -109,11 +109,15 @@ def runs_over_time(runs: DataFrame, unit: str = "day") -> DataFrame:
 
 
 def cycle_health(runs: DataFrame, unit: str = "day") -> DataFrame:
-    """Duration percentiles (exact), mean and error maximum per bucket."""
+    """Duration percentiles (exact), mean and error maximum per bucket.
+
+    Durations are whole milliseconds and the percentiles interpolate at multiples
+    of 0.05, so rounding them to 3 decimals is exact; it removes last-bit
+    differences of the interpolation arithmetic between engines."""
     return (runs.groupBy(F.date_trunc(unit, "started_at").alias("bucket"))
             .agg(F.count(F.lit(1)).alias("runs"),
-                 F.percentile("duration_ms", 0.5).alias("p50_ms"),
-                 F.percentile("duration_ms", 0.95).alias("p95_ms"),
+                 F.round(F.percentile("duration_ms", 0.5), 3).alias("p50_ms"),
+                 F.round(F.percentile("duration_ms", 0.95), 3).alias("p95_ms"),
                  F.avg("duration_ms").alias("avg_ms"),
                  F.max("errors").alias("max_errors")))
 

@@ -105,7 +105,7 @@ def q_runs_over_time(t):
 
 @register("cycle_health", sql=with_ctes("run_events", extra=_EV) + """
 SELECT CAST(date_trunc('day', started_at) AS TIMESTAMP) AS bucket, count(*) AS runs,
-       quantile_cont(duration_ms, 0.5) AS p50_ms, quantile_cont(duration_ms, 0.95) AS p95_ms,
+       round(quantile_cont(duration_ms, 0.5), 3) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 3) AS p95_ms,
        avg(duration_ms) AS avg_ms, max(errors) AS max_errors
 FROM runs GROUP BY 1""")
 def q_cycle_health(t):
