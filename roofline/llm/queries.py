@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ._common import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -23,6 +26,34 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return deco
 
 
+@query("op1_warc", table="pages", sql="""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT t, max(page_id) AS keep FROM p GROUP BY t)
+SELECT p.page_id, p.n AS payload_bytes, sha1(p.t) AS payload_digest,
+       CASE WHEN p.n >= 1000 AND p.page_id <> g.keep THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.n >= 1000 AND p.page_id <> g.keep THEN g.keep END AS refers_to
+FROM p JOIN g USING (t)""")
+def op1(pages: DataFrame) -> DataFrame:
+    from .warc import archive_pages
+    read = archive_pages(pages, f"{shared_dir(pages.sparkSession)}/warc")
+    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_line_dedup", sql=r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+hot AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hot.key IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE hot.key IS NULL), '')) AS kept_sha256
+FROM k LEFT JOIN hot USING (key) GROUP BY doc_id""")
+def op3(docs: DataFrame) -> DataFrame:
+    from .line_dedup import line_dedup
+    return line_dedup(docs, min_docs=10).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_exact_dedup", sql="""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
@@ -34,6 +65,12 @@ def op5(docs: DataFrame) -> DataFrame:
     return exact_dedup(docs)
 
 
+@query("op6_fingerprints")
+def op6(docs: DataFrame) -> DataFrame:
+    from .fingerprints import fingerprint_edits
+    return fingerprint_edits(docs)
+
+
 @query("op10_packing")
 def op10(docs: DataFrame) -> DataFrame:
     from .packing import pack
