@@ -39,6 +39,15 @@ def op1(pages: DataFrame) -> DataFrame:
     return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op2_sentencepiece")
+def op2(docs: DataFrame) -> DataFrame:
+    from .sentencepiece import decode_documents, encode_documents
+    read = decode_documents(encode_documents(docs))
+    return read.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 @query("op3_line_dedup", sql=r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
@@ -71,6 +80,13 @@ def op6(docs: DataFrame) -> DataFrame:
     return fingerprint_edits(docs)
 
 
+@query("op9_language_id")
+def op9(docs: DataFrame) -> DataFrame:
+    from .language_id import held_out, identify, train
+    return identify(docs, train(docs)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op10_packing")
 def op10(docs: DataFrame) -> DataFrame:
     from .packing import pack
