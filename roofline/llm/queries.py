@@ -13,11 +13,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, table: str = "documents", sql: str | None = None):
-    """Register ``fn(table)`` under ``name``."""
+def query(name: str, *tables: str, sql: str | None = None):
+    """Register ``fn`` of the named tables (``documents`` if none) under ``name``."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return fn(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables or ("documents",)))
         run.__name__ = name
         QUERIES[name] = run
         if sql:
@@ -26,7 +26,7 @@ def query(name: str, table: str = "documents", sql: str | None = None):
     return deco
 
 
-@query("op1_warc", table="pages", sql="""
+@query("op1_warc", "pages", sql="""
 WITH p AS (SELECT page_id, coalesce(html, '') AS t, strlen(coalesce(html, '')) AS n FROM pages),
 g AS (SELECT t, max(page_id) AS keep FROM p GROUP BY t)
 SELECT p.page_id, p.n AS payload_bytes, sha1(p.t) AS payload_digest,
@@ -80,6 +80,14 @@ def op6(docs: DataFrame) -> DataFrame:
     return fingerprint_edits(docs)
 
 
+@query("op8_toxicity", "documents", "labels")
+def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    from .toxicity import held_out, score, train
+    return score(docs, train(docs, labels)).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 @query("op9_language_id")
 def op9(docs: DataFrame) -> DataFrame:
     from .language_id import held_out, identify, train
