@@ -63,6 +63,24 @@ def op3(docs: DataFrame) -> DataFrame:
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op4_substring_dedup", sql=r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50),
+k AS (SELECT doc_id, i, md5(array_to_string(ws[i + 1:i + 50], ' ')) AS h FROM p),
+f AS (SELECT h, min(doc_id) AS least FROM k GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT k.doc_id, unnest(range(k.i, k.i + 50)) AS pos FROM k JOIN f USING (h) WHERE f.least < k.doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+kept AS (SELECT words.doc_id, count(gone.pos) AS n_removed,
+                string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE gone.pos IS NULL) AS kept
+         FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.pos = gone.pos GROUP BY words.doc_id)
+SELECT w.doc_id, len(w.ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""")
+def op4(docs: DataFrame) -> DataFrame:
+    from .substring_dedup import substring_dedup
+    return substring_dedup(docs, window=50).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query("op5_exact_dedup", sql="""
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                                     'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
