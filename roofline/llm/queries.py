@@ -98,6 +98,13 @@ def op6(docs: DataFrame) -> DataFrame:
     return fingerprint_edits(docs)
 
 
+@query("op7_near_dedup")
+def op7(docs: DataFrame) -> DataFrame:
+    from .near_dedup import near_groups
+    return near_groups(docs, k=3, percent=85).select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 @query("op8_toxicity", "documents", "labels")
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
     from .toxicity import held_out, score, train
