@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
 
@@ -33,15 +34,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, text, thash): the two columns used, whatever else the table has.
 
     ``doc_id`` and ``thash`` (a hash of the text) name a row; rows equal in both are
-    copies of one row and get the same decisions.
+    copies of one row and get the same decisions.  ``carry`` adds ``row``, the row's
+    columns but for the text.
     """
     text = F.col(text_col).cast("string")
+    row = [F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row")] if carry else []
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"),
-                       F.xxhash64(text).alias("thash"))
+                       F.xxhash64(text).alias("thash"), *row)
+
+
+def carried(ddl: str, docs: DataFrame) -> T.StructType:
+    """A schema, with the ``row`` that ``documents()`` carries if it does."""
+    schema = T.StructType.fromDDL(ddl)
+    return schema.add("row", docs.schema["row"].dataType) if "row" in docs.columns else schema
 
 
 def same_row(a: DataFrame, b: DataFrame) -> Column:
@@ -59,7 +68,7 @@ def strings(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` of a function on one batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,7 +80,3 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 def ascii_lower(data: bytes) -> bytes:
     """A-Z to a-z and nothing else (bytes.lower() leaves non-ASCII bytes alone)."""
     return data.lower()
-
-
-def sha1_binary(col: Column) -> Column:
-    return F.unhex(F.sha1(col))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, map_batches, strings
+from ._common import carried, documents, map_batches, strings
 
 ORDER, CLASSES = 4, 64
 #: Characters scored at a time, so that a long text needs no more memory than a short one.
@@ -201,8 +201,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: LanguageModel, slack: float = 0.5, deviations: float = 8.0,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, thash, lang_pred, score, rejected) of every row.
+             id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(doc_id, text, lang_pred, score, rejected) of every row; ``carry`` adds ``row``, its other columns.
 
     ``und``, score 0 and rejected: a null or empty text or one without a letter, and every
     text where no language was learned.  Rejected: a cross-entropy over that of the
@@ -216,8 +216,8 @@ def identify(docs: DataFrame, model: LanguageModel, slack: float = 0.5, deviatio
         m = shared.value
         out = [m.predict(t, slack, deviations) for t in strings(b.column(1))]
         cols = list(zip(*out))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cols[0], pa.string()),
-                                           pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())],
-                                          names=["doc_id", "thash", "lang_pred", "score", "rejected"])
-    return map_batches(documents(docs, id_col, text_col), run,
-                       "doc_id long, thash long, lang_pred string, score double, rejected boolean")
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()),
+                                           pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_()), *b.columns[2:]],
+                                          names=["doc_id", "text", "lang_pred", "score", "rejected", *b.schema.names[2:]])
+    rows = documents(docs, id_col, text_col, carry).drop("thash")
+    return map_batches(rows, run, carried("doc_id long, text string, lang_pred string, score double, rejected boolean", rows))

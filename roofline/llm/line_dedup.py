@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE, U64, cut, documents, map_batches, same_row, shared_dir, shuffle_partitions, utf8
+from ._common import SPACE, U64, carried, cut, documents, map_batches, same_row, shared_dir, shuffle_partitions, utf8
 
 LINES_SCHEMA = "doc_id long, thash long, keys array<binary>"
 COUNTS_SCHEMA = "shard int, key binary, n_docs long"
@@ -208,8 +208,9 @@ def known_lines(lines: DataFrame, index: LineIndex, salts: int = 16) -> DataFram
 def drop_lines(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, thash, text, n_lines, n_dropped): each row of ``documents()`` without the lines of its known keys."""
     per_row = known.groupBy("doc_id", "thash").agg(F.collect_set("key").alias("keys"))
+    extra = [docs["row"]] if "row" in docs.columns else []
     met = docs.join(per_row, same_row(docs, per_row), "left").select(
-        docs["doc_id"], docs["thash"], docs["text"], per_row["keys"])
+        docs["doc_id"], docs["thash"], docs["text"], per_row["keys"], *extra)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts, n, gone = [], [], []
@@ -221,23 +222,25 @@ def drop_lines(docs: DataFrame, known: DataFrame) -> DataFrame:
             gone.append(len(lines) - len(kept))
         return pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()),
-             pa.array(gone, pa.int64())], names=["doc_id", "thash", "text", "n_lines", "n_dropped"])
-    return map_batches(met, run, "doc_id long, thash long, text string, n_lines long, n_dropped long")
+             pa.array(gone, pa.int64()), *b.columns[4:]],
+            names=["doc_id", "thash", "text", "n_lines", "n_dropped", *b.schema.names[4:]])
+    return map_batches(met, run, carried("doc_id long, thash long, text string, n_lines long, n_dropped long", docs))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
+               text_col: str = "text", carry: bool = False) -> DataFrame:
     """(doc_id, thash, text, n_lines, n_dropped): texts without the lines known in ``min_docs`` documents.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased; empty
     keys always stay.  ``keep_first``: a known line stays in the row with the smallest
     (doc_id, thash) that has it, so that of many copies of a document one stays whole.
+    ``carry`` adds ``row``, the row's other columns.
     Null and empty texts are one empty line.  Each row counts as a document; a null
     doc_id is an id like another (the smallest).  An empty table gives no rows.
     """
     home = shared_dir(docs.sparkSession)
-    rows = documents(docs, id_col, text_col)
-    lines = cut(line_keys(rows), f"{home}/lines")
+    rows = documents(docs, id_col, text_col, carry)
+    lines = cut(line_keys(rows.select("doc_id", "text", "thash")), f"{home}/lines")
     index = update(LineIndex.empty(docs.sparkSession, min_docs), lines, 1, home)
     known = known_lines(lines, index)
     if keep_first:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, U64, cut, documents, map_batches, same_row, shared_dir, utf8
+from ._common import SPACE, U64, carried, cut, documents, map_batches, same_row, shared_dir, utf8
 from .fingerprints import BASE, INVERSE, mix, powers
 
 GRAM = 8
@@ -228,12 +228,13 @@ def _merge(spans: list[tuple[int, int]], n: int) -> np.ndarray:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, thash, z): the texts compressed, for a shuffle."""
+    """(doc_id, thash, z) of ``documents()``, with the row it carries: the texts compressed, for a shuffle."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         pack = zstandard.ZstdCompressor(level=1)
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([pack.compress(x) for x in utf8(b.column(1))], pa.binary())],
-                                          names=["doc_id", "thash", "z"])
-    return map_batches(docs, run, "doc_id long, thash long, z binary")
+        return pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(2), pa.array([pack.compress(x) for x in utf8(b.column(1))], pa.binary()), *b.columns[3:]],
+            names=["doc_id", "thash", "z", *b.schema.names[3:]])
+    return map_batches(docs, run, carried("doc_id long, thash long, z binary", docs))
 
 
 def _unpack(z: bytes) -> bytes:
@@ -312,33 +313,36 @@ def repeated_spans(docs: DataFrame, window: int, block: int, home: str) -> DataF
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, block: int = 2000, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
+                    text_col: str = "text", carry: bool = False, layout: bool = False) -> DataFrame:
     """(doc_id, thash, text, n_words, n_removed): the words left, joined by one blank.
 
     Words are runs without ASCII white space, unchanged.  A word goes when a window of
     ``window`` words that covers it also starts in a document with a smaller doc_id;
     windows are judged on the input.  Null, empty and short texts have no windows; rows
     that share an id are one document; rows without an id neither lose words nor count as
-    earlier.  An empty table gives no rows.
+    earlier.  An empty table gives no rows.  ``carry`` adds ``row``, the row's other
+    columns; ``layout`` leaves a text that loses nothing as it is.
     """
     home = shared_dir(docs.sparkSession)
-    rows = documents(docs, id_col, text_col)
-    spans = repeated_spans(rows, window, block, home)
+    rows = documents(docs, id_col, text_col, carry)
+    spans = repeated_spans(rows.select("doc_id", "text", "thash"), window, block, home)
     per_row = spans.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     texts = packed_texts(rows)
-    met = texts.join(per_row, same_row(texts, per_row), "left").select(texts["doc_id"], texts["thash"], "z", "spans")
+    extra = [texts["row"]] if carry else []
+    met = texts.join(per_row, same_row(texts, per_row), "left").select(texts["doc_id"], texts["thash"], "z", "spans", *extra)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         out, n, gone = [], [], []
         for z, spans in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            words = _unpack(z).split()
+            raw = _unpack(z)
+            words = raw.split()
             n.append(len(words))
             if spans:
                 drop = _merge([(s["a"], s["b"] + window) for s in spans], len(words))
                 words = [w for w, d in zip(words, drop.tolist()) if not d]
             gone.append(n[-1] - len(words))
-            out.append(b" ".join(words))
+            out.append(raw if layout and not gone[-1] else b" ".join(words))
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()).cast(pa.string()),
-                                           pa.array(n, pa.int64()), pa.array(gone, pa.int64())],
-                                          names=["doc_id", "thash", "text", "n_words", "n_removed"])
-    return map_batches(met, run, "doc_id long, thash long, text string, n_words long, n_removed long")
+                                           pa.array(n, pa.int64()), pa.array(gone, pa.int64()), *b.columns[4:]],
+                                          names=["doc_id", "thash", "text", "n_words", "n_removed", *b.schema.names[4:]])
+    return map_batches(met, run, carried("doc_id long, thash long, text string, n_words long, n_removed long", rows))
