@@ -249,29 +249,29 @@ def repeated_spans(docs: DataFrame, window: int, block: int, home: str) -> DataF
     shared = cut(rows.join(anchors, "anchor"), f"{home}/shared")
     first = cut(shared.groupBy("anchor", "seg").agg(F.min(F.struct("doc_id", "thash", "a", "b")).alias("first"),
                                                     F.min("least").alias("least")), f"{home}/first")
-    whole = shared.join(first.select("anchor", "seg", "first.doc_id").withColumnRenamed("doc_id", "earliest"),
-                        ["anchor", "seg"]).where("earliest < doc_id").select("doc_id", "thash", "a", "b")
+    held = shared.join(first.select("anchor", "seg", F.col("first.doc_id").alias("earliest")), ["anchor", "seg"])
+    whole = held.where("earliest < doc_id").select("doc_id", "thash", "a", "b")
+    own = held.where("earliest = doc_id").select("anchor", "seg", "doc_id", "thash", "a")  # wherever it stands there
     kinds = cut(first.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), f"{home}/kinds")
-    mixed = first.join(kinds, "anchor").select("anchor", "first.*", (F.col("kinds") > block).alias("large"))
-    per_doc = mixed.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("a", "b", "anchor", "large")).alias("segs"))
+    mixed = first.join(kinds, "anchor").select("anchor", "seg", "first.*", (F.col("kinds") > block).alias("large"))
+    per_doc = mixed.groupBy("doc_id", "thash").agg(F.collect_list(F.struct("a", "b", "anchor", "seg", "large")).alias("segs"))
     texts = packed_texts(docs)
-    met = texts.join(per_doc, ["doc_id", "thash"]).select(texts["doc_id"], texts["thash"], "z", "segs")
+    met = texts.join(per_doc, ["doc_id", "thash"]).select("doc_id", "z", "segs")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, th, z, segs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "thash", "z", "segs"))):
+            for doc, z, segs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "segs"))):
                 raw = _unpack(z)
                 starts, ends = word_bounds(raw)
                 for s in segs:
-                    out.append((doc, th, s["a"], s["anchor"], s["large"], raw[starts[s["a"]]:ends[s["b"] + window - 1]]))
-            cols = list(zip(*out)) or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+                    out.append((s["anchor"], s["seg"], doc, s["large"], raw[starts[s["a"]]:ends[s["b"] + window - 1]]))
+            cols = list(zip(*out)) or [()] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
-                                             names=["doc_id", "thash", "a", "anchor", "large", "words"])
-    found = cut(met.mapInArrow(words, "doc_id long, thash long, a int, anchor long, large boolean, words binary"),
-                f"{home}/words")
-    spans = "doc_id long, thash long, a int, b int"
+                                             names=["anchor", "seg", "doc_id", "large", "words"])
+    found = cut(met.mapInArrow(words, "anchor long, seg long, doc_id long, large boolean, words binary"), f"{home}/words")
+    spans = "anchor long, seg long, lo int, hi int"
 
     def search(group: pa.Table) -> pa.Table:
         # A shard: about ``block`` different segments, or one anchor's if they are more, up to that many.
@@ -279,37 +279,42 @@ def repeated_spans(docs: DataFrame, window: int, block: int, home: str) -> DataF
         code = texts.flatten().dictionary_encode().indices.to_numpy()
         at = texts.offsets.to_numpy()
         number, start = earlier_matches([code[i:j] for i, j in zip(at, at[1:])], group["doc_id"].to_numpy(), window)
-        a = group["a"].to_numpy()[number] + start
-        take = pa.array(number)
-        return pa.table({"doc_id": group["doc_id"].take(take), "thash": group["thash"].take(take),
-                         "a": pa.array(a.astype(np.int32)), "b": pa.array(a.astype(np.int32))})
+        # Starts that follow each other in one segment are one interval.
+        new = np.ones(len(start), bool)
+        new[1:] = (np.diff(number) != 0) | (np.diff(start) != 1)
+        first_, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(start))[:int(new.sum())] - 1
+        take = pa.array(number[first_])
+        return pa.table({"anchor": group["anchor"].take(take), "seg": group["seg"].take(take),
+                         "lo": pa.array(start[first_].astype(np.int32)), "hi": pa.array(start[last].astype(np.int32))})
 
     small = found.where("not large")
     shards = max(1, small.count() // block)
     searched = small.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).select(
-        "shard", "doc_id", "thash", "a", "words").groupBy("shard").applyInArrow(search, spans)
+        "shard", "anchor", "seg", "doc_id", "words").groupBy("shard").applyInArrow(search, spans)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which, cols = [], []
-            for i, (a, raw) in enumerate(zip(batch.column(2).to_pylist(), batch.column(5).to_pylist())):
+            for i, raw in enumerate(batch.column(3).to_pylist()):
                 values = word_hashes(raw)
                 at = np.arange(len(values) - window + 1)
                 which.append(np.full(len(at), i))
-                # Two hashes of the window, one of them over hashes of other base values.
-                cols.append((at + a, range_hashes(values, at, at + window).view(np.int64),
+                # Two hashes of the window, the second over other values for the words.
+                cols.append((at, range_hashes(values, at, at + window).view(np.int64),
                              range_hashes(mix(values + BASE), at, at + window).view(np.int64)))
             if which:
                 take = pa.array(np.concatenate(which))
-                a, h, g = (np.concatenate(x) for x in zip(*cols))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(a.astype(np.int32)),
-                                                  pa.array(h), pa.array(g)], names=["doc_id", "thash", "a", "h", "g"])
-    hashed = found.where("large").select("doc_id", "thash", "a", "anchor", "large", "words").mapInArrow(
-        windows, "doc_id long, thash long, a int, h long, g long")
+                lo, h, g = (np.concatenate(x) for x in zip(*cols))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array(lo.astype(np.int32)),
+                                                  pa.array(h), pa.array(g)], names=["anchor", "seg", "doc_id", "lo", "h", "g"])
+    hashed = found.where("large").select("anchor", "seg", "doc_id", "words").mapInArrow(
+        windows, "anchor long, seg long, doc_id long, lo int, h long, g long")
     least = cut(hashed.groupBy("h", "g").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
                 .where("least < most").select("h", "g", "least"), f"{home}/windows")
-    counted = hashed.join(least, ["h", "g"]).where("least < doc_id").select("doc_id", "thash", "a", F.col("a").alias("b"))
-    return whole.unionByName(searched).unionByName(counted)
+    counted = hashed.join(least, ["h", "g"]).where("least < doc_id").select("anchor", "seg", "lo", F.col("lo").alias("hi"))
+    parts = searched.unionByName(counted).join(own, ["anchor", "seg"]).select(
+        "doc_id", "thash", (F.col("a") + F.col("lo")).alias("a"), (F.col("a") + F.col("hi")).alias("b"))
+    return whole.unionByName(parts)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, block: int = 2000, id_col: str = "doc_id",
