@@ -155,6 +155,8 @@ def fit(counts: DataFrame, discount: float = 0.75) -> LanguageModel:
             levels.insert(0, (k, c.astype(np.float64)))
         tables.append(levels)
     union = [functools.reduce(np.union1d, [t[o][0] for t in tables], np.zeros(0, np.uint32)) for o in range(ORDER)]
+    for o in range(ORDER - 1, 0, -1):  # a context at the start of a text ends no gram
+        union[o - 1] = np.union1d(union[o - 1], union[o] >> np.uint32(6))
     union[0] = np.arange(CLASSES, dtype=np.uint32)
     model = LanguageModel(langs, union, [np.zeros((len(k), len(langs)), np.float32) for k in union],
                           [np.zeros((len(k), len(langs)), np.float32) for k in union],
@@ -177,8 +179,7 @@ def fit(counts: DataFrame, discount: float = 0.75) -> LanguageModel:
             # All grams that any language has: back-off first, then the language's own counts on top.
             grams = union[order - 1]
             lower = one.gram_scores(grams & np.uint32((1 << 6 * (order - 1)) - 1), order - 1)[:, 0].astype(np.float64)
-            p = np.exp(lower + one.back[order - 2][np.searchsorted(lower_keys, grams >> np.uint32(6)), 0]
-                       if len(lower_keys) else lower)
+            p = np.exp(lower + one.back[order - 2][np.searchsorted(lower_keys, grams >> np.uint32(6)), 0])
             at = np.searchsorted(grams, keys)
             p[at] += np.maximum(counts - discount, 0) / total[where]
             one.logp[order - 1][:, 0] = np.log(p)
