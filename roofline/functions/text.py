@@ -6,6 +6,9 @@ Python's ``str.strip``, ``\\s``, ``\\d`` and ``\\b`` are Unicode-aware; Spark's
 
 from __future__ import annotations
 
+import json
+from html import entities
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,13 +27,21 @@ PRICE_KEYWORDS = ["€", "eur", "miete"]
 ROOMS_KEYWORDS = ["zimmer"]
 SQM_KEYWORDS = ["m²", "m2"]
 
-# Named HTML entities decoded in node text (``&amp;`` last).
-HTML_ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&euro;", "€"), ("&sup2;", "²"),
-    ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"),
-    ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&amp;", "&"),
-]
+# The named character references of HTML, from the standard library: with ``;`` all of
+# them, without it only the old ones, of which the longest that fits is meant.
+_NAMED = json.dumps({k[:-1]: v for k, v in entities.html5.items() if k.endswith(";")})
+_OLD = "|".join(sorted((k for k in entities.html5 if not k.endswith(";")), key=len, reverse=True))
+_REFERENCE = r"^(?:#[0-9]{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]*;|(?:" + _OLD + "))"
+
+
+def _windows(byte: int) -> str:
+    try:
+        return bytes([byte]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(byte)
+
+
+_WINDOWS = "".join(map(_windows, range(128, 160)))
 
 
 def strip_text(c) -> Column:
@@ -122,17 +133,46 @@ def format_attrs(price, rooms, sqm, location) -> Column:
     return F.concat_ws(" · ", p, r, s, loc)
 
 
+def _code_point(n: Column) -> Column:
+    """The character of a number; U+FFFD for none.  Numbers 128-159 mean Windows-1252."""
+    char = lambda x: F.decode(F.unhex(F.lpad(F.hex(x), 8, "0")), "UTF-32")
+    old = F.substr(F.lit(_WINDOWS), (n - 127).cast("int"), F.lit(1))
+    bad = (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    return F.when(bad, F.lit("\ufffd")).when(n.between(128, 159), old).otherwise(char(n))
+
+
+def _decode_one(part: Column) -> Column:
+    """A piece of text that followed an ``&``, its reference decoded if it begins with one."""
+    ref = F.regexp_extract(part, _REFERENCE, 0)
+    name = F.regexp_replace(ref, ";$", "")
+    number = F.when(F.substring(name, 2, 1).isin("x", "X"), F.conv(F.substring(name, 3, 6), 16, 10)) \
+        .otherwise(F.substring(name, 2, 7)).cast("bigint")
+    named = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), name)
+    # A name that is none, with ``;``, may still begin with one of the old names.
+    old = F.regexp_extract(part, "^(?:" + _OLD + ")", 0)
+    old_char = F.try_element_at(F.from_json(F.lit(_NAMED), "map<string,string>"), old)
+    return (F.when(name.startswith("#"), F.concat(_code_point(number), F.substr(part, F.length(ref) + 1)))
+            .when((ref != "") & named.isNotNull(), F.concat(named, F.substr(part, F.length(ref) + 1)))
+            .when((old != "") & old_char.isNotNull(), F.concat(old_char, F.substr(part, F.length(old) + 1)))
+            .otherwise(F.concat(F.lit("&"), part)))
+
+
 def decode_entities(c) -> Column:
-    out = col(c)
-    for a, b in HTML_ENTITIES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Every named and numeric character reference of a text decoded, once."""
+    c = col(c)
+    parts = F.split(c, "&")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _decode_one)
+    return F.when(F.contains(c, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(c)
+
+
+# A tag: its quoted attribute values may hold ">".
+TAG = r"""<(?:[^>"']|"[^"]*"|'[^']*')*>|<[^>]*>"""
 
 
 def node_text(html) -> Column:
     """Text pieces of a fragment, each stripped, joined by one space, entities
     decoded; empty is null.  Script/style bodies and comments are not text."""
     h = F.regexp_replace(col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "<x>")
-    pieces = F.transform(F.split(h, r"<[^>]*>"), lambda p: strip_text(decode_entities(p)))
+    pieces = F.transform(F.split(h, TAG), lambda p: strip_text(decode_entities(p)))
     joined = F.array_join(F.filter(pieces, lambda p: p != ""), " ")
     return F.when(joined != "", joined)

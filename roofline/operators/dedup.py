@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ SEEN_COLS = ["key", "title", "url", "source"]
 
 
 def read_seen(spark, *paths: str, fmt: str = "parquet") -> DataFrame:
-    """Ids from every store; a missing or unreadable store counts as empty;
+    """Ids from every store; a missing store counts as empty, an unreadable one
+    raises;
     JSON stores may be ``{"seen": [...]}`` or a bare list; null ids are dropped."""
     frames = []
     for p in paths:
@@ -33,7 +35,9 @@ def read_seen(spark, *paths: str, fmt: str = "parquet") -> DataFrame:
                 df = raw.select(F.explode(arr).alias("key"))
             else:
                 df = spark.read.parquet(p)
-        except Exception:  # a missing or corrupt store degrades to empty
+        except AnalysisException as e:  # only an absent store is empty
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         frames.append(seen_frame(df))
     if not frames:

@@ -49,8 +49,8 @@ def retry_queue(attempts: DataFrame, item: list[str], order: str = "attempt") ->
 
 def channel_outcomes(attempts: DataFrame, item: list[str]) -> DataFrame:
     """Per item, one nullable boolean per channel: true if any attempt on it
-    succeeded (2xx), false if all failed, null when the channel was not used."""
-    ok = (F.col("status") >= 200) & (F.col("status") < 300)
+    succeeded (a status below 400), false if all failed, null when the channel was not used."""
+    ok = F.col("status") < 400
     return attempts.groupBy(*item).agg(*[
         F.bool_or(F.when(F.col("channel") == ch, F.coalesce(ok, F.lit(False)))).alias(f"{ch}_ok")
         for ch in CHANNELS])
@@ -68,15 +68,20 @@ def delivery_status(outcomes: DataFrame) -> DataFrame:
 
 
 def delivery_attempts(status: DataFrame, key: str = "listing_id", cycle: str = "cycle",
-                      max_attempts: int = MAX_NOTIFY_ATTEMPTS) -> DataFrame:
+                      max_attempts: int = MAX_NOTIFY_ATTEMPTS, prior: DataFrame | None = None) -> DataFrame:
     """attempts per listing over cycles; rows up to the first of (delivered,
     attempt ``max_attempts``).  ``settled`` marks the last kept row: delivered or
-    given up; a settled listing is persisted as seen and never retried."""
+    given up; a settled listing is persisted as seen and never retried.  ``prior``
+    (key, n, settled) continues counts from before."""
     w = Window.partitionBy(key).orderBy(cycle)
     # Only the first ``max_attempts`` cycles of a listing can be kept; filtering on
     # the row number lets Spark cut each key to that many rows map-side
     # (WindowGroupLimit), so a hot listing never reaches one task whole.
-    x = status.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= max_attempts)
+    x = status.withColumn("n", F.row_number().over(w).cast("bigint")).filter(F.col("n") <= max_attempts)
+    if prior is not None:
+        before = prior.select(key, F.col("n").alias("_n"), F.col("settled").alias("_s"))
+        x = (x.join(before, key, "left").filter(~F.coalesce("_s", F.lit(False)))
+             .withColumn("n", F.col("n") + F.coalesce("_n", F.lit(0))).filter(F.col("n") <= max_attempts).drop("_n", "_s"))
     x = x.withColumn("_done", (F.col("any_sent") | (F.col("n") >= max_attempts)).cast("int"))
     x = x.withColumn("_prior", F.coalesce(F.max("_done").over(
         w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_done")
@@ -85,9 +90,11 @@ def delivery_attempts(status: DataFrame, key: str = "listing_id", cycle: str = "
             .withColumn("gave_up", ~F.col("any_sent") & (F.col("n") >= max_attempts)))
 
 
-def commit_set(attempts: DataFrame, key: str = "listing_id") -> DataFrame:
-    """What a cycle persists: delivered, given up, or (no channel) everything;
-    undelivered listings below the limit stay unseen."""
+def commit_set(attempts: DataFrame, key: str = "listing_id", channels: bool = True) -> DataFrame:
+    """What a cycle persists: delivered or given up, and without any channel
+    everything; undelivered listings below the limit stay unseen."""
+    if not channels:
+        return attempts.select(key, "cycle", F.lit("no_channel").alias("reason"))
     s = attempts.filter(F.col("settled"))
     return s.select(key, "cycle", F.when(F.col("any_sent"), "delivered").otherwise("gave_up").alias("reason"))
 

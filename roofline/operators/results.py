@@ -21,7 +21,7 @@ PORTAL_SOURCE = "kleinanzeigen"
 
 RESULT_COLS = ["listing_id", "title", "url", "source", "search_type", "status", "price", "rooms", "sqm",
                "location", "description", *DETAIL_KEYS, "features", "available", "last_checked",
-               "first_seen", "removed_at"]
+               "first_seen"]
 
 
 def result_rows(listings: DataFrame, now) -> DataFrame:
@@ -41,8 +41,7 @@ def result_rows(listings: DataFrame, now) -> DataFrame:
           for k in DETAIL_KEYS],
         F.when(F.size(feats) > 0, F.array_join(feats, ", ")).alias("features"),
         F.lit(True).alias("available"),
-        now_ts.alias("last_checked"), now_ts.alias("first_seen"),
-        F.lit(None).cast("timestamp_ntz").alias("removed_at"))
+        now_ts.alias("last_checked"), now_ts.alias("first_seen"))
 
 
 def still_available(results: DataFrame) -> DataFrame:
@@ -65,12 +64,12 @@ def recheck_due(results: DataFrame, now, interval_days: int) -> DataFrame:
 
 
 def availability_verdict(status, body) -> F.Column:
-    """D7 verdict as a nullable boolean: false = removed (404/410, or a 2xx page with
-    a removal marker), true = alive, null = unknown (blocked or other error)."""
+    """D7 verdict as a nullable boolean: false = removed (404/410, or a page below
+    400 with a removal marker), true = alive, null = unknown (blocked or other error)."""
     from ..functions import is_removed_text
     s = F.col(status)
     return (F.when(s.isin(404, 410), F.lit(False))
-            .when((s >= 200) & (s < 300), ~is_removed_text(body)))
+            .when(s < 400, ~is_removed_text(body)))
 
 
 def availability_updates(results: DataFrame, fetches: DataFrame, now) -> DataFrame:

@@ -7,11 +7,15 @@ aggregation per run, never one action per figure.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bounded_text
 
+log = logging.getLogger(__name__)
+
 RUN_EVENT_SCHEMA = ("run_id string, seq bigint, phase string, level string, message string, "
                     "source string, count bigint, elapsed_ms bigint, at timestamp_ntz, event_id string")
 RUN_SCHEMA = ("run_id string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_ms bigint, "
@@ -32,13 +36,10 @@ def _ms(a, b) -> F.Column:
 
 
 def number_events(events: DataFrame, order: list[str]) -> DataFrame:
-    """F3 + F4: ``seq`` 1..n per run in ``order``, and ms since the run's first event."""
-    w = Window.partitionBy("run_id").orderBy(*order)
-    first = events.groupBy("run_id").agg(F.min("at").alias("_t0"))
-    return (events.withColumn("seq", F.row_number().over(w).cast("bigint"))
-            .join(first, "run_id")
-            .withColumn("elapsed_ms", _ms(F.col("_t0"), F.col("at")).cast("bigint"))
-            .drop("_t0"))
+    """F3 + F4: ``seq`` 1..n per run in ``order``, and ms since the run's first event, with one exchange by run."""
+    run = Window.partitionBy("run_id")
+    return events.withColumns({"seq": F.row_number().over(run.orderBy(*order)).cast("bigint"),
+                               "elapsed_ms": _ms(F.min("at").over(run), F.col("at")).cast("bigint")})
 
 
 def is_failed_source(message="message", phase="phase") -> F.Column:
@@ -48,51 +49,50 @@ def is_failed_source(message="message", phase="phase") -> F.Column:
     return (F.col(phase) == "fetch_source") & (m.startswith(FAILED_PREFIXES[0]) | m.startswith(FAILED_PREFIXES[1]))
 
 
-# error_summary keeps 2000 characters: "failed_sources=" plus entries of at least two
-# characters each ("x,"), so no entry past the 1000th can ever be visible.
-MAX_SUMMARY_ENTRIES = (MAX_TEXT - len("failed_sources=")) // 2 + 1
+def is_polled_source(message="message", phase="phase") -> F.Column:
+    """The one event that each polled source leaves: ok, failed or blocked."""
+    return is_failed_source(message, phase) | ((F.col(phase) == "fetch_source") & F.col(message).startswith("ok"))
+
+
+def is_notified(message="message", phase="phase", level="level") -> F.Column:
+    """An individually delivered listing: undelivered and given-up ones are warnings and errors, and
+    those of the overflow summary say so."""
+    return (F.col(phase) == "notify_item") & (F.col(level) == "info") & ~F.contains(F.col(message), F.lit("summary("))
 
 
 def summarize_runs(events: DataFrame) -> DataFrame:
     """E4 + E6: run totals from numbered events (``seq`` required).
 
-    errors = error-level events; failed sources = failed/blocked fetch events in
-    order, repeats kept; polled = distinct sources; duration from first to last
-    event.  The summary list is built from the first ``MAX_SUMMARY_ENTRIES`` failed
-    events of each run only (ranked by a window), so no group collects more than
-    that, while the bounded text stays exact."""
+    polled = source outcomes; fetched = their counts; new = the count of the last dedup
+    event (a cycle with reposts writes a second one); notified = delivered individual
+    messages; errors = error-level events; crashed = a ``run_error`` event; failed
+    sources in order, repeats kept, whole (``run_payload`` bounds what is stored)."""
+    dedup = F.col("phase") == "dedup"
+    failed = F.array_sort(F.collect_list(F.when(is_failed_source(), F.struct("seq", "source"))))
     totals = events.groupBy("run_id").agg(
         F.min("at").alias("started_at"), F.max("at").alias("finished_at"),
-        F.count_distinct("source").alias("sources_polled"),
+        F.count_if(is_polled_source()).alias("sources_polled"),
         F.coalesce(F.sum(F.when(F.col("phase") == "fetch_source", F.col("count"))), F.lit(0)).cast("bigint").alias("fetched"),
-        F.coalesce(F.sum(F.when(F.col("phase") == "dedup", F.col("count"))), F.lit(0)).cast("bigint").alias("new"),
-        F.count_if(F.col("phase") == "notify_item").alias("notified"),
+        F.coalesce(F.max_by(F.when(dedup, F.col("count")), F.when(dedup, F.col("seq"))), F.lit(0)).cast("bigint").alias("new"),
+        F.count_if(is_notified()).alias("notified"),
         F.count_if(F.col("level") == "error").alias("errors"),
-        F.count_if(is_failed_source()).alias("failed_sources"),
-        F.first("host", ignorenulls=True).alias("host"),
-    )
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("seq"))
-    first_failed = (events.filter(is_failed_source()).select("run_id", "seq", "source", rank.alias("_r"))
-                    .filter(F.col("_r") <= MAX_SUMMARY_ENTRIES))
-    lists = first_failed.groupBy("run_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "source"))).alias("_failed"))
-    summary = F.when(F.col("_failed").isNotNull(),
-                     F.concat(F.lit("failed_sources="), F.array_join(F.col("_failed.source"), ",")))
-    return totals.join(lists, "run_id", "left").select(
+        F.coalesce(F.bool_or(F.col("phase") == "run_error"), F.lit(False)).alias("crashed"),
+        F.first("host", ignorenulls=True).alias("host"), failed.alias("_failed"))
+    summary = F.when(F.size("_failed") > 0, F.concat(F.lit("failed_sources="), F.array_join(F.col("_failed.source"), ",")))
+    return totals.select(
         "run_id", "started_at", "finished_at",
         _ms(F.col("started_at"), F.col("finished_at")).cast("bigint").alias("duration_ms"),
-        "sources_polled", "fetched", "new", "notified", "errors",
-        F.col("failed_sources").cast("bigint").alias("failed_sources"),
-        bounded_text(summary, MAX_TEXT).alias("error_summary"), "host")
+        "sources_polled", "fetched", "new", "notified", "errors", "crashed",
+        F.size("_failed").cast("bigint").alias("failed_sources"), summary.alias("error_summary"), "host")
 
 
 def classify_run(failed_sources="failed_sources", errors="errors", polled="sources_polled",
-                 explicit=None) -> F.Column:
-    """E5: success without failed sources and errors; failed when every polled source
-    failed; partial otherwise; an explicit status wins."""
+                 crashed="crashed", explicit=None) -> F.Column:
+    """E5: failed after a crash or when every polled source failed; success without failed
+    sources and errors; partial otherwise; an explicit status wins."""
     f, e, p = F.col(failed_sources), F.col(errors), F.col(polled)
-    status = (F.when((f == 0) & (e == 0), "success").when((p > 0) & (f >= p), "failed")
-              .otherwise("partial"))
+    status = (F.when(F.col(crashed), "failed").when((f == 0) & (e == 0), "success")
+              .when((p > 0) & (f >= p), "failed").otherwise("partial"))
     return F.coalesce(F.col(explicit), status) if explicit else status
 
 
@@ -109,17 +109,20 @@ def runs_over_time(runs: DataFrame, unit: str = "day") -> DataFrame:
 
 
 def cycle_health(runs: DataFrame, unit: str = "day") -> DataFrame:
-    """Duration percentiles (exact), mean and error maximum per bucket.
+    """Duration percentiles (exact), mean and error maximum per bucket, from the counts of
+    each duration, so that a bucket's buffer holds distinct durations only.
 
     Durations are whole milliseconds and the percentiles interpolate at multiples
     of 0.05, so rounding them to 3 decimals is exact; it removes last-bit
     differences of the interpolation arithmetic between engines."""
-    return (runs.groupBy(F.date_trunc(unit, "started_at").alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("runs"),
-                 F.round(F.percentile("duration_ms", 0.5), 3).alias("p50_ms"),
-                 F.round(F.percentile("duration_ms", 0.95), 3).alias("p95_ms"),
-                 F.avg("duration_ms").alias("avg_ms"),
-                 F.max("errors").alias("max_errors")))
+    each = runs.groupBy(F.date_trunc(unit, "started_at").alias("bucket"), "duration_ms").agg(
+        F.count(F.lit(1)).alias("n"), F.max("errors").alias("errors"))
+    return each.groupBy("bucket").agg(
+        F.sum("n").alias("runs"), F.round(F.percentile("duration_ms", 0.5, F.col("n")), 3).alias("p50_ms"),
+        F.round(F.percentile("duration_ms", 0.95, F.col("n")), 3).alias("p95_ms"),
+        (F.sum(F.col("duration_ms") * F.when(F.col("duration_ms").isNotNull(), F.col("n")))
+         / F.sum(F.when(F.col("duration_ms").isNotNull(), F.col("n")))).alias("avg_ms"),
+        F.max("errors").alias("max_errors"))
 
 
 def retention_split(runs: DataFrame, events: DataFrame, now, days: int):
@@ -181,8 +184,9 @@ def event_payload(events: DataFrame) -> DataFrame:
 
 
 def run_drilldown(runs: DataFrame, events: DataFrame) -> DataFrame:
-    """The events of the given runs, in ``seq`` order."""
-    return events.join(runs.select("run_id"), "run_id", "left_semi").orderBy("run_id", "seq")
+    """The events of the given runs, those of a run together and in ``seq`` order."""
+    return (events.join(runs.select("run_id"), "run_id", "left_semi").repartition("run_id")
+            .sortWithinPartitions("run_id", "seq"))
 
 
 def read_run_backlog_files(spark, path: str) -> tuple[DataFrame, DataFrame]:
@@ -192,16 +196,25 @@ def read_run_backlog_files(spark, path: str) -> tuple[DataFrame, DataFrame]:
 
 def write_runs(runs: DataFrame, events: DataFrame, primary: str, quarantine: str,
                batch_id: int | None = None) -> str:
-    """Append runs and events to the primary tables; if that fails, append the
-    same runs as JSONL backlog lines to the quarantine folder instead.  Never
-    raises for a failed primary write; returns where the rows went.  A ``batch_id``
-    column lets a replayed batch be recognised (see ``merge_backlog``)."""
-    if batch_id is not None:
-        runs = runs.withColumn("batch_id", F.lit(batch_id))
+    """Append runs and events to the primary tables; what cannot be written there goes to
+    the quarantine folder as JSONL backlog lines.  Never raises: the run log is
+    observational.  Returns ``primary``, ``quarantine`` or ``lost``.  Events go first, so a
+    run row in the primary table has its events there.  With a ``batch_id`` each batch has
+    a folder of its own, which a replay overwrites."""
+    def put(df: DataFrame, name: str) -> None:
+        if batch_id is None:
+            df.write.mode("append").parquet(f"{primary}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{primary}/{name}/batch_id={batch_id}")
     try:
-        runs.write.mode("append").parquet(f"{primary}/runs")
-        events.write.mode("append").parquet(f"{primary}/events")
+        put(events, "events")
+        put(runs, "runs")
         return "primary"
-    except Exception:  # noqa: BLE001 - the run log is observational
-        backlog_lines(runs, events).write.mode("append").text(quarantine)
-        return "quarantine"
+    except Exception:  # noqa: BLE001
+        try:
+            out = quarantine if batch_id is None else f"{quarantine}/batch_id={batch_id}"
+            backlog_lines(runs, events).write.mode("append" if batch_id is None else "overwrite").text(out)
+            return "quarantine"
+        except Exception:  # noqa: BLE001
+            log.exception("run log of batch %s could not be written", batch_id)
+            return "lost"

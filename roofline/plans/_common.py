@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources.searches import active_searches, read_searches
 from . import adapters as A
 
@@ -28,3 +31,8 @@ def active_dim(t: A.Tables) -> DataFrame:
 def fetched(t: A.Tables) -> DataFrame:
     """Listings of the active searches only (inactive ones are never fetched)."""
     return t.memo("fetched", lambda: A.listings(t).join(active_dim(t).select("search_id"), "search_id", "left_semi"))
+
+
+def scratch(t, name: str) -> str:
+    """A new folder of this query below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/roofline/{name}-{uuid.uuid4().hex}"

@@ -204,16 +204,21 @@ def _run_events(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
     et = F.col("event_type")
     e = e.select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
-    phase = (F.when(et.isin("error", "signup", "view"), "fetch_source")
+    kk = F.col("k")
+    crash, sent = (et == "error") & (kk % 25 == 3), et == "purchase"
+    phase = (F.when(crash, "run_error").when(et.isin("error", "signup", "view"), "fetch_source")
              .when(et == "click", "dedup").otherwise("notify_item"))
-    level = F.when(et == "error", "error").when(et == "signup", "warning").otherwise("info")
-    ks = F.col("k").cast("string")
-    message = (F.when(et == "error", F.concat(F.lit("failed: "), ks))
-               .when((et == "signup") & (F.col("k") % 2 == 0), F.concat(F.lit("403_blocked: "), ks))
+    level = (F.when((et == "error") | (sent & (kk % 7 == 2)), "error")
+             .when((et == "signup") | (sent & (kk % 7 == 1)), "warning").otherwise("info"))
+    ks = kk.cast("string")
+    message = (F.when(crash, F.concat(F.lit("in run_cycle: "), ks))
+               .when(et == "error", F.concat(F.lit("failed: "), ks))
+               .when((et == "signup") & (kk % 2 == 0), F.concat(F.lit("403_blocked: "), ks))
                .when(et == "signup", F.concat(F.lit("enrich failed: "), ks))
                .when(et == "view", F.concat(F.lit("ok: "), ks))
-               .when(et == "click", F.concat(F.col("k").cast("string"), F.lit(" new")))
-               .otherwise(F.lit("delivered")))
+               .when(et == "click", F.concat(ks, F.lit(" new")))
+               .when(kk % 7 == 0, F.lit("summary(3)")).when(kk % 7 == 1, F.lit("undelivered"))
+               .when(kk % 7 == 2, F.lit("gave up")).otherwise(F.lit("delivered")))
     return e.select(
         F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd")).alias("run_id"),
         phase.alias("phase"), level.alias("level"), message.alias("message"),

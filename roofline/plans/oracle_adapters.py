@@ -154,14 +154,18 @@ WHERE {strip_sql("coalesce(url, '')")} <> ''""")
 
 CTES["run_events"] = ((), """
 SELECT CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS run_id,
-       CASE WHEN event_type IN ('error', 'signup', 'view') THEN 'fetch_source'
+       CASE WHEN event_type = 'error' AND k % 25 = 3 THEN 'run_error'
+            WHEN event_type IN ('error', 'signup', 'view') THEN 'fetch_source'
             WHEN event_type = 'click' THEN 'dedup' ELSE 'notify_item' END AS phase,
-       CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'info' END AS level,
-       CASE WHEN event_type = 'error' THEN 'failed: ' || CAST(k AS VARCHAR)
+       CASE WHEN event_type = 'error' OR (event_type = 'purchase' AND k % 7 = 2) THEN 'error'
+            WHEN event_type = 'signup' OR (event_type = 'purchase' AND k % 7 = 1) THEN 'warning' ELSE 'info' END AS level,
+       CASE WHEN event_type = 'error' AND k % 25 = 3 THEN 'in run_cycle: ' || CAST(k AS VARCHAR)
+            WHEN event_type = 'error' THEN 'failed: ' || CAST(k AS VARCHAR)
             WHEN event_type = 'signup' AND k % 2 = 0 THEN '403_blocked: ' || CAST(k AS VARCHAR)
             WHEN event_type = 'signup' THEN 'enrich failed: ' || CAST(k AS VARCHAR)
             WHEN event_type = 'view' THEN 'ok: ' || CAST(k AS VARCHAR)
             WHEN event_type = 'click' THEN CAST(k AS VARCHAR) || ' new'
+            WHEN k % 7 = 0 THEN 'summary(3)' WHEN k % 7 = 1 THEN 'undelivered' WHEN k % 7 = 2 THEN 'gave up'
             ELSE 'delivered' END AS message,
        'src' || CAST(k % 4 AS VARCHAR) AS source,
        CASE WHEN event_type IN ('view', 'click') THEN k END AS count,

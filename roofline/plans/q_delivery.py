@@ -13,9 +13,9 @@ from .registry import register
 ITEM = ["listing_id", "cycle"]
 _CO = {"co": """
 SELECT listing_id, cycle,
-  bool_or(CASE WHEN channel = 'telegram' THEN coalesce(status >= 200 AND status < 300, false) END) AS telegram_ok,
-  bool_or(CASE WHEN channel = 'email' THEN coalesce(status >= 200 AND status < 300, false) END) AS email_ok,
-  bool_or(CASE WHEN channel = 'ha' THEN coalesce(status >= 200 AND status < 300, false) END) AS ha_ok
+  bool_or(CASE WHEN channel = 'telegram' THEN coalesce(status < 400, false) END) AS telegram_ok,
+  bool_or(CASE WHEN channel = 'email' THEN coalesce(status < 400, false) END) AS email_ok,
+  bool_or(CASE WHEN channel = 'ha' THEN coalesce(status < 400, false) END) AS ha_ok
 FROM attempts GROUP BY listing_id, cycle""",
        "ds": """
 SELECT *, coalesce(telegram_ok, false) OR coalesce(email_ok, false) OR coalesce(ha_ok, false) AS any_sent,

@@ -81,8 +81,7 @@ SELECT listing_id, title, url, source, CASE WHEN search_type <> '' THEN search_t
        'new' AS status, price, rooms, sqm, location, description, bedrooms, bathrooms, floor, apartment_type,
        available_from, additional_costs, warm_rent, deposit,
        CASE WHEN len(features) > 0 THEN array_to_string(features, ', ') END AS features,
-       true AS available, TIMESTAMP '{NOW}' AS last_checked, TIMESTAMP '{NOW}' AS first_seen,
-       CAST(NULL AS TIMESTAMP) AS removed_at
+       true AS available, TIMESTAMP '{NOW}' AS last_checked, TIMESTAMP '{NOW}' AS first_seen
 FROM kept"""))
 def q_result_rows(t):
     """The results rows a cycle writes."""
@@ -96,12 +95,13 @@ def q_notify_cap(t):
 
 
 @register("notify_summary", sql=_sql(f"""
-SELECT 0 AS line_no, '➕ ' || CAST(count(*) AS VARCHAR) || ' weitere neue Inserate:' AS line FROM overflow HAVING count(*) > 0
-UNION ALL SELECT 1, '• ' || {html_escape_sql('title')} || ' — ' || {html_escape_sql('url')} FROM overflow"""))
+SELECT 0 AS line_no, '➕ ' || CAST(count(*) AS VARCHAR) || ' weitere neue Inserate:' AS line, {', '.join(f'NULL AS {c}' for c in A.LISTING_ORDER)}
+FROM overflow HAVING count(*) > 0
+UNION ALL SELECT 1, '• ' || {html_escape_sql('title')} || ' — ' || {html_escape_sql('url')}, {', '.join(A.LISTING_ORDER)} FROM overflow"""))
 def q_notify_summary(t):
-    """The overflow beyond the cap as one summary (header + bullet lines)."""
+    """The overflow beyond the cap as one summary: header and bullet lines, with the columns that order them."""
     c = cycle(t)
-    return V.summary_lines(c.overflow, A.LISTING_ORDER).select("line_no", "line")
+    return V.summary_lines(c.overflow, A.LISTING_ORDER).select("line_no", "line", *A.LISTING_ORDER)
 
 
 @register("outbox_chat", sql=_sql(f"""
@@ -127,7 +127,12 @@ def q_outbox_mail(t):
     return V.outbox_mail(cycle(t).individual)
 
 
-@register("outbox_webhook")
+@register("outbox_webhook", sql=_sql("""
+SELECT listing_id, listing_id AS id, title, url, price, rooms, sqm, location, source, 8 AS n_fields FROM individual"""))
 def q_outbox_webhook(t):
-    """Webhook JSON bodies (rows-only check; JSON text differs between engines)."""
-    return V.outbox_webhook(cycle(t).individual)
+    """Webhook JSON bodies, their fields read back (the text differs between engines)."""
+    j = V.outbox_webhook(cycle(t).individual)
+    get = lambda name: F.get_json_object("json", f"$.{name}")
+    return j.select("listing_id", get("listing_id").alias("id"), get("title").alias("title"), get("url").alias("url"),
+                    *[get(c).cast("double").alias(c) for c in ("price", "rooms", "sqm")], get("location").alias("location"),
+                    get("source").alias("source"), F.size(F.json_object_keys("json")).alias("n_fields"))

@@ -22,7 +22,7 @@ SELECT e.listing_id,
   TIMESTAMP '{NOW}' AS last_checked,
   CASE WHEN NOT alive AND (e.status IS NULL OR e.status IN ('', 'new')) THEN 'expired' END AS status
 FROM elig e JOIN (SELECT listing_id, CASE WHEN http_status IN (404, 410) THEN false
-                    WHEN http_status >= 200 AND http_status < 300 THEN NOT (
+                    WHEN http_status < 400 THEN NOT (
                       contains(lower(body), 'ist nicht mehr verfügbar') OR contains(lower(body), 'wurde gelöscht')
                       OR contains(lower(body), 'nicht mehr verfügbar') OR contains(lower(body), 'anzeige wurde nicht gefunden'))
                     END AS alive FROM fetches) f ON f.listing_id = e.listing_id

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import health as H
 from ..operators import runlog as R
 from . import adapters as A
+from ._common import scratch
 from .oracle_adapters import with_ctes
 from .registry import register
 
@@ -24,19 +25,20 @@ FROM run_events""",
        "agg": """
 SELECT run_id, min("at") AS started_at, max("at") AS finished_at,
        (epoch_us(max("at")) - epoch_us(min("at"))) // 1000 AS duration_ms,
-       count(DISTINCT source) AS sources_polled,
+       count(*) FILTER (WHERE phase = 'fetch_source' AND regexp_matches(message, '^(ok|failed:|403_blocked:)')) AS sources_polled,
        CAST(coalesce(sum(count) FILTER (WHERE phase = 'fetch_source'), 0) AS BIGINT) AS fetched,
-       CAST(coalesce(sum(count) FILTER (WHERE phase = 'dedup'), 0) AS BIGINT) AS new,
-       count(*) FILTER (WHERE phase = 'notify_item') AS notified,
+       CAST(coalesce(last(count ORDER BY seq) FILTER (WHERE phase = 'dedup'), 0) AS BIGINT) AS new,
+       count(*) FILTER (WHERE phase = 'notify_item' AND level = 'info' AND message NOT LIKE '%summary(%') AS notified,
+       count(*) FILTER (WHERE phase = 'run_error') > 0 AS crashed,
        count(*) FILTER (WHERE level = 'error') AS errors,
        count(*) FILTER (WHERE phase = 'fetch_source' AND (starts_with(message, 'failed:') OR starts_with(message, '403_blocked:'))) AS failed_sources,
        string_agg(source, ',' ORDER BY seq) FILTER (WHERE phase = 'fetch_source' AND (starts_with(message, 'failed:') OR starts_with(message, '403_blocked:'))) AS fs,
        any_value(host) AS host
 FROM ev GROUP BY run_id""",
        "runs": """
-SELECT run_id, started_at, finished_at, duration_ms, sources_polled, fetched, new, notified, errors,
-       failed_sources, CASE WHEN failed_sources > 0 THEN substr('failed_sources=' || fs, 1, 2000) END AS error_summary, host,
-       CASE WHEN failed_sources = 0 AND errors = 0 THEN 'success'
+SELECT run_id, started_at, finished_at, duration_ms, sources_polled, fetched, new, notified, errors, crashed,
+       failed_sources, CASE WHEN failed_sources > 0 THEN 'failed_sources=' || fs END AS error_summary, host,
+       CASE WHEN crashed THEN 'failed' WHEN failed_sources = 0 AND errors = 0 THEN 'success'
             WHEN sources_polled > 0 AND failed_sources >= sources_polled THEN 'failed' ELSE 'partial' END AS status
 FROM agg""",
        "streaks": """
@@ -80,7 +82,7 @@ def q_event_elapsed(t):
 
 
 @register("run_totals", sql=with_ctes("run_events", extra=_EV) + """
-SELECT run_id, started_at, finished_at, duration_ms, sources_polled, fetched, new, notified, errors, failed_sources,
+SELECT run_id, started_at, finished_at, duration_ms, sources_polled, fetched, new, notified, errors, crashed, failed_sources,
        error_summary, host FROM runs""")
 def q_run_totals(t):
     """E4 + E6: totals, failed-source summary and duration per run."""
@@ -90,7 +92,7 @@ def q_run_totals(t):
 @register("run_status", sql=with_ctes("run_events", extra=_EV) + """
 SELECT status, count(*) AS runs FROM runs GROUP BY status""")
 def q_run_status(t):
-    """E5: runs per status (1,822 success, 1,330 partial, 854 failed at sf0.01)."""
+    """E5: runs per status."""
     return runs(t).groupBy("status").agg(F.count(F.lit(1)).alias("runs"))
 
 
@@ -188,13 +190,17 @@ def q_retention_keep(t):
 
 
 @register("merge_backlog", sql=with_ctes("run_events", extra=_EV) + """
-SELECT run_id, status, error_summary FROM runs""")
+SELECT 'run' AS kind, run_id AS id, status AS what FROM runs UNION ALL SELECT 'event', event_id, phase FROM ev""")
 def q_merge_backlog(t):
-    """Stored runs before Jan 20 plus a backlog from Jan 15 replayed: each run once."""
-    r = runs(t)
-    stored = r.filter(F.col("started_at") < F.lit("2024-01-20").cast("timestamp_ntz"))
-    backlog = r.filter(F.col("started_at") >= F.lit("2024-01-15").cast("timestamp_ntz"))
-    return R.merge_backlog(stored, backlog, "run_id").select("run_id", "status", "error_summary")
+    """Runs and events before Jan 20 plus a backlog from Jan 15 replayed: each once."""
+    def merged(df, when, key):
+        stored = df.filter(F.col(when) < F.lit("2024-01-20").cast("timestamp_ntz"))
+        backlog = df.filter(F.col(when) >= F.lit("2024-01-15").cast("timestamp_ntz"))
+        return R.merge_backlog(stored, backlog, key)
+    r = merged(runs(t).select("run_id", "status", "started_at"), "started_at", "run_id")
+    e = merged(events(t).select("event_id", "phase", "at"), "at", "event_id")
+    return (r.select(F.lit("run").alias("kind"), F.col("run_id").alias("id"), F.col("status").alias("what"))
+            .unionByName(e.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("phase").alias("what"))))
 
 
 @register("backlog_explode", sql=with_ctes("run_events", extra=_EV) + """
@@ -220,8 +226,13 @@ def q_run_drilldown(t):
 
 
 @register("run_payload", sql=with_ctes("run_events", extra=_EV) + """
-SELECT run_id, status, error_summary, length(error_summary) AS summary_len FROM runs""")
+SELECT run_id, status, substr(error_summary, 1, 2000) AS error_summary, n_events
+FROM runs JOIN (SELECT run_id, count(*) AS n_events FROM ev GROUP BY run_id) e USING (run_id)""")
 def q_run_payload(t):
-    """Run rows as stored, error summary bounded."""
-    return R.run_payload(runs(t)).select("run_id", "status", "error_summary",
-                                         F.length("error_summary").alias("summary_len"))
+    """Runs and events written through the sink and read back."""
+    base = scratch(t, "run_payload")
+    where = R.write_runs(R.run_payload(runs(t)), R.event_payload(events(t)), f"{base}/log", f"{base}/quarantine")
+    if where != "primary":
+        raise RuntimeError(f"run log went to {where}")
+    n = t.spark.read.parquet(f"{base}/log/events").groupBy("run_id").agg(F.count(F.lit(1)).alias("n_events"))
+    return t.spark.read.parquet(f"{base}/log/runs").join(n, "run_id").select("run_id", "status", "error_summary", "n_events")

@@ -8,28 +8,25 @@ stream-equals-batch comparisons are in ``tests/test_streaming.py``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
 from ..streaming import cycle_stream as CS
 from . import adapters as A
-from ._common import clean_searches
+from ._common import clean_searches, scratch
+from .oracle_adapters import with_ctes
+from .q_delivery import _CO
 from .registry import register
 
 FILES_PER_CHUNK = 2
 NOW = "2024-02-01 00:00:00"
 
 
-def scratch(t, name: str) -> str:
-    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/roofline-stream/{name}-{uuid.uuid4().hex}"
-
-
 def land(df, path: str, chunk_col: str, n_chunks: int) -> str:
-    """Write ``df`` as ``n_chunks`` successive landings (one write job each)."""
+    """Write ``df`` as ``n_chunks`` successive landings: written once, then handed over in order."""
+    df.repartition(n_chunks * FILES_PER_CHUNK, chunk_col).write.partitionBy(chunk_col).parquet(f"{path}-all")
+    whole = df.sparkSession.read.schema(df.schema).parquet(f"{path}-all")
     for i in range(n_chunks):
-        df.filter(F.col(chunk_col) == i).drop(chunk_col).repartition(FILES_PER_CHUNK) \
+        whole.filter(F.col(chunk_col) == i).drop(chunk_col).repartition(FILES_PER_CHUNK) \
             .write.mode("append").parquet(path)
     return path
 
@@ -57,7 +54,7 @@ def _run_cycle_stream(t, name, prime=None):
 def q_stream_cycle(t):
     """I1 + I2 + I3: the cycle over four landings; the first batch primes."""
     base = _run_cycle_stream(t, "cycle")
-    return t.spark.read.parquet(f"{base}/results").select("listing_id", "search_type", "batch_id")
+    return t.spark.read.parquet(f"{base}/results").select("listing_id", "search_type", F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
 @register("stream_prime_chunks")
@@ -65,10 +62,10 @@ def q_stream_prime_chunks(t):
     """A prime split into chunks; signatures stored by a chunk hide reposts in
     later chunks.  Returns the seen table."""
     base = _run_cycle_stream(t, "prime", prime=True)
-    return t.spark.read.parquet(f"{base}/seen").select("key", "batch_id")
+    return t.spark.read.parquet(f"{base}/seen").select("key", F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
-@register("stream_dedup")
+@register("stream_dedup", sql=with_ctes("listings") + "SELECT DISTINCT listing_id FROM listings")
 def q_stream_dedup(t):
     """I3, id-only: ``dropDuplicates`` on a stream of the landed listings."""
     base = scratch(t, "dedup")
@@ -79,22 +76,19 @@ def q_stream_dedup(t):
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select("listing_id")
 
 
-@register("stream_attempts")
+@register("stream_attempts", sql=with_ctes("attempts", extra=_CO) + """
+SELECT listing_id, cycle, n, any_sent, any_sent OR n >= 5 AS settled, NOT any_sent AND n >= 5 AS gave_up FROM da""")
 def q_stream_attempts(t):
-    """I4: the bounded delivery retry counter as keyed streaming state, fed with the
-    per-cycle delivery status in three landings (cycles 0-9, 10-19, 20-29)."""
+    """I4: the bounded delivery retry counter carried over three landings (cycles 0-9, 10-19, 20-29)."""
     from ..operators import delivery as V
     base = scratch(t, "attempts")
     st = V.delivery_status(V.channel_outcomes(A.delivery_attempts(t), ["listing_id", "cycle"]))
     st = st.select("listing_id", "cycle", "any_sent").withColumn("_chunk", (F.col("cycle") / 10).cast("int"))
     src = land(st, f"{base}/in", "_chunk", 3)
-    spark = t.spark
-    s = spark.readStream.schema("listing_id string, cycle bigint, any_sent boolean") \
+    s = t.spark.readStream.schema("listing_id string, cycle bigint, any_sent boolean") \
         .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
-    q = (CS.stream_attempts(s).writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    CS.stream_attempts(s, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select("listing_id", "cycle", "n", "any_sent", "settled", "gave_up")

@@ -2,65 +2,113 @@
 
 A page body is split into cards with ``regexp_extract_all`` + ``posexplode`` (the
 position is kept: it is part of the fetch order); each field is then cut from its
-card by a declarative *spec* of regular expressions compiled to
-``regexp_extract``.  Everything stays JVM-side; no per-row Python parser.
+card by a declarative *spec* of elements (``Node``) compiled to ``regexp_extract``.
+Everything stays JVM-side; no per-row Python parser.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import (keyword_window, missing_attrs, node_text, parse_number, resolve_url, stable_id,
                          strip_text, url_origin)
-from ..functions.text import PRICE_KEYWORDS, ROOMS_KEYWORDS, SQM_KEYWORDS
+from ..functions.text import PRICE_KEYWORDS, ROOMS_KEYWORDS, SQM_KEYWORDS, decode_entities
+
+
+ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
+
+
+@dataclass(frozen=True)
+class Node:
+    """Elements by tag name (null: any), a class among the blank-separated ones, or an id.
+
+    Attributes are found by name, in any order and with either quote; an element ends at
+    its own end tag, with elements of the same name inside it up to three levels deep.
+    """
+    tag: str | None = None
+    cls: str | None = None
+    id: str | None = None
+
+    def _having(self, attribute: str, words: bool) -> str:
+        value = self.cls if words else self.id
+        part = lambda q: rf"(?:[^{q}]*\s)?{value}(?:\s[^{q}]*)?" if words else value
+        skip = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
+        return rf"""(?={skip}\s{attribute}\s*=\s*(?:"{part('"')}"|'{part("'")}'))"""
+
+    @property
+    def pattern(self) -> str:
+        """Group 1: the start tag; group 2: the content."""
+        having = (self._having("class", True) if self.cls else "") + (self._having("id", False) if self.id else "")
+        if self.tag is None:
+            # Any name: to the next end tag of the same name.
+            return rf"(?is)(<(?<n>[a-z][a-z0-9]*)\b{having}{ATTRIBUTES}>)((?:[^<]++|<(?!/\k<n>\b))*+)</\k<n>"
+        inner = rf"(?:[^<]++|<(?!/?{self.tag}\b))*+"
+        for _ in range(3):
+            inner = rf"(?:[^<]++|<(?!/?{self.tag}\b)|<{self.tag}\b{ATTRIBUTES}>{inner}</{self.tag}\s*+>)*+"
+        return rf"(?is)(<{self.tag}\b{having}{ATTRIBUTES}>)({inner})</{self.tag}"
+
+    def start(self, html: Column) -> Column:
+        return F.nullif(F.regexp_extract(html, self.pattern, 1), F.lit(""))
+
+    def content(self, html: Column) -> Column:
+        """Null where there is no such element."""
+        inner = F.regexp_extract(html, self.pattern, 3 if self.tag is None else 2)
+        return F.when(self.start(html).isNotNull(), inner)
+
+    def all(self, html: Column, group: int | None = None) -> Column:
+        """The contents of all such elements, or with ``group`` 0 the elements."""
+        return F.regexp_extract_all(html, F.lit(self.pattern), F.lit((3 if self.tag is None else 2) if group is None else group))
+
+
+@dataclass(frozen=True)
+class VoidNode(Node):
+    """An element without content (``img``): only its start tag."""
+
+    @property
+    def pattern(self) -> str:
+        return rf"(?is)(<{self.tag}\b{ATTRIBUTES}>)"
+
+
+def attribute(start_tag: Column, name: str) -> Column:
+    """The decoded value of a start tag's attribute; null when absent or empty."""
+    either = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    got = F.concat(*[F.regexp_extract(start_tag, either, i) for i in (1, 2)])
+    return F.nullif(decode_entities(got), F.lit(""))
 
 
 @dataclass
 class CardSpec:
-    """Where a card and its fields are in a search page.
-
-    ``card``: regex whose group 1 is one card's inner markup.  Field patterns get
-    group 1 of their first match inside the card (null when absent)."""
+    """Where a card and its fields are in a search page: the first such element counts."""
     source: str
-    card: str
-    href: str
-    title: str
-    native_id: str | None = None
-    price: str | None = None
-    location: str | None = None
-    description: str | None = None
-    tags: str | None = None  # every match is one tag
-    image: list[str] = field(default_factory=list)  # first non-empty wins
-
-
-# The portal's search-result markup (cards are ``article.aditem``).
+    card: Node
+    link: Node
+    native_id: str | None = None  # attribute of the card
+    price: Node | None = None
+    location: Node | None = None
+    description: Node | None = None
+    tags: Node | None = None  # every one is a tag
+    image: Node | None = None  # the first img inside it
+    image_attributes: tuple[str, ...] = ("src", "data-imgsrc", "srcset")  # first non-empty wins
+
+
+# The portal's search-result markup.
 PORTAL_SPEC = CardSpec(
     source="kleinanzeigen",
-    card=r'(?s)(<article[^>]*class="[^"]*\baditem\b[^"]*".*?</article>)',
-    native_id=r'<article[^>]*\bdata-adid="([^"]*)"',
-    href=r'(?s)<a[^>]*class="[^"]*\bellipsis\b[^"]*"[^>]*href="([^"]*)"',
-    title=r'(?s)<a[^>]*class="[^"]*\bellipsis\b[^"]*"[^>]*>(.*?)</a>',
-    price=r'(?s)<p[^>]*class="[^"]*\baditem-main--middle--price-shipping--price\b[^"]*"[^>]*>(.*?)</p>',
-    location=r'(?s)<div[^>]*class="[^"]*\baditem-main--top--left\b[^"]*"[^>]*>(.*?)</div>',
-    description=r'(?s)<p[^>]*class="[^"]*\baditem-main--middle--description\b[^"]*"[^>]*>(.*?)</p>',
-    tags=r'(?s)<span[^>]*class="[^"]*\bsimpletag\b[^"]*"[^>]*>(.*?)</span>',
-    image=[r'(?s)<div[^>]*class="[^"]*\baditem-image\b[^"]*".*?<img[^>]*\bsrc="([^"]*)"',
-           r'(?s)<div[^>]*class="[^"]*\baditem-image\b[^"]*".*?<img[^>]*\bdata-imgsrc="([^"]*)"',
-           r'(?s)<div[^>]*class="[^"]*\baditem-image\b[^"]*".*?<img[^>]*\bsrcset="([^"]*)"'],
+    card=Node("article", "aditem"),
+    native_id="data-adid",
+    link=Node("a", "ellipsis"),
+    price=Node("p", "aditem-main--middle--price-shipping--price"),
+    location=Node("div", "aditem-main--top--left"),
+    description=Node("p", "aditem-main--middle--description"),
+    tags=Node("span", "simpletag"),
+    image=Node("div", "aditem-image"),
 )
 
-# The test-data pages: every navigation ``<li><a href>`` is a card.
-LINK_SPEC = CardSpec(source="board", card=r'(<li><a href="[^"]*">.*?</a></li>)',
-                     href=r'<a href="([^"]*)">', title=r'<a href="[^"]*">(.*?)</a>')
-
-
-def _field(card: Column, pattern: str | None) -> Column:
-    if pattern is None:
-        return F.lit(None).cast("string")
-    return F.nullif(F.regexp_extract(card, pattern, 1), F.lit(""))
+# The test-data pages: every list item is a card, its link the title.
+LINK_SPEC = CardSpec(source="board", card=Node("li"), link=Node("a"))
 
 
 def parse_tags(tags) -> Column:
@@ -102,14 +150,19 @@ def extract_cards(pages: DataFrame, spec: CardSpec = PORTAL_SPEC, body: str = "b
     keep = keep if keep is not None else [c for c in pages.columns if c not in (body, url)]
     keep = [c for c in keep if c != url]
     cards = pages.select(*keep, F.col(url).alias("_page_url"),
-                         F.posexplode(F.regexp_extract_all(F.col(body), F.lit(spec.card), 1)).alias("pos", "_card"))
+                         F.posexplode(spec.card.all(F.col(body), 0)).alias("pos", "_card"))
     c = F.col("_card")
-    title = node_text(_field(c, spec.title))
-    href = _field(c, spec.href)
+    null = F.lit(None).cast("string")
+    text = lambda node: node_text(node.content(c)) if node else null
+    title = text(spec.link)
+    href = attribute(spec.link.start(c), "href")
     link = resolve_url(url_origin(F.col("_page_url")), href)
-    native = _field(c, spec.native_id)
-    thumb = F.coalesce(*[_field(c, p) for p in spec.image]) if spec.image else F.lit(None).cast("string")
-    tags = (F.transform(F.regexp_extract_all(c, F.lit(spec.tags), 1), lambda t: F.coalesce(node_text(t), F.lit("")))
+    native = attribute(spec.card.start(c), spec.native_id) if spec.native_id else null
+    thumb = null
+    if spec.image:
+        img = VoidNode("img").start(spec.image.content(c))
+        thumb = F.coalesce(*[attribute(img, name) for name in spec.image_attributes])
+    tags = (F.transform(spec.tags.all(c), lambda t: F.coalesce(node_text(t), F.lit("")))
             if spec.tags else F.array().cast("array<string>"))
     cards = cards.withColumn("_tags", parse_tags(tags))
     rooms, sqm = tag_numbers("_tags")
@@ -118,10 +171,10 @@ def extract_cards(pages: DataFrame, spec: CardSpec = PORTAL_SPEC, body: str = "b
         stable_id(F.lit(spec.source), native, link).alias("listing_id"),
         F.lit(spec.source).alias("source"),
         strip_text(title).alias("title"), link.alias("url"),
-        parse_number(node_text(_field(c, spec.price))).alias("price"),
+        parse_number(text(spec.price)).alias("price"),
         rooms.alias("rooms"), sqm.alias("sqm"),
-        node_text(_field(c, spec.location)).alias("location"),
-        node_text(_field(c, spec.description)).alias("description"),
+        text(spec.location).alias("location"),
+        text(spec.description).alias("description"),
         thumb.alias("thumbnail"),
         title.isNotNull().alias("_has_title"), href.isNotNull().alias("_has_href"))
     out = out.filter(F.col("_has_title") & F.col("_has_href")).drop("_has_title", "_has_href")
@@ -131,20 +184,20 @@ def extract_cards(pages: DataFrame, spec: CardSpec = PORTAL_SPEC, body: str = "b
 @dataclass
 class DetailSpec:
     """Where label/value pairs and extra fields are in a detail page."""
-    item: str
-    value: str
-    price: str | None = None
-    description: str | None = None
-    checklist: str | None = None
+    item: Node
+    value: Node
+    price: Node
+    description: Node
+    checklist: Node
 
 
 # The portal's detail-page markup.
 PORTAL_DETAIL_SPEC = DetailSpec(
-    item=r'(?s)<li[^>]*class="[^"]*\baddetailslist--detail\b[^"]*"[^>]*>(.*?)</li>',
-    value=r'(?s)<span[^>]*class="[^"]*\baddetailslist--detail--value\b[^"]*"[^>]*>(.*?)</span>',
-    price=r'(?s)<[a-z0-9]+[^>]*\bid="viewad-price"[^>]*>(.*?)</[a-z0-9]+>',
-    description=r'(?s)<[a-z0-9]+[^>]*\bid="viewad-description-text"[^>]*>(.*?)</[a-z0-9]+>',
-    checklist=r'(?s)<[a-z0-9]+[^>]*class="[^"]*\bchecklisttag\b[^"]*"[^>]*>(.*?)</[a-z0-9]+>',
+    item=Node("li", "addetailslist--detail"),
+    value=Node("span", "addetailslist--detail--value"),
+    price=Node(id="viewad-price"),
+    description=Node(id="viewad-description-text"),
+    checklist=Node(cls="checklisttag"),
 )
 
 # Detail labels (exact, lower-cased) -> (key, numeric?).
@@ -168,9 +221,8 @@ def detail_pairs(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key: s
                  body: str = "body") -> DataFrame:
     """A4 (first half): (key, pos, label, value) for each list item with a value.
     label = item text minus the value text, colon-stripped, lower-cased."""
-    items = pages.select(key, F.posexplode(F.regexp_extract_all(F.col(body), F.lit(spec.item), 1))
-                         .alias("pos", "_item"))
-    value = node_text(_field(F.col("_item"), spec.value))
+    items = pages.select(key, F.posexplode(spec.item.all(F.col(body))).alias("pos", "_item"))
+    value = node_text(spec.value.content(F.col("_item")))
     text = F.coalesce(node_text(F.col("_item")), F.lit(""))
     label = F.lower(strip_text(F.regexp_replace(strip_text(F.replace(text, F.coalesce(value, F.lit("\u0000")),
                                                                        F.lit(""))), ":+$", "")))
@@ -200,10 +252,10 @@ def extract_details(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key
     b = pages.select(key, F.col(body).alias("_b"))
     extras = b.select(
         key,
-        parse_number(node_text(_field(F.col("_b"), spec.price))).alias("price"),
-        node_text(_field(F.col("_b"), spec.description)).alias("description"),
-        (F.filter(F.transform(F.regexp_extract_all(F.col("_b"), F.lit(spec.checklist), 1), lambda t: node_text(t)),
-                  lambda t: t.isNotNull()) if spec.checklist else F.array().cast("array<string>")).alias("features"))
+        parse_number(node_text(spec.price.content(F.col("_b")))).alias("price"),
+        node_text(spec.description.content(F.col("_b"))).alias("description"),
+        F.coalesce(F.filter(F.transform(spec.checklist.all(F.col("_b")), lambda t: node_text(t)), lambda t: t.isNotNull()),
+                   F.array().cast("array<string>")).alias("features"))
     return extras.join(wide, key, "left")
 
 
@@ -216,43 +268,45 @@ def feed_item_xml(title, link, guid, description) -> Column:
                     el("description", description), F.lit("</item>"))
 
 
-FEED_ITEM_SCHEMA = "title string, link string, id string, guid string, summary string, description string"
+# ``link`` is text in RSS and an attribute in Atom, where there may be several.
+FEED_ITEM_SCHEMA = ("title string, link array<struct<_VALUE string, _href string, _rel string>>, id string, guid string, "
+                    "summary string, description string, content string")
+
+
+def _feed_listings(rows: DataFrame, keep: list[str], source: str) -> DataFrame:
+    """The listing of each parsed feed item; one without a title or a link is skipped."""
+    title = strip_text(F.coalesce(F.col("title"), F.lit("")))
+    atom = F.filter("link", lambda x: x["_href"].isNotNull() & F.coalesce(x["_rel"], F.lit("alternate")).isin("alternate"))
+    texts = F.filter("link", lambda x: F.coalesce(x["_VALUE"], F.lit("")) != "")
+    link = F.coalesce(F.get(texts, 0)["_VALUE"], F.get(atom, 0)["_href"], F.lit(""))
+    desc = F.coalesce(F.col("summary"), F.col("description"), F.col("content"))
+    blob = F.concat(title, F.lit(" "), F.coalesce(desc, F.lit("")))
+    native = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.col("guid"))
+    out = rows.select(*keep, stable_id(F.lit(source), native, link).alias("listing_id"), F.lit(source).alias("source"),
+                      title.alias("title"), link.alias("url"),
+                      parse_number(keyword_window(blob, PRICE_KEYWORDS)).alias("price"),
+                      parse_number(keyword_window(blob, ROOMS_KEYWORDS)).alias("rooms"),
+                      parse_number(keyword_window(blob, SQM_KEYWORDS)).alias("sqm"),
+                      desc.alias("description"))
+    return out.filter((F.col("title") != "") & (F.col("url") != ""))
+
+
+def split_feed(feeds: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
+    """A5, first step: a landed feed body as its RSS items or Atom entries, in order (``pos``, ``item_xml``)."""
+    keep = keep if keep is not None else [c for c in feeds.columns if c != body]
+    items = F.regexp_extract_all(F.col(body), F.lit(r"(?is)<(?:item|entry)\b[^>]*>.*?</(?:item|entry)\s*>"), F.lit(0))
+    return feeds.select(*keep, F.posexplode(items).alias("pos", "item_xml"))
 
 
 def extract_feed_items(items: DataFrame, xml: str = "item_xml", keep: list[str] | None = None,
                        source: str = "rss") -> DataFrame:
-    """A5: RSS/Atom items to listings.  An item without title or link is skipped; the
-    native id is ``id`` then ``guid``; price/rooms/sqm come from keyword windows over
-    ``title + " " + description``."""
+    """A5: RSS items and Atom entries to listings.  The native id is ``id`` then ``guid``;
+    price/rooms/sqm come from keyword windows over ``title + " " + description``."""
     keep = keep if keep is not None else [c for c in items.columns if c != xml]
-    p = items.select(*keep, F.from_xml(F.col(xml), FEED_ITEM_SCHEMA).alias("_i"))
-    title = strip_text(F.coalesce(F.col("_i.title"), F.lit("")))
-    link = F.coalesce(F.col("_i.link"), F.lit(""))
-    desc = F.coalesce(F.col("_i.summary"), F.col("_i.description"))
-    blob = F.concat(title, F.lit(" "), F.coalesce(desc, F.lit("")))
-    native = F.coalesce(F.nullif(F.col("_i.id"), F.lit("")), F.col("_i.guid"))
-    out = p.select(*keep, stable_id(F.lit(source), native, link).alias("listing_id"), F.lit(source).alias("source"),
-                   title.alias("title"), link.alias("url"),
-                   parse_number(keyword_window(blob, PRICE_KEYWORDS)).alias("price"),
-                   parse_number(keyword_window(blob, ROOMS_KEYWORDS)).alias("rooms"),
-                   parse_number(keyword_window(blob, SQM_KEYWORDS)).alias("sqm"),
-                   desc.alias("description"))
-    return out.filter((F.col("title") != "") & (F.col("url") != ""))
+    parsed = items.select(*keep, F.from_xml(F.col(xml), FEED_ITEM_SCHEMA).alias("_i")).select(*keep, "_i.*")
+    return _feed_listings(parsed, keep, source)
 
 
 def read_feed_items(spark, path: str, row_tag: str = "item", source: str = "rss") -> DataFrame:
-    """A5 over landed feed files: Spark's XML source with one row per ``<item>``,
-    then the same listing rules as ``extract_feed_items``."""
-    raw = (spark.read.format("xml").option("rowTag", row_tag).schema(FEED_ITEM_SCHEMA).load(path))
-    title = strip_text(F.coalesce(F.col("title"), F.lit("")))
-    link = F.coalesce(F.col("link"), F.lit(""))
-    desc = F.coalesce(F.col("summary"), F.col("description"))
-    blob = F.concat(title, F.lit(" "), F.coalesce(desc, F.lit("")))
-    native = F.coalesce(F.nullif(F.col("id"), F.lit("")), F.col("guid"))
-    out = raw.select(stable_id(F.lit(source), native, link).alias("listing_id"), F.lit(source).alias("source"),
-                     title.alias("title"), link.alias("url"),
-                     parse_number(keyword_window(blob, PRICE_KEYWORDS)).alias("price"),
-                     parse_number(keyword_window(blob, ROOMS_KEYWORDS)).alias("rooms"),
-                     parse_number(keyword_window(blob, SQM_KEYWORDS)).alias("sqm"),
-                     desc.alias("description"))
-    return out.filter((F.col("title") != "") & (F.col("url") != ""))
+    """A5 over landed feed files: Spark's XML source with one row per ``row_tag`` (``entry`` for Atom)."""
+    return _feed_listings(spark.read.format("xml").option("rowTag", row_tag).schema(FEED_ITEM_SCHEMA).load(path), [], source)

@@ -52,9 +52,7 @@ def test_stream_attempts_equal_batch(spark):
         st.filter((F.col("cycle") / 10).cast("int") == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
     s = spark.readStream.schema("listing_id string, cycle bigint, any_sent boolean") \
         .option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    q = (CS.stream_attempts(s).writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    CS.stream_attempts(s, f"{base}/out", f"{base}/ckpt").awaitTermination()
     got = {tuple(r) for r in spark.read.parquet(f"{base}/out").select("listing_id", "cycle", "n", "settled").collect()}
     want = {tuple(r) for r in V.delivery_attempts(st).select("listing_id", "cycle", F.col("n").cast("bigint"),
                                                              "settled").collect()}
@@ -67,3 +65,98 @@ def test_seen_union_and_anti_join(spark):
                               "key string, title string, url string, source string")
     u = {r.key: r.title for r in D.seen_union(a, b).collect()}
     assert u == {"x": "t", "y": None}
+
+
+LISTING = ("listing_id string, source string, title string, url string, price double, rooms double, sqm double, "
+           "location string, description string, thumbnail string, search_id long, page_no int, pos int")
+ORDER = ["search_id", "page_no", "pos"]
+NO_SEEN = "key string, title string, url string, source string"
+
+
+class Store:
+    """The sinks of a stream in a new folder, and listings ``a..b`` as one of its batches."""
+
+    def __init__(self, spark, **options):
+        self.spark, self.base = spark, f"{ensure_checkpoint_dir(spark)}/test-store-{uuid.uuid4().hex}"
+        s = spark.createDataFrame([(1, "", "https://x", True)], "search_id long, search_type string, url string, enabled boolean")
+        for c in ("min_rent", "max_rent", "min_rooms", "max_rooms", "min_sqm", "max_sqm"):
+            s = s.withColumn(c, F.lit(None).cast("double"))
+        for c in ("required_keywords", "excluded_keywords"):
+            s = s.withColumn(c, F.array().cast("array<string>"))
+        self.searches, self.options = s, options
+
+    def writer(self, **more):
+        return CS.cycle_batch_writer(self.spark, self.searches, f"{self.base}/seen", f"{self.base}/res", f"{self.base}/out",
+                                     ORDER, "2024-01-01", runs_path=f"{self.base}/log", **{**self.options, **more})
+
+    def listings(self, a, b):
+        rows = [(f"x:{i}", "x", f"T{i}", f"u{i}", None, None, None, None, None, None, 1, 1, i) for i in range(a, b)]
+        return self.spark.createDataFrame(rows, LISTING)
+
+    def count(self, name):
+        return CS.read_table(self.spark, f"{self.base}/{name}", "batch_id bigint").count()
+
+    def runs(self):
+        return self.spark.read.parquet(f"{self.base}/log/runs").orderBy("batch_id").collect()
+
+
+def test_overflow_reaches_the_outbox(spark):
+    s = Store(spark)
+    s.writer()(s.listings(0, 2), 0)
+    s.writer()(s.listings(0, 42), 1)
+    out = spark.read.parquet(f"{s.base}/out")
+    assert {r.kind: r["count"] for r in out.groupBy("kind").count().collect()} == {"item": 15, "summary": 25}
+    assert out.select("listing_id").distinct().count() == 40 and s.count("seen") == s.count("res") == 42
+    assert [(r.status, r.fetched, r.new, r.trigger) for r in s.runs()] == [("success", 2, 2, "stream"), ("success", 42, 40, "stream")]
+
+
+def test_a_crash_and_its_replay_leave_each_row_once(spark, monkeypatch):
+    s = Store(spark, prime=False)
+    write, calls = CS.write_batch, []
+
+    def crash(df, path, batch_id):
+        calls.append(path)
+        if path.endswith("/seen") and len(calls) < 5:
+            raise OSError("lost")
+        write(df, path, batch_id)
+    monkeypatch.setattr(CS, "write_batch", crash)
+    with pytest.raises(OSError):
+        s.writer()(s.listings(0, 3), 0)
+    assert s.runs()[0].status == "failed" and s.count("seen") == 0
+    s.writer()(s.listings(0, 3), 0)
+    s.writer()(s.listings(0, 3), 0)  # handed out once more
+    assert (s.count("res"), s.count("out"), s.count("seen")) == (3, 3, 3)
+    assert [r.status for r in s.runs()] == ["success"]
+
+
+def test_undelivered_listings_are_tried_again_up_to_the_limit(spark):
+    send = lambda outbox, batch_id: outbox.select("listing_id", (F.col("listing_id") == "x:1").alias("any_sent"))
+    s = Store(spark, prime=False, deliver=send)
+    for batch in range(6):
+        s.writer()(s.listings(0, 3), batch)
+        keys = {r.key for r in spark.read.parquet(f"{s.base}/seen").collect()}
+        assert keys == ({"x:1"} if batch < 4 else {"x:0", "x:1", "x:2"})
+    runs = s.runs()
+    assert [r.notified for r in runs] == [1, 0, 0, 0, 0, 0] and [r.errors for r in runs] == [0, 0, 0, 0, 2, 0]
+    assert spark.read.parquet(f"{s.base}/out").where("batch_id = 5").count() == 0
+
+
+def test_an_initial_load_in_chunks_is_silent(spark):
+    s = Store(spark)
+    for i in range(3):
+        s.listings(5 * i, 5 * i + 5).coalesce(1).write.mode("append").parquet(f"{s.base}/in")
+    start = lambda: CS.run_stream(spark, f"{s.base}/in", LISTING, s.searches, f"{s.base}/seen", f"{s.base}/res",
+                                  f"{s.base}/out", f"{s.base}/ckpt", ORDER, "2024-01-01", max_files_per_trigger=1).awaitTermination()
+    start()
+    assert s.count("seen") == 15 and s.count("out") == 0
+    s.listings(10, 17).coalesce(1).write.mode("append").parquet(f"{s.base}/in")
+    start()
+    assert s.count("seen") == 17 and {r.listing_id for r in spark.read.parquet(f"{s.base}/out").collect()} == {"x:15", "x:16"}
+
+
+def test_an_unreadable_table_is_not_an_empty_one(spark, tmp_path):
+    (tmp_path / "seen").mkdir()
+    (tmp_path / "seen" / "part-0.parquet").write_bytes(b"no parquet at all")
+    with pytest.raises(Exception):  # noqa: B017
+        CS.read_table(spark, str(tmp_path / "seen"), CS.SEEN_TABLE_SCHEMA).count()
+    assert CS.read_table(spark, str(tmp_path / "absent"), CS.SEEN_TABLE_SCHEMA).count() == 0
