@@ -39,14 +39,15 @@ def requires_keywords(hay, keywords) -> Column:
     return F.forall(kws, lambda k: F.contains(col(hay), k))
 
 
-def matches_criteria(listing_prefix: str = "", criteria_prefix: str = "") -> Column:
+def matches_criteria(listing_prefix: str = "", criteria_prefix: str = "", hay=None) -> Column:
     """Price, rooms and sqm within their bounds, then the keyword tests.
 
     Column names are the listing's (``price``...) and the search's (``min_rent``...),
-    optionally qualified by prefixes when both sides carry the same names."""
+    optionally qualified by prefixes when both sides carry the same names; ``hay`` is
+    the listing's haystack where it is a column already."""
     L = lambda c: F.col(listing_prefix + c)
     C = lambda c: F.col(criteria_prefix + c)
-    hay = _haystack(L("title"), L("location"), L("description"))
+    hay = col(hay) if hay is not None else _haystack(L("title"), L("location"), L("description"))
     return (within(L("price"), C("min_rent"), C("max_rent"))
             & within(L("rooms"), C("min_rooms"), C("max_rooms"))
             & within(L("sqm"), C("min_sqm"), C("max_sqm"))

@@ -1,26 +1,10 @@
-"""Join helpers: broadcast only behind a proven size bound."""
+"""Join helpers.  Which side of a join is broadcast is left to the byte threshold of the planner."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# A dimension with at most this many rows is broadcast; beyond it the plan keeps a
-# shuffle join (and AQE may still broadcast from runtime statistics).
-DIMENSION_MAX_ROWS = 200_000
-
-
-def row_bound(df: DataFrame, max_rows: int) -> int | None:
-    """Number of rows if it is at most ``max_rows``, else None.  Reads at most
-    ``max_rows + 1`` rows, so the check itself is bounded."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
-    return F.broadcast(df) if row_bound(df, max_rows) is not None else df
-
-
 def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """First row per key in ``order``: ``row_number() = 1``, which Spark plans with a
     partial WindowGroupLimit before the shuffle, so each map partition sends at most

@@ -1,9 +1,8 @@
 """Matching listings against searches.
 
-D1 is an equi-join on ``search_id`` with the criteria test as the join residual;
-the searches side is a dimension and is broadcast after a row-count check.  D2 has
-no equality at all (every search against every listing), so it is a
-broadcast nested-loop join over bounded chunks of searches.
+D1 is an equi-join on ``search_id`` with the criteria test as the join residual.  D2
+(every search against every listing) is an equi-join on price buckets: a listing is in
+the bucket of its price, a search in every bucket that its rent bounds meet.
 """
 
 from __future__ import annotations
@@ -11,17 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import matches_criteria
+from ..functions import haystack, matches_criteria
 from ..functions.predicates import CRITERIA_COLS
-from ._joins import DIMENSION_MAX_ROWS, broadcast_if_small, first_per_key, row_bound
+from ._joins import first_per_key
 
 CRITERIA_SIDE = ["search_id", "search_type", *CRITERIA_COLS]
 
 
 def criteria_dim(searches: DataFrame) -> DataFrame:
-    """The search side of D1: id, type and criteria, broadcast when its row count is
-    proven small (checked once; reuse the result for every join of a cycle)."""
-    return broadcast_if_small(searches.select(*CRITERIA_SIDE))
+    """The search side of D1: id, type and criteria."""
+    return searches.select(*CRITERIA_SIDE)
 
 
 def attach_criteria(listings: DataFrame, searches: DataFrame | None = None,
@@ -39,27 +37,27 @@ def match_per_search(listings: DataFrame, searches: DataFrame | None = None,
     return listings.join(dim, "search_id").filter(matches_criteria()).drop(*CRITERIA_COLS)
 
 
-def match_all(listings: DataFrame, searches: DataFrame,
-              chunk_rows: int = DIMENSION_MAX_ROWS) -> DataFrame:
+PRICE_BUCKETS = 64
+
+
+def price_bucket(price: F.Column) -> F.Column:
+    """A bucket of prices, four to an octave: never smaller for a larger price."""
+    return F.least(F.floor(4 * F.log2(F.greatest(price, F.lit(0.0)) + 1)), F.lit(PRICE_BUCKETS - 1)).cast("int")
+
+
+def match_all(listings: DataFrame, searches: DataFrame) -> DataFrame:
     """Every (search, listing) pair whose criteria match, whatever search fetched
-    the listing.  Searches are broadcast in chunks of at most ``chunk_rows`` rows, so
-    no broadcast exceeds the bound however many searches there are."""
+    the listing.  A listing without a price meets every search: it has a bucket of its
+    own (-1) that all searches are in."""
     s = searches.select(F.col("search_id").alias("match_search_id"),
                         F.col("search_type").alias("match_search_type"), *CRITERIA_COLS)
-    n = row_bound(s, chunk_rows)
-    if n is not None:
-        chunks = [s]
-    else:
-        # Hash chunks are sized at half the bound: a chunk would need twice its
-        # expected share of a uniform hash to reach the bound.
-        total = s.count()
-        k = -(-2 * total // chunk_rows)
-        chunks = [s.filter(F.pmod(F.xxhash64("match_search_id"), F.lit(k)) == i) for i in range(k)]
-    out = None
-    for chunk in chunks:
-        part = listings.join(F.broadcast(chunk), matches_criteria(), "inner").drop(*CRITERIA_COLS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    lo = F.when(F.col("min_rent").isNull(), 0).otherwise(price_bucket(F.col("min_rent")))
+    hi = F.when(F.col("max_rent").isNull(), PRICE_BUCKETS - 1).otherwise(price_bucket(F.col("max_rent")))
+    spread = F.array_append(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>")), F.lit(-1))
+    s = s.withColumn("_bucket", F.explode(spread))
+    own = listings.withColumns({"_bucket": F.when(F.col("price").isNull(), -1).otherwise(price_bucket(F.col("price"))),
+                                "_hay": haystack("title", "location", "description")})
+    return own.join(s, "_bucket").where(matches_criteria(hay="_hay")).drop(*CRITERIA_COLS, "_bucket", "_hay")
 
 
 def first_match_wins(matched: DataFrame, order: list[str]) -> DataFrame:

@@ -3,9 +3,8 @@
 fetch -> filter (D1+C3) -> cycle dedup (F1) -> seen dedup (D3) -> enrich (D5) ->
 re-filter (C3) -> repost dedup (F2+D4) -> notify cap (F8) -> commit (H2, J1).
 
-Nothing here triggers an action: the caller decides what to write.  Every stage
-is a lazily built DataFrame, so Catalyst sees the whole cycle and reuses the
-shared scans (the stages branch from one fetched table).
+Every stage is a lazily built DataFrame; the caller decides what to write.  The only
+job started here is the cut that ``materialize="checkpoint"`` asks for.
 """
 
 from __future__ import annotations
@@ -54,15 +53,12 @@ def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details
     ``"persist"`` caches it (the caller unpersists ``Cycle.flagged`` when done, as
     a ``foreachBatch`` writing several sinks does)."""
     active = active_searches(searches)
-    dim = M.criteria_dim(active)  # one bounded size check per cycle
+    dim = M.criteria_dim(active)
     fetched = listings.join(dim.select("search_id"), "search_id", "left_semi")
     filtered = M.first_match_wins(M.match_per_search(fetched, dim=dim), order)
     new = D.only_new(filtered, seen)
     if details is not None:
-        if enrich_source is not None:
-            portal_ids = new.filter(F.col("source") == enrich_source).select("listing_id")
-            details = details.join(portal_ids, "listing_id", "left_semi")
-        enriched = E.enrich(new, details)
+        enriched = E.enrich(new, details, source=enrich_source)
         refiltered = (M.attach_criteria(enriched.drop("search_type"), dim=dim)
                       .filter(matches_criteria()).drop(*CRITERIA_COLS))
     else:
@@ -88,7 +84,7 @@ def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details
 
 
 def cycle_stats(c: Cycle, cap: int = V.DEFAULT_CAP) -> DataFrame:
-    """The funnel of one cycle as one row, computed in a single job: fetched
+    """The funnel of one cycle as one row: fetched
     (cross-search duplicates included), filtered (after cycle dedup), new (after
     re-filter and repost dedup), notified (individual messages: the first ``cap``
     new listings, none in a prime cycle).  The stages share one lineage, so the

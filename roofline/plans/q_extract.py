@@ -10,7 +10,7 @@ from ..functions import (bounded_text, format_attrs, html_escape, is_removed_tex
 from ..sources import extract as X
 from ..sources import pages as P
 from . import adapters as A
-from ._common import clean_searches
+from ._common import clean_searches, scratch
 from .oracle_adapters import format_attrs_sql, html_escape_sql, with_ctes
 from .registry import register
 
@@ -40,10 +40,14 @@ def pages(t):
 
 
 @register("scan_pages", sql="""
-SELECT page_id, url, length(html) AS n_chars FROM pages""")
+SELECT page_id % 25 AS search_id, url, length(html) AS n_chars FROM pages""")
 def q_scan_pages(t):
-    """A1: landed pages read with an explicit schema."""
-    return t.pages.select("page_id", "url", F.length("html").alias("n_chars"))
+    """A1: the pages landed in their schema and read with it."""
+    path = f"{scratch(t, 'scan_pages')}/landed"
+    null = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    pages(t).select("search_id", F.lit(1).alias("page_no"), "url", null("attempt", "int"), F.lit(200).alias("status"),
+                    null("error", "string"), null("fetched_at", "timestamp_ntz"), "body").write.parquet(path)
+    return P.read_pages(t.spark, path).select("search_id", "url", F.length("body").alias("n_chars"))
 
 
 @register("extract_cards", sql=f"""
@@ -82,45 +86,82 @@ def q_stable_id(t):
 
 
 @register("node_text", sql=f"""
-SELECT page_id, {node_text_sql("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} AS h1,
-       {node_text_sql("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} AS footer FROM pages""")
+SELECT page_id, {node_text_sql("html")} AS text FROM pages""")
 def q_node_text(t):
-    """Text of each page's heading and footer, entities decoded."""
-    return t.pages.select("page_id", node_text(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)).alias("h1"),
-                          node_text(F.regexp_extract("html", r"(?s)<footer>(.*?)</footer>", 1)).alias("footer"))
+    """The text of every whole page, entities decoded."""
+    return t.pages.select("page_id", node_text("html").alias("text"))
 
 
 @register("html_escape", sql=f"""
-SELECT page_id, {html_escape_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS escaped FROM pages""")
+SELECT page_id, {html_escape_sql("html")} AS escaped FROM pages""")
 def q_html_escape(t):
-    """Page titles escaped for HTML."""
-    return t.pages.select("page_id", html_escape(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("escaped"))
+    """Every whole page escaped for HTML."""
+    return t.pages.select("page_id", html_escape("html").alias("escaped"))
+
+
+def detail_pages(t):
+    """A portal detail page per part, in the portal's markup: attributes in either order and quote, entities."""
+    p, s = lambda c: F.col(c).cast("string"), F.lit
+    item = lambda i, label, value: F.concat(
+        s(["<li class='addetailslist--detail' data-n=\"1\">", '<li id="a" class="x addetailslist--detail">'][i % 2] + label),
+        s('<span class="addetailslist--detail--value">'), value, s("</span></li>"))
+    items = [item(0, "Wohnfl&auml;che:", F.concat(p("p_size"), s(",5 m&sup2;"))),
+             item(1, "Zimmer", F.when(F.col("p_size") % 5 == 0, s("auf Anfrage")).otherwise(p("p_size"))),
+             item(0, "Zimmer", s("99")), item(1, "Etage", F.col("p_brand")), item(0, "Verf&#252;gbar ab", html_escape("p_type")),
+             item(1, "Kaution / Anteile", F.concat(p("p_partkey"), s(" &euro;")))]
+    body = F.concat(s("<h2 class='big' id='viewad-price'>"), (F.col("p_partkey") % 4000).cast("string"), s(" &euro;</h2><ul>"),
+                    *items, s("</ul><div><span class=\"checklisttag\"><b>"), html_escape("p_brand"),
+                    s("</b></span><li class='checklisttag on'>Garten</li></div><p id=\"viewad-description-text\">Teil <i>"),
+                    html_escape("p_name"), s("</i> &ndash; neu</p>"))
+    return t.part.select(F.col("p_partkey").alias("page_id"), body.alias("body"))
+
+
+@register("extract_details", sql="""
+SELECT p_partkey AS page_id, CAST(p_partkey % 4000 AS DOUBLE) AS price, p_size + 0.5::DOUBLE AS sqm,
+       CASE WHEN p_size % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS rooms, p_brand AS floor, p_type AS available_from,
+       CAST(p_partkey AS VARCHAR) || ' €' AS deposit, p_brand || '|Garten' AS features, 'Teil ' || p_name || ' – neu' AS description
+FROM part""")
+def q_extract_details(t):
+    """A4: every field of a detail page per part."""
+    d = X.extract_details(detail_pages(t))
+    return d.select("page_id", "price", "sqm", "rooms", "floor", "available_from", "deposit",
+                    F.array_join("features", "|").alias("features"), "description")
 
 
 @register("detail_pairs", sql="""
-SELECT page_id, label, arg_min(v, pos) AS value FROM (
-  SELECT page_id, pos, lower(regexp_extract(p, '^\\s*([A-Za-z]+)', 1)) AS label, length(p) AS v
-  FROM (SELECT page_id, unnest(ps) AS p, unnest(generate_series(1, len(ps))) AS pos
-        FROM (SELECT page_id, regexp_extract_all(html, '<p>([^<]*)</p>', 1) AS ps FROM pages) a) b) c
-WHERE label <> '' GROUP BY page_id, label""")
+SELECT p_partkey AS page_id, CAST(pos AS INTEGER) AS pos, label, value FROM (
+  SELECT p_partkey, unnest([0, 1, 2, 3, 4, 5]) AS pos,
+         unnest(['wohnfläche', 'zimmer', 'zimmer', 'etage', 'verfügbar ab', 'kaution / anteile']) AS label,
+         unnest([CAST(p_size AS VARCHAR) || ',5 m²', CASE WHEN p_size % 5 = 0 THEN 'auf Anfrage' ELSE CAST(p_size AS VARCHAR) END,
+                 '99', p_brand, p_type, CAST(p_partkey AS VARCHAR) || ' €']) AS value FROM part) x""")
 def q_detail_pairs(t):
-    """A4 on pages: each plain paragraph is a (label = first word, value) pair; the
-    first occurrence of a label per page wins (value reported as its length)."""
-    ps = t.pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<p>([^<]*)</p>"), 1)).alias("pos", "p"))
-    pairs = ps.select("page_id", "pos", F.lower(F.regexp_extract("p", r"^\s*([A-Za-z]+)", 1)).alias("label"),
-                      F.length("p").alias("v")).filter(F.col("label") != "")
-    return pairs.groupBy("page_id", "label").agg(F.min_by("v", "pos").alias("value"))
+    """A4, first half: the label/value pairs of a detail page per part."""
+    return X.detail_pairs(detail_pages(t)).select("page_id", "pos", "label", "value")
 
 
-@register("feed_items")
+@register("feed_items", sql="""
+SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'rss:' || substr(sha1('https://f/' || p_partkey), 1, 16)
+            ELSE 'rss:' || p_partkey END AS listing_id, p_name AS title, 'https://f/' || p_partkey AS url,
+       CAST(p_size AS DOUBLE) AS price, p_type || ' für ' || p_size || ' €' AS description
+FROM part WHERE p_size % 7 <> 0""")
 def q_feed_items(t):
-    """A5: each page rendered as an RSS item (heading, URL, id, first paragraph) and
-    parsed back into a listing (rows-only check)."""
-    pg = t.pages.select("page_id", "url", node_text(F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)).alias("h1"),
-                        node_text(F.regexp_extract("html", r"(?s)<p>([^<]*)</p>", 1)).alias("p1"))
-    guid = F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string"))
-    items = pg.select("page_id", X.feed_item_xml(F.col("h1"), F.col("url"), guid, F.col("p1")).alias("item_xml"))
-    return X.extract_feed_items(items, keep=["page_id"])
+    """A5: feed bodies of about ten parts, every other one Atom, split into items and parsed."""
+    key = F.col("p_partkey").cast("string")
+    link = F.concat(F.lit("https://f/"), key)
+    title = F.when(F.col("p_size") % 7 != 0, F.col("p_name")).otherwise(F.lit(""))
+    text = F.concat("p_type", F.lit(" für "), F.col("p_size").cast("string"), F.lit(" €"))
+    guid = F.when(F.col("p_partkey") % 3 != 0, key)
+    rss = X.feed_item_xml(title, link, guid, text)
+    atom = F.concat(F.lit("<entry><title>"), html_escape(title), F.lit('</title><link rel="self" href="https://self/"/><link href="'),
+                    link, F.lit('"/>'), F.when(guid.isNotNull(), F.concat(F.lit("<id>"), guid, F.lit("</id>"))).otherwise(F.lit("")),
+                    F.lit("<summary>"), html_escape(text), F.lit("</summary></entry>"))
+    feed = F.floor(F.col("p_partkey") / 10).alias("feed")
+    is_atom = F.col("feed") % 2 == 1
+    bodies = t.part.select(feed, rss.alias("rss"), atom.alias("atom")).groupBy("feed").agg(
+        F.concat(F.lit("<feed>"), F.array_join(F.collect_list(F.when(is_atom, F.col("atom")).otherwise(F.col("rss"))), "\n"),
+                 F.lit("</feed>")).alias("body"))
+    out = X.extract_feed_items(X.split_feed(bodies), keep=["feed"])
+    return out.select(F.regexp_extract("url", "[0-9]+$", 0).cast("bigint").alias("id"), "listing_id", "title", "url", "price", "description")
 
 
 @register("keyword_window", sql="""

@@ -10,7 +10,7 @@ from ..operators import dedup as D
 from ..operators import matching as M
 from ..sources.searches import active_searches
 from . import adapters as A
-from ._common import active_dim, clean_searches, fetched, flat_arrays
+from ._common import active_dim, clean_searches, fetched, flat_arrays, scratch
 from .oracle_adapters import (ORDER_SQL, criteria_sql, haystack_sql, norm_location_sql, signature_sql,
                               with_ctes)
 from .registry import register
@@ -63,10 +63,16 @@ def q_new_listings(t):
 @register("seen_scan", sql=with_ctes("seen1", "seen2") + """
 SELECT key, 1 AS store FROM seen1 UNION ALL SELECT key, 2 FROM seen2""")
 def q_seen_scan(t):
-    """The rows of both seen stores, tagged by store."""
+    """Both stores read back as the files they are kept in: Parquet, and JSON as a bare list; a third is absent."""
     one, two = A.seen_stores(t)
-    return (D.seen_frame(one).select("key", F.lit(1).alias("store"))
-            .unionByName(D.seen_frame(two).select("key", F.lit(2).alias("store"))))
+    base = scratch(t, "seen_scan")
+    one.write.parquet(f"{base}/one")
+    # A JSON list per file; the reader takes any number of files.
+    two.groupBy(F.spark_partition_id().alias("p")).agg(F.to_json(F.collect_list("key")).alias("value")) \
+        .select("value").write.text(f"{base}/two")
+    read = lambda name, fmt: D.read_seen(t.spark, f"{base}/{name}", f"{base}/absent", fmt=fmt).select("key")
+    return (read("one", "parquet").withColumn("store", F.lit(1))
+            .unionByName(read("two", "json").withColumn("store", F.lit(2))))
 
 
 @register("seen_union", sql=with_ctes("listings", "seen1", "seen2", extra={
@@ -166,14 +172,12 @@ def q_fetch_counts(t):
 
 
 @register("match_all_searches", sql=with_ctes("listings", "searches", extra={
-    "a": "SELECT * FROM searches WHERE enabled AND url <> ''",
-    "li": "SELECT * FROM listings WHERE l_partkey % 10 = 0"}) + f"""
+    "a": "SELECT * FROM searches WHERE enabled AND url <> ''"}) + f"""
 SELECT l.listing_id, l.search_id, s.search_id AS match_search_id, l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey
-FROM li l JOIN a s ON {criteria_sql('l', 's')}""")
+FROM listings l JOIN a s ON {criteria_sql('l', 's')}""")
 def q_match_all_searches(t):
-    """Feed listings against the criteria of every active search."""
-    feed = A.listings(t).filter(F.col("source") == "feed")
-    return M.match_all(feed, active_searches(clean_searches(t))).select(
+    """All listings against the criteria of every active search."""
+    return M.match_all(A.listings(t), active_searches(clean_searches(t))).select(
         "listing_id", "search_id", "match_search_id", *KEY_OUT)
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import page_url, with_radius
-from ..operators._joins import broadcast_if_small
 
 PAGE_SCHEMA = ("search_id bigint, page_no int, url string, attempt int, status int, error string, "
                "fetched_at timestamp_ntz, body string")
@@ -61,7 +60,7 @@ def cut_page_walk(cards: DataFrame, pages: DataFrame, max_pages: int, id_col: st
                                             F.lit(max_pages + 1)).alias("cut"),
                        F.coalesce("_p1_failed", F.lit(False)).alias("source_failed"))
     kept = (cards.join(first_seen, ["search_id", id_col])
-            .join(broadcast_if_small(cuts), "search_id")
+            .join(cuts, "search_id")
             .filter(~F.col("source_failed") & (F.col("page_no") < F.col("cut")) & (F.col("page_no") == F.col("_first")))
             .drop("_first", "cut", "source_failed"))
     return kept

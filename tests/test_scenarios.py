@@ -280,7 +280,7 @@ def test_error_summary_bound_is_exact(spark):
         assert RL.run_payload(RL.summarize_runs(df)).first().error_summary == whole[:2000]
 
 
-def test_match_all_in_chunks_equals_one_broadcast(spark):
+def test_match_all_by_price_buckets_equals_all_pairs(spark):
     s = spark.createDataFrame([(i, "", float(100 * i)) for i in range(1, 8)],
                               "search_id long, search_type string, max_rent double")
     for c in ("min_rent", "min_rooms", "max_rooms", "min_sqm", "max_sqm"):
@@ -289,9 +289,10 @@ def test_match_all_in_chunks_equals_one_broadcast(spark):
         .withColumn("excluded_keywords", F.array().cast("array<string>"))
     rows = [(f"x:{i}", "x", "t", "u", float(70 * i), None, None, None, None, None, 1, 1, i) for i in range(12)]
     li = _listings(spark, rows)
-    one = {(r.listing_id, r.match_search_id) for r in M.match_all(li, s).collect()}
-    chunked = {(r.listing_id, r.match_search_id) for r in M.match_all(li, s, chunk_rows=2).collect()}
-    assert one == chunked and len(one) > 0
+    li = li.unionByName(_listings(spark, [("x:none", "x", "t", "u", None, None, None, None, None, None, 1, 1, 99)]))
+    got = {(r.listing_id, r.match_search_id) for r in M.match_all(li, s).collect()}
+    want = {(f"x:{i}", k) for i in range(12) for k in range(1, 8) if 70 * i <= 100 * k} | {("x:none", k) for k in range(1, 8)}
+    assert got == want
 
 
 def test_feed_files_and_backlog_files(spark, tmp_path):
