@@ -8,10 +8,10 @@ estimate of the similarity that drops hopeless pairs.  Every link is confirmed o
 full sets.
 
 Documents with one set are a class and only classes are compared.  Within a bucket no
-pairs are spread out: each round links the members outside the component of the bucket's
-hub to it, and each round has other hubs.  The few members that are then still apart are
-compared, by sketch and in blocks, with the bucket's other components, the likeliest
-first, until no pair of two components is left that the estimate allows.
+pairs are spread out: its members are first compared with its hubs.  The members that are
+then still apart from the bucket's largest component are compared, by sketch and in
+blocks, with the bucket's other components, the likeliest first, until a link is found
+or no pair is left that the estimate allows.
 """
 
 from __future__ import annotations
@@ -101,9 +101,15 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """(bucket, c): a class is in one bucket per band of registers."""
+    """(band, bucket, c): a class is in one bucket per band of registers."""
     keys = [F.xxhash64(F.lit(i), F.substring("regs", 2 * BAND * i + 1, 2 * BAND)) for i in range(M // BAND)]
-    return classes.select(F.explode(F.array(*keys)).alias("bucket"), "c")
+    return classes.select(F.posexplode(F.array(*keys)).alias("band", "bucket"), "c")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sets have 100 * intersection >= percent * union."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -121,9 +127,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
             likely = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), na, nb) >= least
             good = []
             for i in np.flatnonzero(likely).tolist():
-                s, t = read(za[i]), read(zb[i])
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
+                if similar(read(za[i]), read(zb[i]), percent):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in good], pa.binary()) for c in (a, b)], names=["a", "b"])
     return met.mapInArrow(run, "a binary, b binary")
@@ -137,72 +141,95 @@ def components(labels: DataFrame, edges: DataFrame, home: str) -> DataFrame:
     """
     own = lambda x: labels.select(F.col("c").alias(x), F.col("comp").alias(f"comp_{x}"))
     links = edges.join(own("a"), "a").join(own("b"), "b").where("comp_a != comp_b").select(
-        F.col("comp_a").alias("s"), F.col("comp_b").alias("t"))
-    links = cut(links.unionByName(links.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct(), f"{home}/links")
-    state = cut(links.select(F.col("s").alias("v")).distinct().select("v", F.col("v").alias("l")), f"{home}/state0")
+        F.explode(F.array(F.struct(F.col("comp_a").alias("s"), F.col("comp_b").alias("t")),
+                          F.struct(F.col("comp_b").alias("s"), F.col("comp_a").alias("t")))).alias("x"))
+    links = cut(links.select("x.*").distinct(), f"{home}/links")
+    first = links.groupBy("s").agg(F.min("t").alias("t"))
+    state = cut(first.select(F.col("s").alias("v"), F.least("s", "t").alias("l")), f"{home}/state0")
     step = 0
     while True:
         step += 1
         near = links.join(state.select(F.col("v").alias("t"), "l"), "t").groupBy("s").agg(F.min("l").alias("near"))
         new = state.join(near, state["v"] == near["s"]).select("v", F.least("l", "near").alias("m"), F.col("l").alias("old"))
-        new = cut(new, f"{home}/spread{step}")
-        up = new.select(F.col("v").alias("m"), F.col("m").alias("mm"))
+        up = state.select(F.col("v").alias("m"), F.col("l").alias("mm"))
         nxt = cut(new.join(up, "m").select("v", "mm", (F.col("mm") != F.col("old")).alias("moved")), f"{home}/state{step}")
         state = nxt.select("v", F.col("mm").alias("l"))
-        if not nxt.where("moved").limit(1).count():
+        if nxt.where("moved").isEmpty():
             break
     to = state.where("v != l")
     return cut(labels.join(to, labels["comp"] == to["v"], "left").select("c", F.coalesce("l", "comp").alias("comp")),
                f"{home}/labels")
 
 
-def star_pairs(members: DataFrame, labels: DataFrame, salt: int, home: str) -> DataFrame:
-    """(a, b): of each bucket its hub with the members outside the hub's component."""
+def star_pairs(members: DataFrame, labels: DataFrame, hubs: int, home: str) -> DataFrame:
+    """(a, b): of each bucket its hubs with the members outside the hub's component."""
     own = members.join(labels, "c")
-    hub = F.min_by(F.struct("c", "comp"), F.xxhash64("c", F.lit(salt)))
-    hubs = cut(own.groupBy("bucket").agg(hub.alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-               .where("lo != hi").select("bucket", "hub"), f"{home}/hubs")
-    return own.join(hubs, "bucket").where(F.col("comp") != F.col("hub.comp")).select(
+    hub = F.array_distinct(F.array(*[F.min_by(F.struct("c", "comp"), F.xxhash64("c", F.lit(i))) for i in range(hubs)]))
+    chosen = cut(own.groupBy("bucket").agg(hub.alias("hubs"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+                 .where("lo != hi").select("bucket", F.explode("hubs").alias("hub")), f"{home}/hubs")
+    return own.join(chosen, "bucket").where(F.col("comp") != F.col("hub.comp")).select(
         F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct()
 
 
-def rest_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float, top: int | None, block: int,
+def rest_links(members: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int, block: int,
                home: str) -> DataFrame:
-    """(a, b): the members outside their bucket's largest component, with those of the bucket's other
-    components that the estimate allows (``top``: the likeliest of each block only)."""
+    """(a, b): confirmed links between components, from the members outside their bucket's largest one.
+
+    Such a member is compared with the members of the bucket's other components, block by
+    block: by sketch, then, the likeliest first, on the full sets, until a component is
+    linked or has no member left that the estimate allows.  A pair is compared in the
+    first band that its sketches share.  Only links leave a task.
+    """
+    threshold = percent / 100
+    least = least_estimate(threshold)
     size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     own = members.join(labels.join(size, "comp"), "c")
-    open_ = cut(own.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("main"), F.min("comp").alias("lo"),
-                                          F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-                .where("lo != hi").select("bucket", "main.comp", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-                .withColumnRenamed("comp", "main"), f"{home}/open")
-    rows = cut(members.join(labels, "c").join(open_, "bucket").join(sets.select("c", "n", "regs"), "c"), f"{home}/rows")
-    blocks = rows.select("bucket", F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("block"), "c", "comp", "n", "regs")
-    outside = rows.where("comp != main").select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "c", "comp", "n", "regs")
-    least = least_estimate(threshold)
+    main = own.groupBy("bucket").agg(F.max(F.struct("size", "comp")).alias("main"), F.min("comp").alias("lo"),
+                                     F.max("comp").alias("hi")).where("lo != hi").select("bucket", F.col("main.comp").alias("main"))
+    rows = cut(own.join(cut(main, f"{home}/main"), "bucket").select("bucket", "band", "c", "comp", "main"), f"{home}/open")
+    parts = lambda n: F.ceil(n / block).cast("int")
+    grid = cut(rows.groupBy("bucket").agg(parts(F.count(F.lit(1))).alias("blocks"),
+                                          parts(F.count_if(F.col("comp") != F.col("main"))).alias("outer")), f"{home}/grid")
+    full = rows.join(grid, "bucket").join(sets, "c")
+    put = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = ["band", "c", "comp", "n", "regs", "z"]
+    right = full.withColumn("i", put("blocks")).select("bucket", "i", over("outer").alias("o"), *data)
+    left = full.where("comp != main").withColumn("o", put("outer")).select("bucket", over("blocks").alias("i"), "o", *data)
+    left = left.toDF(*left.columns)  # names of its own: both sides come from one table
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[bytes, bytes]] = []
         if left.num_rows and right.num_rows:
-            cl, cr, pl, pr = (t[c].to_pylist() for c in ("c", "comp") for t in (left, right))
+            band = left["band"][0].as_py()
+            cl, cr, pl, pr, zl, zr = (t[c].to_pylist() for c in ("c", "comp", "z") for t in (left, right))
             nl, nr = left["n"].to_numpy(), right["n"].to_numpy()
             rl, rr = (np.frombuffer(b"".join(t["regs"].to_pylist()), "<u2").reshape(-1, M) for t in (left, right))
-            comps = {p: i for i, p in enumerate(set(pl) | set(pr))}
-            other = np.array([comps[p] for p in pr])
+            number = {p: i for i, p in enumerate(set(pl) | set(pr))}
+            comps = np.array([number[p] for p in pr])
+            read = lru_cache(2 * block)(lambda i: shingles(_unpack(zr[i]), k))
             for i in range(len(cl)):
-                e = estimate((rl[i] > rr).sum(axis=1), (rl[i] < rr).sum(axis=1), np.full(len(nr), nl[i]), nr)
-                on = np.flatnonzero((e >= least) & (other != comps[pl[i]]))
-                if top is not None:
-                    on = on[np.argsort(-e[on], kind="stable")[:top]]
-                out += [(min(cl[i], cr[j]), max(cl[i], cr[j])) for j in on.tolist()]
+                on = np.flatnonzero(comps != number[pl[i]])
+                equal = rl[i] == rr[on]
+                # Equal registers are as likely as the sets are similar: a cheap bound before the likelihood.
+                near = (equal.sum(axis=1) >= int(least * M)) & (
+                    equal.reshape(len(on), M // BAND, BAND).all(axis=2).argmax(axis=1) == band)
+                on = on[near]
+                if not len(on):
+                    continue
+                e = estimate((rl[i] > rr[on]).sum(axis=1), (rl[i] < rr[on]).sum(axis=1), np.full(len(on), nl[i]), nr[on])
+                s, linked = shingles(_unpack(zl[i]), k), set()
+                for j in on[np.argsort(-e, kind="stable")][:int((e >= least).sum())].tolist():
+                    if comps[j] not in linked and similar(s, read(j), percent):
+                        linked.add(comps[j])
+                        out.append((min(cl[i], cr[j]), max(cl[i], cr[j])))
         cols = list(zip(*out)) or [(), ()]
         return pa.table({x: pa.array(c, pa.binary()) for x, c in zip("ab", cols)})
-    return outside.groupBy("bucket", "block").cogroup(blocks.groupBy("bucket", "block")).applyInArrow(
+    return left.groupBy("bucket", "i", "o").cogroup(right.groupBy("bucket", "i", "o")).applyInArrow(
         compare, "a binary, b binary").distinct()
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, stars: int = 2, top: int = 4, block: int = 512,
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, hubs: int = 2, block: int = 512,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, thash, n_shingles, component_id, first): groups of linked documents.
 
@@ -227,18 +254,10 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80, stars: int = 2,
     texts = packed_texts(base)
     holders = classes.join(labels.select("c"), "c").select("c", "n", "regs", "first.doc_id", "first.thash").alias("h")
     sets = cut(texts.join(holders, same_row(texts, holders)).select("c", "n", "regs", "z").dropDuplicates(["c"]), f"{home}/sets")
-    tested = None
-    for phase in range(stars + 2):
-        at = f"{home}/{phase}"
-        if phase < stars:
-            pairs = star_pairs(members, labels, phase, at)
-        else:
-            pairs = rest_pairs(members, labels, sets, percent / 100, top if phase == stars else None, block, at)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs, f"{at}/pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = components(labels, cut(confirm(pairs, sets, k, percent), f"{at}/edges"), at)
+    pairs = cut(star_pairs(members, labels, hubs, f"{home}/star"), f"{home}/pairs")
+    labels = components(labels, cut(confirm(pairs, sets, k, percent), f"{home}/confirmed"), f"{home}/star")
+    links = cut(rest_links(members, labels, sets, k, percent, block, f"{home}/rest"), f"{home}/links")
+    labels = components(labels, links, f"{home}/rest")
     ends = labels.join(classes, "c").groupBy("comp").agg(F.min("least").alias("component_id"), F.min("first").alias("first"))
     named = labels.join(ends, "comp").select("c", "component_id", F.col("first").alias("whole"))
     out = cut(classes.join(named, "c", "left").select(
