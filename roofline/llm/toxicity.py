@@ -97,19 +97,27 @@ def sample_rows(docs: DataFrame, labels: DataFrame, max_docs: int, id_col: str,
     text = documents(docs, id_col, text_col).select("doc_id", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        # One row per batch: its distinct words once, and per word of a text its number and
-        # whether it begins a sentence.
+        # One row per batch: its distinct words once (they hold no blank), and per word of a text
+        # its number and whether it begins a sentence.
         words, which, _, doc, sentence = tokenise(b.column(1))
         new = np.diff(sentence, prepend=-1) > 0
         bounds = np.searchsorted(doc, np.arange(b.num_rows + 1)).astype("<i4")
         return pa.RecordBatch.from_arrays(
             [pa.array([b.column(0).to_numpy().astype("<i4").tobytes()], pa.binary()), pa.array([bounds.tobytes()], pa.binary()),
-             pa.array([words.to_pylist()], pa.list_(pa.string())),
+             pa.array([" ".join(words.to_pylist())], pa.string()),
              pa.array([(which.astype("<i4") * 2 + new).astype("<i4").tobytes()], pa.binary())],
             names=["toxic", "bounds", "words", "which"])
 
     met = text.join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most max_docs rows
-    return map_batches(met, run, "toxic binary, bounds binary, words array<string>, which binary")
+    return map_batches(met, run, "toxic binary, bounds binary, words string, which binary")
+
+
+def summed(into: np.ndarray, values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values[index]`` by ``into``, a stretch at a time to bound the memory."""
+    out = np.zeros(n)
+    for i in range(0, len(into), 1 << 20):
+        out += np.bincount(into[i:i + (1 << 20)], values[index[i:i + (1 << 20)]], n)
+    return out
 
 
 def fit(batches: list, rounds: int = 40, rate: float = 0.25, decay: float = 2e-3, min_docs: int = 3) -> ToxicityModel:
@@ -120,33 +128,34 @@ def fit(batches: list, rounds: int = 40, rate: float = 0.25, decay: float = 2e-3
     if not y.any():
         return model
     parts, in_docs, toxic_docs, n_sent, n_docs = [], np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32), 0, 0
-    for toxic, (_, bounds, words, which) in zip(labels, batches):
+    for toxic, row in zip(labels, batches):
+        _, bounds, words, which = row
         which, bounds = np.frombuffer(which, "<i4"), np.frombuffer(bounds, "<i4")
         doc = np.repeat(np.arange(len(toxic)), np.diff(bounds))
         sentence = np.cumsum(which & 1) - 1
-        slots = slots_of(words)[which >> 1]
+        slots = slots_of(words.split(" ")).astype(np.int32)[which >> 1]
         for k in range(PER_WORD):  # documents of each slot
             one = slots[:, k] >= 0
-            pairs = np.unique(doc[one] * (1 << BITS) + slots[one, k])
+            pairs = np.unique(doc[one] * (1 << BITS) + slots[one, k].astype(np.int64))
             own = pairs & ((1 << BITS) - 1)
             in_docs += np.bincount(own, minlength=1 << BITS).astype(np.int32)
             toxic_docs += np.bincount(own[toxic[pairs >> BITS]], minlength=1 << BITS).astype(np.int32)
         owner = np.zeros(sentence[-1] + 1 if len(sentence) else 0, np.int32)
         owner[sentence[::-1]] = doc[::-1] + n_docs
-        parts.append((slots.astype(np.int32), (sentence + n_sent).astype(np.int32), owner))
+        parts.append((slots, (sentence + n_sent).astype(np.int32), owner))
         n_sent, n_docs = n_sent + len(owner), n_docs + len(toxic)
     # Slots in fewer than ``min_docs`` documents carry no weight.
     used = np.flatnonzero(in_docs >= min_docs)
     number = np.full(1 << BITS, -1, np.int32)
     number[used] = np.arange(len(used), dtype=np.int32)
     f, s = [], []
-    for slots, sentence, _ in parts:
+    owner = np.concatenate([p[2] for p in parts])
+    while parts:
+        slots, sentence, _ = parts.pop(0)
         got = np.where(slots >= 0, number[slots], -1)
-        row, _ = np.nonzero(got >= 0)
         f.append(got[got >= 0])
-        s.append(sentence[row])
-    f, s, owner = np.concatenate(f), np.concatenate(s), np.concatenate([p[2] for p in parts])
-    del parts
+        s.append(sentence[np.nonzero(got >= 0)[0]])
+    f, s = np.concatenate(f), np.concatenate(s)
     n_pos = y.sum()
     # Start: each slot's log odds in toxic against other documents, shrunk towards none.
     pos, neg = toxic_docs[used], in_docs[used] - toxic_docs[used]
@@ -155,11 +164,11 @@ def fit(batches: list, rounds: int = 40, rate: float = 0.25, decay: float = 2e-3
     b = np.log(n_pos / max(n_sent, 1)) - 2.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        z = np.bincount(s, w[f], n_sent) + b
+        z = summed(s, w, f, n_sent) + b
         a = np.bincount(owner, np.logaddexp(0, z), n_docs)
         pull = np.where(y, 1 / np.expm1(np.clip(a, 1e-6, 50)), -1.0)
         gz = pull[owner] * np.exp(-np.logaddexp(0, -z))
-        g = np.append(np.bincount(f, gz[s], len(w)) - decay * n_pos * w, gz.sum()) / n_docs
+        g = np.append(summed(f, gz, s, len(w)) - decay * n_pos * w, gz.sum()) / n_docs
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
         w, b = w + step[:-1], b + step[-1]
