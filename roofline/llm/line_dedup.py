@@ -135,7 +135,7 @@ def _shard(shards: int):
 
 def update(index: LineIndex, lines: DataFrame, sign: int, home: str) -> LineIndex:
     """The index with the documents of ``lines`` (from ``line_keys``) put in (1) or taken out (-1)."""
-    # One (key, document) each: rows that repeat an id are one document.
+    # One (key, row) each: every row is a document.
     own = lines.select("doc_id", F.explode("keys").alias("key"))
     change = own.groupBy("key").agg(F.count(F.lit(1)).alias("d")).select(
         _shard(index.shards), "key", F.lit(0).cast("long").alias("n"), (F.col("d") * sign).alias("d"))
