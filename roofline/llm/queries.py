@@ -41,8 +41,8 @@ def op1(pages: DataFrame) -> DataFrame:
 
 @query("op2_sentencepiece")
 def op2(docs: DataFrame) -> DataFrame:
-    from .sentencepiece import decode_documents, encode_documents
-    read = decode_documents(encode_documents(docs))
+    from .sentencepiece import encode_documents
+    read = encode_documents(docs, decode=True)
     return read.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids",
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

@@ -14,12 +14,13 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ._common import documents, map_batches
 from ._words import Memo, encode_chunks
@@ -83,6 +84,9 @@ class PieceModel:
         self.unknown, self.unknown_score = lib.unk_id(), min(self.scores.values()) - 10
         found = {lib.id_to_piece(i): i for i in range(n) if lib.is_byte(i)}
         self.bytes = [found[f"<0x{b:02X}>"] for b in range(256)] if len(found) == 256 else None
+        self.endings = {p[k:] for p in self.ids for k in range(len(p))}
+        #: Neighbours inside pieces: between other characters no piece can stand.
+        self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.chunked = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
         self.newline_cuts = self.chunked and not any("\n" in p for p in self.ids)
         text = [lib.id_to_piece(i).replace(BLANK, " ").encode() for i in range(n)]
@@ -93,9 +97,9 @@ class PieceModel:
                 text[i] = " ⁇ ".encode()
             elif lib.is_byte(i):
                 text[i] = bytes([int(lib.id_to_piece(i)[3:5], 16)])
-        self.texts = text
+        self.table = pa.array(text, pa.large_binary())
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo = Memo(self._chunk, memo)
+        self.memo, self.parts = Memo(self._chunk, memo), Memo(self.short, memo)
 
     def merge(self, text: str) -> list[str]:
         """The merges on a short text: the best-scoring neighbours first, the leftmost of equals."""
@@ -189,25 +193,35 @@ class PieceModel:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk between blanks; one that begins with a newline had no blank before it."""
-        text = chunk if chunk[:1] == "\n" or chunk[:1] == BLANK else BLANK + chunk
-        return self._raw(text)
+        return self._raw(chunk if chunk[:1] == "\n" or chunk[:1] == BLANK else BLANK + chunk)
 
-    def short(self, text: str) -> list[int]:
+    def _raw(self, text: str) -> bytes:
+        """Ids of a normalised text, cut where no piece can stand across."""
+        if len(text) > 64 or self.kind != BPE or not self.bytes:
+            return array("i", self.stream(text)).tobytes()
+        ends = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.inside]
+        return b"".join([self.parts[text[i:j]] for i, j in zip([0, *ends], [*ends, len(text)])])
+
+    def short(self, text: str) -> bytes:
         """``stream`` of a BPE model for a text that fits the window: the lattice at once."""
-        last, ids, pairs = [""], self.ids, self.pairs
+        last, ids, pairs, endings = [""], self.ids, self.pairs, self.endings
         for i in range(1, len(text) + 1):
-            for j in range(max(0, i - self.longest), i):
+            best = text[i - 1]
+            for j in range(i - 1, -1, -1):
                 piece = text[j:i]
+                if piece not in endings:
+                    break
                 if piece in ids:
                     ok = pairs.get((last[j], piece))
                     if ok or ok is None and self.stands(last[j], piece):
+                        best = piece
                         break
-            last.append(piece)
+            last.append(best)
         out, i = [], len(text)
         while i:
             out.append(self.piece_ids(last[i]))
             i -= len(last[i])
-        return [x for p in reversed(out) for x in p]
+        return array("i", [x for p in reversed(out) for x in p]).tobytes()
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text; null counts as empty."""
@@ -218,19 +232,22 @@ class PieceModel:
         odd = pc.match_substring_regex(texts, f"  |^ | \n|{BLANK}| $").to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(odd).tolist():  # runs of blanks belong to one chunk
             text = BLANK + texts[i].as_py().replace(" ", BLANK)
-            out[i] = b"".join(self.memo[c] if c[0] == BLANK else self._raw(c)
-                              for c in re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", text))
+            out[i] = b"".join(self._raw(c) for c in re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", text))
         for i in np.flatnonzero(pc.equal(texts, "").to_numpy(zero_copy_only=False)).tolist():
             out[i] = b""
         return out
 
-    def _raw(self, text: str) -> bytes:
-        ids = self.short(text) if len(text) <= 64 and self.kind == BPE and self.bytes else self.stream(text)
-        return array("i", ids).tobytes()
+    def decode(self, ids: Sequence[int]) -> str:
+        """The text of ids: bytes put together, the blank in front taken off."""
+        return self.decode_all([np.asarray(ids, np.int64)])[0]
 
-    def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.texts.__getitem__, ids)).decode("utf-8", errors="replace")
-        return text[1:] if text[:1] == " " else text
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        pieces = self.table.take(pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)))
+        at = np.frombuffer(pieces.buffers()[1], np.int64)[:len(pieces) + 1]
+        data = memoryview(pieces.buffers()[2] or b"")
+        ends = at[np.cumsum([0, *map(len, ids)])].tolist()
+        texts = (bytes(data[a:b]).decode("utf-8", errors="replace") for a, b in zip(ends, ends[1:]))
+        return [t[1:] if t[:1] == " " else t for t in texts]
 
 
 @functools.lru_cache(2)
@@ -238,9 +255,19 @@ def piece_model(path: str) -> PieceModel:
     return PieceModel(path)
 
 
+#: Rows worked on at a time: bounds the buffers beside the batch.
+ROWS = 1000
+
+
+def _ids_array(ids: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id",
-                     text_col: str = "text") -> DataFrame:
-    """(doc_id, text, ids): every text's piece ids.
+                     text_col: str = "text", decode: bool = False) -> DataFrame:
+    """(doc_id, text, ids): every text's piece ids; with ``decode`` also ``decoded``, their text.
 
     Null and empty texts have no ids; a null doc_id stays null; repeated rows are encoded
     like any other; an empty table gives no rows.  A word without end is streamed like
@@ -248,23 +275,27 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
     """
     path = model or default_model()
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        ids = piece_model(path).encode(b.column(1))
-        offsets = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-        values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(offsets), values)],
-                                          names=["doc_id", "text", "ids"])
-    return map_batches(documents(docs, id_col, text_col).select("doc_id", "text"), run,
-                       "doc_id long, text string, ids array<int>")
-
-
-def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """The columns of ``encoded`` and ``decoded``, the text of its ``ids`` (null ids: empty)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = piece_model(path)
+        for b in batches:
+            for i in range(0, b.num_rows, ROWS):
+                part = b.slice(i, ROWS)
+                ids = m.encode(part.column(1))
+                cols = [*part.columns, _ids_array(ids)]
+                if decode:
+                    cols.append(pa.array(m.decode_all([np.frombuffer(x, "<i4") for x in ids]), pa.string()))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "ids", "decoded"][:len(cols)])
+    return documents(docs, id_col, text_col).select("doc_id", "text").mapInArrow(
+        run, "doc_id long, text string, ids array<int>" + (", decoded string" if decode else ""))
+
+
+def decode_documents(encoded: DataFrame, model: str | None = None, ids_col: str = "ids") -> DataFrame:
+    """The columns of ``encoded`` and ``decoded``, the text of its ids (null ids: empty)."""
     path = model or default_model()
+    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        m = piece_model(path)
-        out = [m.decode(x or []) for x in b.column("ids").to_pylist()]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "decoded"])
-    return map_batches(encoded, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string")
+        ids = [np.asarray(x or [], np.int64) for x in b.column(ids_col).to_pylist()]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(piece_model(path).decode_all(ids), pa.string())],
+                                          names=[*b.schema.names, "decoded"])
+    return map_batches(encoded, run, schema)

@@ -150,6 +150,8 @@ def test_unigram_paths_are_the_best(pieces):
 def test_documents_round_trip(spark):
     got = sentencepiece.decode_documents(sentencepiece.encode_documents(table(spark))).collect()
     assert len(got) == len(texts()) and all(r.decoded == (r.text or "") for r in got)
+    at_once = sentencepiece.encode_documents(table(spark), decode=True).collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
     assert sentencepiece.encode_documents(table(spark, [])).count() == 0
 
 
