@@ -21,7 +21,7 @@ from ._common import U64, documents, shuffle_partitions, strings
 
 BASE = U64(0x9E3779B97F4A7C15)
 INVERSE = U64(pow(int(BASE), -1, 2**64))
-K, WINDOW = 20, 61
+K, WINDOW = 8, 9
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:

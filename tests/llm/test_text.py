@@ -185,6 +185,13 @@ def test_shared_stretches_share_a_hash():
         assert len(np.intersect1d(fingerprints.winnow(a)[0], fingerprints.winnow(b)[0]))
 
 
+def test_short_texts_share_a_hash_with_their_edit(spark):
+    rng = random.Random(6)
+    data = [(i, "".join(chr(rng.randint(97, 122)) for _ in range(rng.randint(32, 159)))) for i in range(200)]
+    got = fingerprints.fingerprint_edits(table(spark, data)).collect()
+    assert len(got) == 200 and all(r.near_edited > r.near_next for r in got)
+
+
 def test_edited_fingerprints_equal_brute_force(spark):
     data = texts()
     got = Counter(tuple(r) for r in fingerprints.fingerprint_edits(table(spark, data)).collect())
