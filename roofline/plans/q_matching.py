@@ -118,6 +118,17 @@ def q_new_signatures(t):
     return D.only_new_signatures(rest, store).select("listing_id", "signature")
 
 
+@register("new_signatures_all", sql=with_ctes("listings", "searches", extra={**_MATCHED, **_SIG,
+    "old": f"SELECT DISTINCT {signature_sql('l')} AS key FROM listings l WHERE l_shipdate < TIMESTAMP '{A.SEEN_CUTOFF}'"}) + """
+SELECT listing_id, search_id, signature FROM sigs s WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.key = s.signature)""")
+def q_new_signatures_all(t):
+    """D4 over the listings of all searches: the store holds the signatures of the rows
+    shipped before 1996; a null signature always passes."""
+    old = A.listings(t).filter(F.col("_shipdate") < F.lit(A.SEEN_CUTOFF).cast("timestamp_ntz"))
+    store = D.with_signature(old).filter(F.col("signature").isNotNull()).select(F.col("signature").alias("key")).distinct()
+    return D.only_new_signatures(D.with_signature(firsts(t)), store).select("listing_id", "search_id", "signature")
+
+
 @register("split_reposts", sql=with_ctes("listings", "searches", extra={**_MATCHED, **_SIG,
     "ranked": f"""SELECT *, first_value(listing_id) OVER (PARTITION BY signature ORDER BY {ORDER_SQL}) AS first_id
 FROM sigs WHERE signature IS NOT NULL"""}) + """
