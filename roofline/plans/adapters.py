@@ -193,6 +193,22 @@ def _searches_raw(t: Tables) -> DataFrame:
                              "max_sqm", "required_keywords", "excluded_keywords")])
 
 
+SEARCHES_PER_LIST = 20
+
+
+def supplier_tables(t: Tables) -> Tables:
+    """The same tables with one search per supplier, so that the searches grow with the data:
+    the suppliers take the place of the nations in S (lists of 20 that of the regions), and
+    every listing refers to its supplier's search."""
+    g = Tables(t.spark, t.sf_dir)
+    k = F.col("s_suppkey")
+    g.nation = t.supplier.select(
+        k.alias("n_nationkey"), F.concat(F.lit("supplier-"), k.cast("string")).alias("n_name"),
+        F.floor(k / SEARCHES_PER_LIST).alias("n_regionkey"))
+    g.memo("listings", lambda: listings(t).withColumn("search_id", F.col("l_suppkey")))
+    return g
+
+
 # --------------------------------------------------------------------------- R
 def run_events(t: Tables) -> DataFrame:
     return t.memo("run_events", lambda: _run_events(t))

@@ -7,7 +7,8 @@ CTEs and everything they depend on, in dependency order.
 
 from __future__ import annotations
 
-from .adapters import DEFAULT_CRITERIA, N_SEARCHES, PORTAL_PATH, SEARCH_CELLS, SEEN_CUTOFF, STATUS_BY_K
+from .adapters import (DEFAULT_CRITERIA, N_SEARCHES, PORTAL_PATH, SEARCH_CELLS, SEARCHES_PER_LIST, SEEN_CUTOFF,
+                       STATUS_BY_K)
 
 
 def _lit(v) -> str:
@@ -207,6 +208,15 @@ def with_ctes(*names: str, extra: dict[str, str] | None = None) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
+def per_supplier_sql(sql: str) -> str:
+    """A copy of a query's SQL over one search per supplier."""
+    suppliers = (f"(SELECT s_suppkey AS n_nationkey, 'supplier-' || CAST(s_suppkey AS VARCHAR) AS n_name, "
+                 f"s_suppkey // {SEARCHES_PER_LIST} AS n_regionkey FROM supplier)")
+    return (sql.replace("\nFROM nation)", f"\nFROM {suppliers} n)")
+            .replace("JOIN nation n ON s.search_id", f"JOIN {suppliers} n ON s.search_id")
+            .replace(f"l.l_suppkey % {N_SEARCHES} AS search_id", "l.l_suppkey AS search_id"))
+
+
 def haystack_sql(a: str) -> str:
     return (f"lower(coalesce({a}.title, '') || ' ' || coalesce({a}.location, '') || ' ' || "
             f"coalesce({a}.description, ''))")

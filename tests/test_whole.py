@@ -12,3 +12,17 @@ def test_signatures_of_all_searches_are_tested(spark, sf_dir):
     got = {r.listing_id: r.search_id for r in rows(spark, "new_signatures_all", sf_dir)}
     assert got.items() <= first.items() and 0 < len(got) < len(first)
     assert {s for s in first.values() if s % 5 == 0} == {s for s in got.values() if s % 5 == 0} != set()
+
+
+def test_searches_grow_with_the_suppliers(spark, sf_dir):
+    """One search per supplier (the one without a URL is dropped), and listings meet more than 25 of them."""
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    assert len(rows(spark, "searches_clean_supplier", sf_dir)) == n - 1 > 25
+    import __spark_entry__ as E
+    met = E.queries()["match_all_searches_supplier"](spark, sf_dir).select("match_search_id").distinct().count()
+    assert met > 25
+
+
+def test_an_active_primary_keeps_the_static_list_out(spark, sf_dir):
+    got = rows(spark, "searches_fallback_active", sf_dir)
+    assert got and all(r.search_id % 2 == 0 for r in got)
