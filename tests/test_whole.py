@@ -26,3 +26,18 @@ def test_searches_grow_with_the_suppliers(spark, sf_dir):
 def test_an_active_primary_keeps_the_static_list_out(spark, sf_dir):
     got = rows(spark, "searches_fallback_active", sf_dir)
     assert got and all(r.search_id % 2 == 0 for r in got)
+
+
+def test_attempts_of_late_cycles_are_streamed(spark, sf_dir):
+    """Events after the first days moved two months on: the stream has every row that the batch has."""
+    from pyspark.sql import functions as F
+
+    from roofline.plans import adapters as A
+    from roofline.plans.registry import QUERIES, load_all
+    load_all()
+    t = A.Tables(spark, sf_dir)
+    t.events = t.events.withColumn("ts", F.when(F.dayofmonth("ts") > 3, F.col("ts") + F.expr("INTERVAL 60 DAYS"))
+                                   .otherwise(F.col("ts")))
+    want = sorted(map(tuple, QUERIES["delivery_attempts"](t).collect()))
+    assert max(r[1] for r in want) > 30
+    assert sorted(map(tuple, QUERIES["stream_attempts"](t).collect())) == want
