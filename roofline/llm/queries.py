@@ -124,3 +124,61 @@ def op9(docs: DataFrame) -> DataFrame:
 def op10(docs: DataFrame) -> DataFrame:
     from .packing import pack
     return pack(docs)
+
+
+@query("op11_conversations", "conversations")
+def op11(conversations: DataFrame) -> DataFrame:
+    from .conversations import audit
+    return audit(conversations)
+
+
+@query("op12_divergence", sql=r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+w AS (SELECT doc_id, lang, source, translate(unnest(ws), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+t AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT doc_id) >= 3),
+c AS (SELECT w.lang, source, term, count(*) AS n FROM w JOIN t USING (lang, term) GROUP BY ALL),
+tongue AS (SELECT lang, count(*) AS v, sum(n) AS total FROM t GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, t.term, coalesce(c.n, 0) AS n,
+             1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.total + tongue.v)::HUGEINT AS p,
+             1 + (1000000000::HUGEINT * (t.n + 1)) // (tongue.total + tongue.v)::HUGEINT AS q
+      FROM s JOIN tongue USING (lang) JOIN t USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+                 coalesce((SELECT sum(((x.p - y.p) * (x.p - y.p)) // y.p) FROM p x JOIN p y
+                           ON x.lang = y.lang AND x.term = y.term
+                           WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""")
+def op12(docs: DataFrame) -> DataFrame:
+    from .divergence import divergence_audit
+    return divergence_audit(docs)
+
+
+@query("op13_decontaminate", "documents", "benchmark", sql=r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT item_id, least(len(ws), 10) AS size, unnest(range(greatest(len(ws) - 9, 1))) AS k, ws FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, size, array_to_string(ws[k + 1:k + size], ' ') AS win FROM i),
+sizes AS (SELECT DISTINCT size FROM w),
+places AS (SELECT doc_id, ws, size, unnest(range(len(ws) - size + 1)) AS k FROM d, sizes WHERE len(ws) >= size),
+found AS (SELECT doc_id, places.size, k, item_id FROM places JOIN w
+          ON w.size = places.size AND w.win = array_to_string(ws[k + 1:k + places.size], ' ')),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS pos FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+          FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""")
+def op13(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    from .decontaminate import scan
+    return scan(docs, bench, window=10).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
