@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
+from ._runs import slices
 
 #: ASCII white space of the word and line rules: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
@@ -69,11 +70,15 @@ def strings(column: pa.Array) -> list[str]:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` of a function on one batch."""
+    """``mapInArrow`` of a function on one batch, in slices of some megabytes: a worker that a later operator
+    takes over keeps what its largest batch needed."""
+    text = next((i for i, f in enumerate(df.schema) if isinstance(f.dataType, (T.StringType, T.BinaryType))), None)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield fn(b)
+        for whole in batches:
+            for b in [whole] if text is None else slices(whole, text):
+                if b.num_rows:
+                    yield fn(b)
     return df.mapInArrow(run, schema)
 
 

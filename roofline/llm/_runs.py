@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 _BYTES = np.arange(256)
 #: A-Z to a-z and nothing else.
@@ -18,6 +19,8 @@ LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np
 #: Word bytes after lower-casing: letters and all beyond ASCII; with digits.
 LETTERS = (_BYTES >= 128) | ((_BYTES >= 97) & (_BYTES <= 122))
 ALNUM = LETTERS | ((_BYTES >= 48) & (_BYTES <= 57))
+#: All but ASCII white space.
+FILLED = ~np.isin(_BYTES, [32, 9, 10, 11, 12, 13])
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -33,16 +36,16 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator
         yield batch.slice(at)
 
 
-def runs(texts: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """(words lower-cased, words before each text and in all, starts, ends) of a column of texts.
+def runs(texts: pa.Array, inside: np.ndarray, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, words before each text and in all, starts, ends) of a column of texts, A-Z lower-cased unless told.
 
     Starts and ends count bytes of the text's own UTF-8.  Null counts as empty.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
-    data = LOWER[np.frombuffer(raw, np.uint8)[at[0]:at[-1]]] if raw is not None else np.zeros(0, np.uint8)
-    at = at - at[0]
+    data = np.frombuffer(raw, np.uint8)[at[0]:at[-1]] if raw is not None else np.zeros(0, np.uint8)
+    data, at = LOWER[data] if lower else data, at - at[0]
     word = inside[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True  # a word ends where its text does
@@ -56,3 +59,10 @@ def runs(texts: pa.Array, inside: np.ndarray) -> tuple[pa.Array, np.ndarray, np.
     first = np.searchsorted(starts, at)
     own = np.repeat(at[:-1], np.diff(first))
     return words, first, starts - own, ends - own
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; each distinct word is hashed once."""
+    code = words.dictionary_encode()
+    kinds = code.dictionary.cast(pa.large_binary()).to_pylist()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))[code.indices.to_numpy()]

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, cut, documents, map_batches, same_row, shared_dir, utf8
+from ._common import U64, cut, documents, map_batches, same_row, shared_dir
+from ._runs import FILLED, runs
+from ._runs import word_hashes as batch_hashes
 from .fingerprints import mix
 from .substring_dedup import _unpack, packed_texts, range_hashes, word_hashes
 
@@ -39,7 +41,11 @@ MULTIPLY |= U64(1)
 def shingles(raw: bytes, k: int) -> np.ndarray:
     """The sorted distinct hashes of the ``k``-word shingles of a text, A-Z lower-cased; of a shorter
     text its whole sequence, of one without words none."""
-    words = word_hashes(raw.lower())
+    return shingle_set(word_hashes(raw.lower()), k)
+
+
+def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
+    """The same of the hashes of a text's words."""
     if not len(words):
         return np.zeros(0, U64)
     k = min(k, len(words))
@@ -86,8 +92,10 @@ def sketch_documents(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, thash, n_shingles, c, regs) of ``documents()``; ``c`` names the set, null for an empty one."""
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, c, regs = [], [], []
-        for raw in utf8(b.column(1)):
-            s = shingles(raw, k)
+        words, place, _, _ = runs(b.column(1), FILLED)
+        hashes = batch_hashes(words)
+        for i in range(b.num_rows):
+            s = shingle_set(hashes[place[i]:place[i + 1]], k)
             n.append(len(s))
             if len(s):
                 c.append(np.array([mix(s).sum(), mix(s ^ MULTIPLY[0]).sum() + U64(len(s))], U64).tobytes())

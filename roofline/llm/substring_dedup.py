@@ -2,7 +2,8 @@
 
 The anchor of a window is its rightmost smallest 8-gram hash, so equal windows have equal
 anchors.  Windows of a document that follow each other with one anchor are a segment.
-Segments are compared in three steps, each exact:
+Segments are compared in three steps.  Words count as equal when their bytes' 64-bit hashes
+are, segments when in addition their anchors and the hash over all their words are:
 
 1. Anchors that only one document has are done: none of their windows repeats.
 2. A segment that an earlier document has word for word repeats as a whole; copies and
@@ -24,27 +25,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SPACE, U64, carried, cut, documents, map_batches, same_row, shared_dir, utf8
+from ._runs import FILLED, runs, slices
+from ._runs import word_hashes as batch_hashes
 from .fingerprints import BASE, INVERSE, mix, powers
 
 GRAM = 8
 IS_SPACE = np.isin(np.arange(256, dtype=np.uint8), np.frombuffer(SPACE, np.uint8))
-LETTERS = np.random.default_rng(20260802).integers(0, 2**64, 256, dtype=U64)
-FORTH, BACK = [powers(BASE, 1 << 16)], [powers(INVERSE, 1 << 16)]
+FORTH, BACK = powers(BASE, 1 << 16), powers(INVERSE, 1 << 16)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if n > len(FORTH[0]):
-        FORTH[0], BACK[0] = powers(BASE, 2 * n), powers(INVERSE, 2 * n)
-    return FORTH[0][:n], BACK[0][:n]
+    """Powers of the base and of its inverse; those of longer texts are not kept."""
+    return (FORTH[:n], BACK[:n]) if n <= len(FORTH) else (powers(BASE, n), powers(INVERSE, n))
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of the values, from prefix sums."""
+    """A 64-bit hash of each stretch of the values, from prefix sums.  The values must be hashes themselves
+    and the stretches at most some hundred long: sums modulo 2^64 of a longer stretch of two values that
+    take turns can be equal whatever the values are."""
     forth, back = _powers(len(values) + 1)
     sums = np.zeros(len(values) + 1, U64)
     np.cumsum(values * forth[:len(values)], out=sums[1:])
@@ -60,8 +64,9 @@ def word_bounds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    starts, ends = word_bounds(raw)
-    return range_hashes(LETTERS[np.frombuffer(raw, np.uint8)], starts, ends)
+    """A 64-bit hash of each word's bytes."""
+    words = raw.split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), U64, len(words))
 
 
 def segments(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,8 +97,12 @@ STRETCH = 1 << 19
 
 
 def document_segments(raw: bytes, window: int) -> tuple[np.ndarray, ...]:
-    """``segments`` of a text of any length, in overlapping stretches."""
-    words = word_hashes(raw)
+    """``segments`` of a text of any length."""
+    return long_segments(word_hashes(raw), window)
+
+
+def long_segments(words: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """``segments`` of any number of words, in overlapping stretches."""
     if len(words) <= STRETCH:
         return segments(words, window)
     parts = []
@@ -106,10 +115,11 @@ def document_segments(raw: bytes, window: int) -> tuple[np.ndarray, ...]:
 def segment_table(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, thash, a, b, anchor, seg) of ``documents()``; rows without an id have no place in the order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, cols = [], []
-            for i, raw in enumerate(utf8(b.column(1))):
-                got = document_segments(raw, window)
+        for b in (x for batch in batches for x in slices(batch, 1)):
+            words, place, _, _ = runs(b.column(1), FILLED, lower=False)
+            hashes, rows, cols = batch_hashes(words), [], []
+            for i in range(b.num_rows):
+                got = long_segments(hashes[place[i]:place[i + 1]], window)
                 if len(got[0]):
                     rows.append(np.full(len(got[0]), i))
                     cols.append(got)

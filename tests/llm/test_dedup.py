@@ -258,3 +258,23 @@ def test_registers_merge_and_estimate():
     assert (near_dedup.merge(rx, ry) == near_dedup.registers(np.concatenate([x, b]))).all()
     got = near_dedup.estimate((rx > ry).sum(), (rx < ry).sum(), len(x), len(y))
     assert abs(got - 0.8) < 0.15
+
+
+# ---- long words ----
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 2048])
+def test_long_words_that_differ_by_a_pattern_are_different(spark, size):
+    """Polynomial sums modulo 2^64 over the letters are equal for these two, whatever the base."""
+    rng = np.random.default_rng(1)
+    common = " ".join(f"w{i}" for i in range(49))
+    pair = [(1, f"{common} {thue_morse(size)}"), (2, f"{common} {thue_morse(size, 'ba')}"), (3, thue_morse(size)), (4, thue_morse(size, "ba"))]
+    noise = ["".join(rng.choice(list("ab"), 4096)) for _ in range(4)]
+    data = pair + [(10 + i, f"{common} {noise[i % 4]} {common}") for i in range(8)]
+    got = substring_dedup.substring_dedup(table(spark, data), 50)
+    assert rows(got.select("doc_id", "n_words", "n_removed", "text")) == brute_windows(data, 50)
+    got = near_dedup.near_groups(table(spark, data), 3, 85)
+    assert rows(got.select("doc_id", "n_shingles", "component_id")) == brute_groups(data, 3, 85)
