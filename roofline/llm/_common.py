@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ensure_checkpoint_dir
-from ._runs import slices
+from ._runs import sliced
 
 #: ASCII white space of the word and line rules: [\x20\x09-\x0D].
 SPACE = b" \t\n\x0b\x0c\r"
@@ -75,10 +75,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     text = next((i for i, f in enumerate(df.schema) if isinstance(f.dataType, (T.StringType, T.BinaryType))), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in [whole] if text is None else slices(whole, text):
-                if b.num_rows:
-                    yield fn(b)
+        for b in batches if text is None else sliced(batches, text):
+            if b.num_rows:
+                yield fn(b)
     return df.mapInArrow(run, schema)
 
 

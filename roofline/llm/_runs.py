@@ -6,7 +6,7 @@ which one, so a byte decides: all bytes of other code points are word bytes or n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,11 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator
         yield batch.slice(at)
 
 
+def sliced(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """All batches in ``slices``; those without rows are left out."""
+    return (part for batch in batches for part in slices(batch, column))
+
+
 def runs(texts: pa.Array, inside: np.ndarray, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(words, words before each text and in all, starts, ends) of a column of texts, A-Z lower-cased unless told.
 

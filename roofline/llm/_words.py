@@ -13,20 +13,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: Bytes of an entry besides its key and result: two objects and a place in the table.
+ENTRY = 180
+
+
 class Memo(dict):
-    """Two generations of remembered results: when the younger is full, the older goes."""
+    """Two generations of remembered results: when the younger has half of ``limit`` bytes, the older goes."""
 
-    def __init__(self, compute: Callable[[str], bytes], size: int, longest: int = 64):
+    def __init__(self, compute: Callable[[str], bytes], limit: int, longest: int = 64):
         super().__init__()
-        self.compute, self.size, self.longest, self.older = compute, size, longest, {}
+        self.compute, self.limit, self.longest, self.older, self.held = compute, limit, longest, {}, 0
 
     def __missing__(self, key: str) -> bytes:
         out = self.older.pop(key, None)
         if out is None:
             out = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.older = dict(self)
+            self.held += len(key) + len(out) + ENTRY
+            if 2 * self.held > self.limit:
+                self.older, self.held = dict(self), 0
                 self.clear()
             self[key] = out
         return out

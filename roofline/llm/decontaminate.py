@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import cut, documents, shared_dir
-from ._runs import ALNUM, runs, slices
+from ._runs import ALNUM, runs, sliced
 
 #: Words after A-Z are lower-cased: runs of digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -137,34 +137,33 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = 10, max_words: int = 1
     def scanner(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             patterns = shared.value
-            for whole in batches:
-                for b in slices(whole, 1):
-                    words, first, starts, ends = runs(b.column(1), ALNUM)
-                    found = patterns.find(words, first)
-                    before = b.column("hits").to_pylist() if "hits" in b.schema.names else [[]] * b.num_rows
-                    named = b.column("items").to_pylist() if "items" in b.schema.names else [[]] * b.num_rows
-                    hits, spans, items = [], [], []
-                    for i in range(b.num_rows):
-                        got, more = found.get(i, ([], set()))
-                        ranges = merge_spans(got + [(x["a"], x["b"]) for x in before[i]])
-                        hits.append([{"a": x, "b": y} for x, y in ranges])
-                        items.append(sorted(more | set(named[i])))
-                        places = []
-                        if ranges:
-                            raw, at = b.column(1)[i].as_py().encode("utf-8", "surrogatepass"), int(first[i])
-                            done, seen = 0, 0  # bytes and code points so far
-                            for x, y in ranges:
-                                marks = []
-                                for stop in (int(starts[at + x]), int(ends[at + y - 1])):
-                                    seen += len(raw[done:stop].decode("utf-8", "surrogatepass"))
-                                    done = stop
-                                    marks.append(seen)
-                                places.append({"start": marks[0], "end": marks[1]})
-                        spans.append(places)
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column(0), b.column(1), pa.array(np.diff(first), pa.int64()), pa.array(hits, hits_type),
-                         pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string())), *[b.column(x) for x in extra]],
-                        names=["doc_id", "text", "n_words", "hits", "spans", "items", *extra])
+            for b in sliced(batches, 1):
+                words, first, starts, ends = runs(b.column(1), ALNUM)
+                found = patterns.find(words, first)
+                before = b.column("hits").to_pylist() if "hits" in b.schema.names else [[]] * b.num_rows
+                named = b.column("items").to_pylist() if "items" in b.schema.names else [[]] * b.num_rows
+                hits, spans, items = [], [], []
+                for i in range(b.num_rows):
+                    got, more = found.get(i, ([], set()))
+                    ranges = merge_spans(got + [(x["a"], x["b"]) for x in before[i]])
+                    hits.append([{"a": x, "b": y} for x, y in ranges])
+                    items.append(sorted(more | set(named[i])))
+                    places = []
+                    if ranges:
+                        raw, at = b.column(1)[i].as_py().encode("utf-8", "surrogatepass"), int(first[i])
+                        done, seen = 0, 0  # bytes and code points so far
+                        for x, y in ranges:
+                            marks = []
+                            for stop in (int(starts[at + x]), int(ends[at + y - 1])):
+                                seen += len(raw[done:stop].decode("utf-8", "surrogatepass"))
+                                done = stop
+                                marks.append(seen)
+                            places.append({"start": marks[0], "end": marks[1]})
+                    spans.append(places)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(np.diff(first), pa.int64()), pa.array(hits, hits_type),
+                     pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string())), *[b.column(x) for x in extra]],
+                    names=["doc_id", "text", "n_words", "hits", "spans", "items", *extra])
         return run
 
     context = docs.sparkSession.sparkContext

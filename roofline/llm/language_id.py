@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import carried, documents, map_batches, strings
+from ._runs import sliced
 
 ORDER, CLASSES = 4, 64
 #: Characters scored at a time, so that a long text needs no more memory than a short one.
@@ -69,7 +70,7 @@ def count_grams(labelled: DataFrame) -> DataFrame:
                 counts = np.bincount(where, np.concatenate([sums[lang][1], counts])).astype(np.int64)
             sums[lang] = keys, counts
 
-        for b in batches:
+        for b in sliced(batches, 1):
             waiting: dict[str, list[np.ndarray]] = {}
             size: dict[str, int] = {}
             for lang, text in zip(b.column(0).to_pylist(), strings(b.column(1))):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import U64, cut, documents, map_batches, same_row, shared_dir
-from ._runs import FILLED, runs
+from ._runs import FILLED, runs, sliced
 from ._runs import word_hashes as batch_hashes
 from .fingerprints import mix
 from .substring_dedup import _unpack, packed_texts, range_hashes, word_hashes
@@ -129,7 +129,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = lru_cache(64)(lambda z: shingles(_unpack(z), k))
-        for batch in batches:
+        for batch in sliced(batches, 6):
             a, b, na, nb, ra, rb, za, zb = (c.to_pylist() for c in batch.columns)
             x, y = (np.frombuffer(b"".join(r), "<u2").reshape(-1, M) for r in (ra, rb))
             likely = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), na, nb) >= least

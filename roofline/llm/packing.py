@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cut, documents, shared_dir
+from ._runs import sliced
 from .word_bpe import word_encoder
 
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -38,7 +39,7 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, enc = TaskContext.get().partitionId(), 0, word_encoder(tokenizer)
         tail = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
+        for b in sliced(batches, 1):
             ids = [x + tail for x in enc.encode(b.column(1))]
             n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
             starts = at + np.cumsum(n) - n
@@ -60,7 +61,7 @@ def cut_windows(stream: DataFrame, window: int) -> DataFrame:
         at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 4):
             out: list[tuple] = []
             parts, starts, ns, docs, ids = (b.column(c).to_pylist() for c in ("part", "start", "n", "doc_id", "ids"))
             for part, start, n, doc, raw in zip(parts, starts, ns, docs, ids):

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SPACE, U64, carried, cut, documents, map_batches, same_row, shared_dir, utf8
-from ._runs import FILLED, runs, slices
+from ._runs import FILLED, runs, sliced
 from ._runs import word_hashes as batch_hashes
 from .fingerprints import BASE, INVERSE, mix, powers
 
@@ -115,7 +115,7 @@ def long_segments(words: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
 def segment_table(docs: DataFrame, window: int) -> DataFrame:
     """(doc_id, thash, a, b, anchor, seg) of ``documents()``; rows without an id have no place in the order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (x for batch in batches for x in slices(batch, 1)):
+        for b in sliced(batches, 1):
             words, place, _, _ = runs(b.column(1), FILLED, lower=False)
             hashes, rows, cols = batch_hashes(words), [], []
             for i in range(b.num_rows):
@@ -269,7 +269,7 @@ def repeated_spans(docs: DataFrame, window: int, block: int, home: str) -> DataF
     met = texts.join(per_doc, ["doc_id", "thash"]).select("doc_id", "z", "segs")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             out = []
             for doc, z, segs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "z", "segs"))):
                 raw = _unpack(z)
@@ -303,7 +303,7 @@ def repeated_spans(docs: DataFrame, window: int, block: int, home: str) -> DataF
         "shard", "anchor", "seg", "doc_id", "words").groupBy("shard").applyInArrow(search, spans)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 3):
             which, cols = [], []
             for i, raw in enumerate(batch.column(3).to_pylist()):
                 values = word_hashes(raw)

@@ -32,7 +32,7 @@ def _byte_letters() -> dict[int, str]:
 class WordEncoder:
     """Encodes Arrow arrays of texts to little-endian ids, as the library does without special tokens added."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 24 << 20):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
