@@ -27,7 +27,9 @@ from ._words import Memo, encode_chunks
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
-PAIRS = 500_000
+#: Pair tests remembered, some 250 bytes each.
+PAIRS = 400_000
+PIECE, BEGINNING = 1, 2
 
 
 def default_model() -> str:
@@ -62,7 +64,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceModel:
     """The pieces, scores and normalisation of a model file."""
 
-    def __init__(self, path: str | None = None, proto: bytes | None = None, memo: int = 300_000):
+    def __init__(self, path: str | None = None, proto: bytes | None = None, memo: int = 96 << 20):
         from sentencepiece import SentencePieceProcessor
         if proto is None:
             with open(path, "rb") as f:
@@ -79,12 +81,15 @@ class PieceModel:
         special = lambda i: lib.is_byte(i) or lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)
         self.ids = {lib.id_to_piece(i): i for i in range(n) if not special(i)}
         self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
-        self.longer = {p[:k] for p in self.ids for k in range(1, len(p))}
+        #: What a text can be to the lattice: a piece, the beginning of a longer one, or both.
+        self.forms = dict.fromkeys(self.ids, PIECE)
+        for p in self.ids:
+            for k in range(1, len(p)):
+                self.forms[p[:k]] = self.forms.get(p[:k], 0) | BEGINNING
         self.longest = max(map(len, self.ids))
         self.unknown, self.unknown_score = lib.unk_id(), min(self.scores.values()) - 10
         found = {lib.id_to_piece(i): i for i in range(n) if lib.is_byte(i)}
         self.bytes = [found[f"<0x{b:02X}>"] for b in range(256)] if len(found) == 256 else None
-        self.endings = {p[k:] for p in self.ids for k in range(len(p))}
         #: Neighbours inside pieces: between other characters no piece can stand.
         self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.chunked = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
@@ -99,7 +104,7 @@ class PieceModel:
                 text[i] = bytes([int(lib.id_to_piece(i)[3:5], 16)])
         self.table = pa.array(text, pa.large_binary())
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo, self.parts = Memo(self._chunk, memo), Memo(self.short, memo)
+        self.memo, self.parts = Memo(self._chunk, memo), Memo(self._packed, memo)
 
     def merge(self, text: str) -> list[str]:
         """The merges on a short text: the best-scoring neighbours first, the leftmost of equals."""
@@ -128,26 +133,34 @@ class PieceModel:
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
         """The ids of a normalised text, each as soon as it is certain."""
+        out: list[int] = []
+        for _ in self._walk(chars, out):
+            yield from out
+            out.clear()
+
+    def _walk(self, chars: Iterable[str], out: list[int]) -> Iterator[None]:
+        """Appends the ids of a normalised text to ``out``; stops whenever some have been committed."""
         seen, base, at = "", 0, 0        # the window's text, its start, the position reached
         last, score = [""], [0.0]        # per position of the window: last piece, best score
         alive = [0]
-        bpe = self.kind == BPE
+        bpe, forms, ids, pairs, stands = self.kind == BPE, self.forms, self.ids, self.pairs, self.stands
         after_unknown = False
 
-        def path(end: int) -> list[str]:
-            out = []
-            while end > base:
-                out.append(last[end - base])
-                end -= len(last[end - base])
-            return out[::-1]
-
-        def commit(upto: int) -> Iterator[int]:
+        def commit(upto: int) -> None:
             nonlocal seen, base, after_unknown
-            for piece in path(upto):
-                known = piece in self.ids
-                if known or self.bytes or not after_unknown:  # a run of unknown characters is one unknown
-                    yield from self.piece_ids(piece)
-                after_unknown = not known
+            path, end = [], upto
+            while end > base:
+                path.append(last[end - base])
+                end -= len(path[-1])
+            for piece in reversed(path):
+                i = ids.get(piece)
+                if i is not None:
+                    out.append(i)
+                    after_unknown = False
+                else:
+                    if self.bytes or not after_unknown:  # a run of unknown characters is one unknown
+                        out.extend(self.piece_ids(piece))
+                    after_unknown = True
             cut = upto - base
             seen, base = seen[cut:], upto
             del last[:cut], score[:cut]
@@ -158,23 +171,29 @@ class PieceModel:
             best, best_score, still = None, 0.0, []
             for j in alive:
                 piece = seen[j - base:]
-                if piece in self.ids:
+                form = forms.get(piece, 0)
+                if form & PIECE:
                     if bpe:
-                        if best is None and self.stands(last[j - base], piece):
-                            best = piece
+                        if best is None:
+                            before = last[j - base]
+                            ok = pairs.get((before, piece))
+                            if stands(before, piece) if ok is None else ok:
+                                best = piece
                     else:
                         s = score[j - base] + self.scores[piece]
                         if best is None or s > best_score:
                             best, best_score = piece, s
-                if piece in self.longer:
+                if form & BEGINNING:
                     still.append(j)
-            if best is None or not bpe and c not in self.ids and score[-1] + self.unknown_score > best_score:
+            if best is None or not bpe and c not in ids and score[-1] + self.unknown_score > best_score:
                 best, best_score = c, score[-1] + self.unknown_score
             last.append(best)
             score.append(best_score)
-            alive = [*still, at]
+            still.append(at)
+            alive = still
             if len(alive) == 1:
-                yield from commit(at)
+                commit(at)
+                yield
             elif at - base >= 64 and at % 16 == 0:
                 # The last boundary that every alive position's path passes.
                 common = None
@@ -185,11 +204,19 @@ class PieceModel:
                         ends.add(e)
                     common = ends if common is None else common & ends
                 if (to := max(common)) > base:
-                    yield from commit(to)
-        yield from commit(at)
+                    commit(to)
+                    yield
+        commit(at)
+        yield
 
     def encode_ids(self, normalised: str) -> list[int]:
-        return list(self.stream(normalised))
+        out: list[int] = []
+        for _ in self._walk(normalised, out):
+            pass
+        return out
+
+    def _packed(self, normalised: str) -> bytes:
+        return array("i", self.encode_ids(normalised)).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a chunk between blanks; one that begins with a newline had no blank before it."""
@@ -198,36 +225,15 @@ class PieceModel:
     def _raw(self, text: str) -> bytes:
         """Ids of a normalised text, cut where no piece can stand across."""
         if len(text) > 64 or self.kind != BPE or not self.bytes:
-            return array("i", self.stream(text)).tobytes()
+            return self._packed(text)
         ends = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.inside]
         return b"".join([self.parts[text[i:j]] for i, j in zip([0, *ends], [*ends, len(text)])])
 
-    def short(self, text: str) -> bytes:
-        """``stream`` of a BPE model for a text that fits the window: the lattice at once."""
-        last, ids, pairs, endings = [""], self.ids, self.pairs, self.endings
-        for i in range(1, len(text) + 1):
-            best = text[i - 1]
-            for j in range(i - 1, -1, -1):
-                piece = text[j:i]
-                if piece not in endings:
-                    break
-                if piece in ids:
-                    ok = pairs.get((last[j], piece))
-                    if ok or ok is None and self.stands(last[j], piece):
-                        best = piece
-                        break
-            last.append(best)
-        out, i = [], len(text)
-        while i:
-            out.append(self.piece_ids(last[i]))
-            i -= len(last[i])
-        return array("i", [x for p in reversed(out) for x in p]).tobytes()
-
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not (self.plain and self.newline_cuts):
-            return [array("i", self.stream(self.lib.normalize(t)) if t else ()).tobytes() for t in texts.to_pylist()]
+            return [self._packed(self.lib.normalize(t)) if t else b"" for t in texts.to_pylist()]
         out = encode_chunks(pc.replace_substring(texts, "\n", " \n"), self.memo)
         odd = pc.match_substring_regex(texts, f"  |^ | \n|{BLANK}| $").to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(odd).tolist():  # runs of blanks belong to one chunk
