@@ -24,16 +24,18 @@ FILLED = ~np.isin(_BYTES, [32, 9, 10, 11, 12, 13])
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have ``limit`` bytes together; a longer text is alone."""
+    """The batch in runs of rows whose texts have ``limit`` bytes together; a longer text is alone.  The parts
+    are copies: some of Arrow's functions on texts go wrong on an array that begins inside another's buffers."""
+    part = lambda i, n: batch.slice(i, n).take(pa.array(range(n), pa.int64()))
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, total = 0, 0
     for i, n in enumerate(size.tolist()):
         if i > at and total + n > limit:
-            yield batch.slice(at, i - at)
+            yield part(at, i - at)
             at, total = i, 0
         total += n
     if batch.num_rows > at:
-        yield batch.slice(at)
+        yield part(at, batch.num_rows - at)
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -40,6 +41,10 @@ def test_slices_are_the_whole_batch_in_order():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 9, None, "", "b" * 30, "c", "d"])], names=["i", "t"])
     parts = list(_runs.slices(batch, 1, 10))
     assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches([batch]).to_pylist() and len(parts) == 3
+    data = [f"É{i} Ünï {'x' * (i % 9)} Ä" for i in range(400)]
+    parts = _runs.slices(pa.RecordBatch.from_arrays([pa.array(data)], names=["t"]), 0, 900)
+    lower = [x for b in parts for x in pc.ascii_lower(b.column(0).cast(pa.large_string())).to_pylist()]
+    assert lower == [x.translate(LOWER) for x in data]
 
 
 # ---- conversation repair ----
