@@ -165,14 +165,15 @@ def decode_entities(c) -> Column:
     return F.when(F.contains(c, F.lit("&")), F.concat(F.element_at(parts, 1), F.array_join(rest, ""))).otherwise(c)
 
 
-# A tag: its quoted attribute values may hold ">".
-TAG = r"""<(?:[^>"']|"[^"]*"|'[^']*')*>|<[^>]*>"""
+# A tag: its quoted attribute values may hold ">".  Possessive throughout: a tag of any length is read once,
+# without recursion.
+TAG = r"""<(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>"""
 
 
 def node_text(html) -> Column:
     """Text pieces of a fragment, each stripped, joined by one space, entities
     decoded; empty is null.  Script/style bodies and comments are not text."""
-    h = F.regexp_replace(col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "<x>")
+    h = F.regexp_replace(col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*+>", "<x>")
     pieces = F.transform(F.split(h, TAG), lambda p: strip_text(decode_entities(p)))
     joined = F.array_join(F.filter(pieces, lambda p: p != ""), " ")
     return F.when(joined != "", joined)

@@ -1,9 +1,9 @@
-"""Extraction from landed page bodies (A2-A6), as built-in expressions.
+"""Extraction from landed page bodies.
 
-A page body is split into cards with ``regexp_extract_all`` + ``posexplode`` (the
-position is kept: it is part of the fetch order); each field is then cut from its
-card by a declarative *spec* of elements (``Node``) compiled to ``regexp_extract``.
-Everything stays JVM-side; no per-row Python parser.
+``markup.scan_elements`` cuts a page into cards, and each card into the pieces of markup
+that a declarative *spec* of elements (``Node``) names; the position in the page is kept,
+as it is part of the fetch order.  What is made of the pieces (text, numbers, links,
+identity) is built-in expressions.
 """
 
 from __future__ import annotations
@@ -16,67 +16,12 @@ from pyspark.sql import functions as F
 from ..functions import (keyword_window, missing_attrs, node_text, parse_number, resolve_url, stable_id,
                          strip_text, url_origin)
 from ..functions.text import PRICE_KEYWORDS, ROOMS_KEYWORDS, SQM_KEYWORDS, decode_entities
+from .markup import Field, Node, scan_elements
 
 
-ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-
-
-@dataclass(frozen=True)
-class Node:
-    """Elements by tag name (null: any), a class among the blank-separated ones, or an id.
-
-    Attributes are found by name, in any order and with either quote; an element ends at
-    its own end tag, with elements of the same name inside it up to three levels deep.
-    """
-    tag: str | None = None
-    cls: str | None = None
-    id: str | None = None
-
-    def _having(self, attribute: str, words: bool) -> str:
-        value = self.cls if words else self.id
-        part = lambda q: rf"(?:[^{q}]*\s)?{value}(?:\s[^{q}]*)?" if words else value
-        skip = r"""(?:[^>"']|"[^"]*"|'[^']*')*?"""
-        return rf"""(?={skip}\s{attribute}\s*=\s*(?:"{part('"')}"|'{part("'")}'))"""
-
-    @property
-    def pattern(self) -> str:
-        """Group 1: the start tag; group 2: the content."""
-        having = (self._having("class", True) if self.cls else "") + (self._having("id", False) if self.id else "")
-        if self.tag is None:
-            # Any name: to the next end tag of the same name.
-            return rf"(?is)(<(?<n>[a-z][a-z0-9]*)\b{having}{ATTRIBUTES}>)((?:[^<]++|<(?!/\k<n>\b))*+)</\k<n>"
-        inner = rf"(?:[^<]++|<(?!/?{self.tag}\b))*+"
-        for _ in range(3):
-            inner = rf"(?:[^<]++|<(?!/?{self.tag}\b)|<{self.tag}\b{ATTRIBUTES}>{inner}</{self.tag}\s*+>)*+"
-        return rf"(?is)(<{self.tag}\b{having}{ATTRIBUTES}>)({inner})</{self.tag}"
-
-    def start(self, html: Column) -> Column:
-        return F.nullif(F.regexp_extract(html, self.pattern, 1), F.lit(""))
-
-    def content(self, html: Column) -> Column:
-        """Null where there is no such element."""
-        inner = F.regexp_extract(html, self.pattern, 3 if self.tag is None else 2)
-        return F.when(self.start(html).isNotNull(), inner)
-
-    def all(self, html: Column, group: int | None = None) -> Column:
-        """The contents of all such elements, or with ``group`` 0 the elements."""
-        return F.regexp_extract_all(html, F.lit(self.pattern), F.lit((3 if self.tag is None else 2) if group is None else group))
-
-
-@dataclass(frozen=True)
-class VoidNode(Node):
-    """An element without content (``img``): only its start tag."""
-
-    @property
-    def pattern(self) -> str:
-        return rf"(?is)(<{self.tag}\b{ATTRIBUTES}>)"
-
-
-def attribute(start_tag: Column, name: str) -> Column:
-    """The decoded value of a start tag's attribute; null when absent or empty."""
-    either = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')"""
-    got = F.concat(*[F.regexp_extract(start_tag, either, i) for i in (1, 2)])
-    return F.nullif(decode_entities(got), F.lit(""))
+def attribute(value) -> Column:
+    """An attribute's value as written, decoded; null when absent or empty."""
+    return F.nullif(decode_entities(value), F.lit(""))
 
 
 @dataclass
@@ -149,20 +94,24 @@ def extract_cards(pages: DataFrame, spec: CardSpec = PORTAL_SPEC, body: str = "b
     title or a link is skipped; every other field degrades to null."""
     keep = keep if keep is not None else [c for c in pages.columns if c not in (body, url)]
     keep = [c for c in keep if c != url]
-    cards = pages.select(*keep, F.col(url).alias("_page_url"),
-                         F.posexplode(spec.card.all(F.col(body), 0)).alias("pos", "_card"))
-    c = F.col("_card")
+    named = {"link": spec.link, "price": spec.price, "location": spec.location, "description": spec.description,
+             "image": spec.image}
+    fields = {f"_{k}": Field(n, attributes=("href",) if k == "link" else ()) for k, n in named.items() if n}
+    if spec.tags:
+        fields["_tag"] = Field(spec.tags, every=True)
+    if spec.image:
+        fields["_img"] = Field(Node("img"), inside="_image", attributes=spec.image_attributes)
+    landed = pages.withColumn("_page_url", F.col(url))
+    cards = scan_elements(landed, body, spec.card, fields, [*keep, "_page_url"],
+                          root_attributes=(spec.native_id,) if spec.native_id else ())
     null = F.lit(None).cast("string")
-    text = lambda node: node_text(node.content(c)) if node else null
-    title = text(spec.link)
-    href = attribute(spec.link.start(c), "href")
+    text = lambda k: node_text(f"_{k}_html") if named[k] else null
+    title = text("link")
+    href = attribute("_link_href")
     link = resolve_url(url_origin(F.col("_page_url")), href)
-    native = attribute(spec.card.start(c), spec.native_id) if spec.native_id else null
-    thumb = null
-    if spec.image:
-        img = VoidNode("img").start(spec.image.content(c))
-        thumb = F.coalesce(*[attribute(img, name) for name in spec.image_attributes])
-    tags = (F.transform(spec.tags.all(c), lambda t: F.coalesce(node_text(t), F.lit("")))
+    native = attribute(f"root_{spec.native_id}") if spec.native_id else null
+    thumb = F.coalesce(*[attribute(f"_img_{name}") for name in spec.image_attributes]) if spec.image else null
+    tags = (F.transform("_tag_html", lambda t: F.coalesce(node_text(t), F.lit("")))
             if spec.tags else F.array().cast("array<string>"))
     cards = cards.withColumn("_tags", parse_tags(tags))
     rooms, sqm = tag_numbers("_tags")
@@ -171,10 +120,10 @@ def extract_cards(pages: DataFrame, spec: CardSpec = PORTAL_SPEC, body: str = "b
         stable_id(F.lit(spec.source), native, link).alias("listing_id"),
         F.lit(spec.source).alias("source"),
         strip_text(title).alias("title"), link.alias("url"),
-        parse_number(text(spec.price)).alias("price"),
+        parse_number(text("price")).alias("price"),
         rooms.alias("rooms"), sqm.alias("sqm"),
-        text(spec.location).alias("location"),
-        text(spec.description).alias("description"),
+        text("location").alias("location"),
+        text("description").alias("description"),
         thumb.alias("thumbnail"),
         title.isNotNull().alias("_has_title"), href.isNotNull().alias("_has_href"))
     out = out.filter(F.col("_has_title") & F.col("_has_href")).drop("_has_title", "_has_href")
@@ -221,9 +170,9 @@ def detail_pairs(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key: s
                  body: str = "body") -> DataFrame:
     """A4 (first half): (key, pos, label, value) for each list item with a value.
     label = item text minus the value text, colon-stripped, lower-cased."""
-    items = pages.select(key, F.posexplode(spec.item.all(F.col(body))).alias("pos", "_item"))
-    value = node_text(spec.value.content(F.col("_item")))
-    text = F.coalesce(node_text(F.col("_item")), F.lit(""))
+    items = scan_elements(pages, body, spec.item, {"_value": Field(spec.value)}, [key])
+    value = node_text("_value_html")
+    text = F.coalesce(node_text("root_html"), F.lit(""))
     label = F.lower(strip_text(F.regexp_replace(strip_text(F.replace(text, F.coalesce(value, F.lit("\u0000")),
                                                                        F.lit(""))), ":+$", "")))
     return items.select(key, "pos", label.alias("label"), value.alias("value")).filter(F.col("value").isNotNull())
@@ -249,13 +198,11 @@ def extract_details(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key
         .agg(F.first("value"))
     for name in numeric:
         wide = wide.withColumn(name, parse_number(name))
-    b = pages.select(key, F.col(body).alias("_b"))
-    extras = b.select(
-        key,
-        parse_number(node_text(spec.price.content(F.col("_b")))).alias("price"),
-        node_text(spec.description.content(F.col("_b"))).alias("description"),
-        F.coalesce(F.filter(F.transform(spec.checklist.all(F.col("_b")), lambda t: node_text(t)), lambda t: t.isNotNull()),
-                   F.array().cast("array<string>")).alias("features"))
+    whole = scan_elements(pages, body, None, {"_price": Field(spec.price), "_description": Field(spec.description),
+                                              "_check": Field(spec.checklist, every=True)}, [key])
+    extras = whole.select(
+        key, parse_number(node_text("_price_html")).alias("price"), node_text("_description_html").alias("description"),
+        F.filter(F.transform("_check_html", lambda t: node_text(t)), lambda t: t.isNotNull()).alias("features"))
     return extras.join(wide, key, "left")
 
 
@@ -294,8 +241,8 @@ def _feed_listings(rows: DataFrame, keep: list[str], source: str) -> DataFrame:
 def split_feed(feeds: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
     """A5, first step: a landed feed body as its RSS items or Atom entries, in order (``pos``, ``item_xml``)."""
     keep = keep if keep is not None else [c for c in feeds.columns if c != body]
-    items = F.regexp_extract_all(F.col(body), F.lit(r"(?is)<(?:item|entry)\b[^>]*>.*?</(?:item|entry)\s*>"), F.lit(0))
-    return feeds.select(*keep, F.posexplode(items).alias("pos", "item_xml"))
+    items = scan_elements(feeds, body, (Node("item"), Node("entry")), {}, keep, xml=True)
+    return items.select(*keep, "pos", F.col("root_outer").alias("item_xml"))
 
 
 def extract_feed_items(items: DataFrame, xml: str = "item_xml", keep: list[str] | None = None,
