@@ -6,7 +6,9 @@ which one, so a byte decides: all bytes of other code points are word bytes or n
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,24 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator
         yield part(at, batch.num_rows - at)
 
 
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    """The C library's ``malloc_trim``; nothing where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the machine: a worker waits for its next task with little."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """All batches in ``slices``; those without rows are left out."""
-    return (part for batch in batches for part in slices(batch, column))
+    for batch in batches:
+        for part in slices(batch, column):
+            yield part
+            give_back()
 
 
 def runs(texts: pa.Array, inside: np.ndarray, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
