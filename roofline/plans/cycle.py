@@ -9,6 +9,7 @@ job started here is the cut that ``materialize="checkpoint"`` asks for.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -40,11 +41,16 @@ class Cycle:
     flagged: DataFrame | None = None
 
 
-def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details: DataFrame | None,
+#: Detail rows, or what gives those of the listings (``listing_id``) it is handed.
+Details = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details: Details | None,
               order: list[str], now, cap: int = V.DEFAULT_CAP, prime: bool = False,
-              enrich_source: str | None = None, materialize: str | None = None) -> Cycle:
+              enrich_source: str | None = None, materialize: str | None = None, content_dedup: bool = True) -> Cycle:
     """Build every stage of one cycle.  ``prime`` stores everything and notifies
     nothing.  ``enrich_source`` limits enrichment to one source (the portal).
+    ``content_dedup`` off keeps reposts; their signatures are stored all the same.
 
     All outputs (kept, dropped, outbox, seen rows, results) branch from the
     repost-flagged listings.  ``materialize`` cuts the plan there once, so the
@@ -58,12 +64,19 @@ def run_cycle(listings: DataFrame, searches: DataFrame, seen: DataFrame, details
     filtered = M.first_match_wins(M.match_per_search(fetched, dim=dim), order)
     new = D.only_new(filtered, seen)
     if details is not None:
+        if callable(details):
+            wanted = new if enrich_source is None else new.filter(F.col("source") == enrich_source)
+            details = details(wanted.select("listing_id"))
         enriched = E.enrich(new, details, source=enrich_source)
         refiltered = (M.attach_criteria(enriched.drop("search_type"), dim=dim)
                       .filter(matches_criteria()).drop(*CRITERIA_COLS))
     else:
         refiltered = new
-    flagged = D.split_reposts(D.with_signature(refiltered), order, seen)
+    signed = D.with_signature(refiltered)
+    if content_dedup:
+        flagged = D.split_reposts(signed, order, seen)
+    else:
+        flagged = signed.withColumns({"dropped": F.lit(False), "kept_id": F.col("listing_id")})
     if materialize == "checkpoint":
         from ..session import cut_lineage
         flagged = cut_lineage(flagged)

@@ -320,3 +320,51 @@ def format_attrs_sql(a: str) -> str:
             f"CASE WHEN {a}.rooms IS NOT NULL THEN format('{{:g}}', {a}.rooms) || ' Zi' END, "
             f"CASE WHEN {a}.sqm IS NOT NULL THEN format('{{:g}}', {a}.sqm) || ' m²' END, "
             f"CASE WHEN {a}.location <> '' THEN {a}.location END)")
+
+
+def staged_ctes(batches: int, order: str, landed: str = "landed", details: str | None = None, portal: str = "board",
+                sent: str | None = None, max_attempts: int = 5, cap: int = 15) -> str:
+    """The cycle over the batches of ``landed`` (its column ``chunk``), one after the other, as CTEs: per batch b
+    ``first{b}``, ``fresh{b}``, ``kept{b}``, ``dropped{b}``, ``status{b}`` (with ``sent``, SQL of a message's fate by
+    ``listing_id`` and ``{b}``; without it everything is stored), ``stored{b}``, ``keys{b}`` (new seen keys),
+    ``seen{b}`` (all so far) and ``tries{b}`` (retry counters carried on)."""
+    out = ["seen_start AS MATERIALIZED (SELECT CAST(NULL AS VARCHAR) AS key WHERE false)",
+           "tries_start AS MATERIALIZED (SELECT CAST(NULL AS VARCHAR) AS listing_id, 0 AS n WHERE false)"]
+    active = "s.enabled AND s.url <> ''"
+    plain = "l.* EXCLUDE (search_type, rn)"
+    for b in range(batches):
+        prev, tries = (f"seen{b - 1}", f"tries{b - 1}") if b else ("seen_start", "tries_start")
+        steps = {
+            f"first{b}": f"""SELECT * FROM (SELECT l.*, s.search_type, row_number() OVER (PARTITION BY listing_id ORDER BY {order.replace('search_id', 'l.search_id')}) AS rn
+FROM {landed} l JOIN searches s ON l.search_id = s.search_id WHERE l.chunk = {b} AND {active} AND {criteria_sql('l', 's')}) x WHERE rn = 1""",
+            f"new{b}": f"SELECT * FROM first{b} WHERE listing_id NOT IN (SELECT key FROM {prev})"}
+        if details:
+            steps[f"rich{b}"] = f"""SELECT n.* REPLACE (coalesce(n.price, d.price) AS price, coalesce(n.rooms, d.rooms) AS rooms,
+  coalesce(n.sqm, d.sqm) AS sqm, coalesce(nullif(d.description, ''), n.description) AS description), d.floor, d.warm_rent,
+  CASE WHEN len(d.features) > 0 THEN d.features ELSE []::VARCHAR[] END AS features
+FROM new{b} n LEFT JOIN {details} d ON d.listing_id = n.listing_id AND n.source = '{portal}'"""
+            steps[f"fresh{b}"] = f"""SELECT l.* FROM rich{b} l JOIN searches s ON l.search_id = s.search_id
+WHERE {active} AND {criteria_sql('l', 's')}"""
+        else:
+            steps[f"fresh{b}"] = f"SELECT * FROM new{b}"
+        steps |= {
+            f"signed{b}": f"SELECT r.*, {signature_sql('r')} AS signature FROM fresh{b} r",
+            f"ranked{b}": f"""SELECT *, signature IS NOT NULL AND (signature IN (SELECT key FROM {prev}) OR listing_id <>
+  first_value(listing_id) OVER (PARTITION BY signature ORDER BY {order})) AS repost FROM signed{b}""",
+            f"kept{b}": f"SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM ranked{b} WHERE NOT repost",
+            f"dropped{b}": f"SELECT * FROM ranked{b} WHERE repost"}
+        if sent:
+            steps[f"status{b}"] = f"""SELECT *, any_sent OR n >= {max_attempts} AS settled FROM (
+SELECT k.listing_id, k.source, k.place > {cap} AS over, {sent.format(b=b)} AS any_sent, coalesce(t.n, 0) + 1 AS n
+FROM kept{b} k LEFT JOIN {tries} t ON t.listing_id = k.listing_id) x"""
+            steps[f"tries{b}"] = f"""SELECT listing_id, n FROM status{b} WHERE NOT settled UNION ALL
+SELECT listing_id, n FROM {tries} WHERE listing_id NOT IN (SELECT listing_id FROM status{b})"""
+            steps[f"stored{b}"] = f"SELECT * FROM kept{b} WHERE listing_id IN (SELECT listing_id FROM status{b} WHERE settled)"
+        else:
+            steps[f"stored{b}"] = f"SELECT * FROM kept{b}"
+            steps[f"tries{b}"] = "SELECT listing_id, n FROM tries_start"
+        steps[f"keys{b}"] = f"""SELECT key FROM (SELECT listing_id AS key FROM stored{b} UNION SELECT signature FROM stored{b} WHERE signature IS NOT NULL
+UNION SELECT listing_id FROM dropped{b}) x WHERE key NOT IN (SELECT key FROM {prev})"""
+        steps[f"seen{b}"] = f"SELECT key FROM {prev} UNION SELECT key FROM keys{b}"
+        out += [f"{name} AS MATERIALIZED ({sql})" for name, sql in steps.items()]
+    return ",\n".join(out) + "\n"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..streaming import cycle_stream as CS
 from . import adapters as A
 from ._common import clean_searches, scratch
-from .oracle_adapters import with_ctes
+from .oracle_adapters import ORDER_SQL, staged_ctes, with_ctes
 from .q_delivery import _CO
 from .registry import register
 
@@ -50,14 +50,22 @@ def _run_cycle_stream(t, name, prime=None):
     return base
 
 
-@register("stream_cycle")
+def _staged(body: str) -> str:
+    """The four landings of the cycle stream, one after the other, without details and channel."""
+    landed = {"landed": "SELECT *, search_id % 4 AS chunk FROM listings"}
+    each = "\nUNION ALL ".join(body.format(b=b) for b in range(4))
+    return with_ctes("listings", "searches", extra=landed).rstrip("\n") + ",\n" + staged_ctes(4, ORDER_SQL) + each
+
+
+@register("stream_cycle", sql=_staged("SELECT listing_id, CASE WHEN search_type <> '' THEN search_type END AS search_type, "
+                                      "CAST({b} AS BIGINT) AS batch_id FROM stored{b}"))
 def q_stream_cycle(t):
     """I1 + I2 + I3: the cycle over four landings; the first batch primes."""
     base = _run_cycle_stream(t, "cycle")
     return t.spark.read.parquet(f"{base}/results").select("listing_id", "search_type", F.col("batch_id").cast("bigint").alias("batch_id"))
 
 
-@register("stream_prime_chunks")
+@register("stream_prime_chunks", sql=_staged("SELECT key, CAST({b} AS BIGINT) AS batch_id FROM keys{b}"))
 def q_stream_prime_chunks(t):
     """A prime split into chunks; signatures stored by a chunk hide reposts in
     later chunks.  Returns the seen table."""

@@ -39,5 +39,5 @@ def as_callable(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def load_all() -> None:
     """Import every query module so that its queries register."""
-    from . import (q_delivery, q_extract, q_funnel, q_matching, q_results,  # noqa: F401
+    from . import (q_delivery, q_extract, q_funnel, q_matching, q_pages, q_results,  # noqa: F401
                    q_runlog, q_searches, q_streaming, q_supplier)

@@ -1,9 +1,9 @@
 """Extraction from landed page bodies.
 
-``markup.scan_elements`` cuts a page into cards, and each card into the pieces of markup
-that a declarative *spec* of elements (``Node``) names; the position in the page is kept,
-as it is part of the fetch order.  What is made of the pieces (text, numbers, links,
-identity) is built-in expressions.
+``markup.scan_elements`` cuts a page into cards, and takes from each card the texts and
+attributes that a declarative *spec* of elements (``Node``) names; the position in the page
+is kept, as it is part of the fetch order.  What is made of them (numbers, links, identity)
+is built-in expressions.
 """
 
 from __future__ import annotations
@@ -13,17 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import (keyword_window, missing_attrs, node_text, parse_number, resolve_url, stable_id,
-                         strip_text, url_origin)
-from ..functions.text import PRICE_KEYWORDS, ROOMS_KEYWORDS, SQM_KEYWORDS, decode_entities
+from ..functions import keyword_window, missing_attrs, parse_number, resolve_url, stable_id, strip_text, url_origin
+from ..functions.text import PRICE_KEYWORDS, ROOMS_KEYWORDS, SQM_KEYWORDS
 from .markup import Field, Node, scan_elements
 
 
-def attribute(value) -> Column:
-    """An attribute's value as written, decoded; null when absent or empty."""
-    return F.nullif(decode_entities(value), F.lit(""))
-
-
 @dataclass
 class CardSpec:
     """Where a card and its fields are in a search page: the first such element counts."""
@@ -105,13 +99,13 @@ def extract_cards(pages: DataFrame, spec: CardSpec = PORTAL_SPEC, body: str = "b
     cards = scan_elements(landed, body, spec.card, fields, [*keep, "_page_url"],
                           root_attributes=(spec.native_id,) if spec.native_id else ())
     null = F.lit(None).cast("string")
-    text = lambda k: node_text(f"_{k}_html") if named[k] else null
+    text = lambda k: F.col(f"_{k}_text") if named[k] else null
     title = text("link")
-    href = attribute("_link_href")
+    href = F.col("_link_href")
     link = resolve_url(url_origin(F.col("_page_url")), href)
-    native = attribute(f"root_{spec.native_id}") if spec.native_id else null
-    thumb = F.coalesce(*[attribute(f"_img_{name}") for name in spec.image_attributes]) if spec.image else null
-    tags = (F.transform("_tag_html", lambda t: F.coalesce(node_text(t), F.lit("")))
+    native = F.col(f"root_{spec.native_id}") if spec.native_id else null
+    thumb = F.coalesce(*[F.col(f"_img_{name}") for name in spec.image_attributes]) if spec.image else null
+    tags = (F.transform("_tag_text", lambda t: F.coalesce(t, F.lit("")))
             if spec.tags else F.array().cast("array<string>"))
     cards = cards.withColumn("_tags", parse_tags(tags))
     rooms, sqm = tag_numbers("_tags")
@@ -171,8 +165,8 @@ def detail_pairs(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key: s
     """A4 (first half): (key, pos, label, value) for each list item with a value.
     label = item text minus the value text, colon-stripped, lower-cased."""
     items = scan_elements(pages, body, spec.item, {"_value": Field(spec.value)}, [key])
-    value = node_text("_value_html")
-    text = F.coalesce(node_text("root_html"), F.lit(""))
+    value = F.col("_value_text")
+    text = F.coalesce("root_text", F.lit(""))
     label = F.lower(strip_text(F.regexp_replace(strip_text(F.replace(text, F.coalesce(value, F.lit("\u0000")),
                                                                        F.lit(""))), ":+$", "")))
     return items.select(key, "pos", label.alias("label"), value.alias("value")).filter(F.col("value").isNotNull())
@@ -201,8 +195,8 @@ def extract_details(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key
     whole = scan_elements(pages, body, None, {"_price": Field(spec.price), "_description": Field(spec.description),
                                               "_check": Field(spec.checklist, every=True)}, [key])
     extras = whole.select(
-        key, parse_number(node_text("_price_html")).alias("price"), node_text("_description_html").alias("description"),
-        F.filter(F.transform("_check_html", lambda t: node_text(t)), lambda t: t.isNotNull()).alias("features"))
+        key, parse_number("_price_text").alias("price"), F.col("_description_text").alias("description"),
+        F.filter("_check_text", lambda t: t.isNotNull()).alias("features"))
     return extras.join(wide, key, "left")
 
 
@@ -241,7 +235,7 @@ def _feed_listings(rows: DataFrame, keep: list[str], source: str) -> DataFrame:
 def split_feed(feeds: DataFrame, body: str = "body", keep: list[str] | None = None) -> DataFrame:
     """A5, first step: a landed feed body as its RSS items or Atom entries, in order (``pos``, ``item_xml``)."""
     keep = keep if keep is not None else [c for c in feeds.columns if c != body]
-    items = scan_elements(feeds, body, (Node("item"), Node("entry")), {}, keep, xml=True)
+    items = scan_elements(feeds, body, (Node("item"), Node("entry")), {}, keep, outer=True, xml=True)
     return items.select(*keep, "pos", F.col("root_outer").alias("item_xml"))
 
 

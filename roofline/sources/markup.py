@@ -6,21 +6,27 @@ it, whatever the depth; one without an open element is ignored; the end of the p
 closes the rest.  Comments, scripts and style sheets have no tags.  Attributes may be
 quoted either way or not at all.
 
-Spark deals out the pages; the scan runs over the rows of a batch and gives the pieces of
-markup that a ``Field`` names, and all further work on them (text, numbers, links) is
+Spark deals out the pages; the scan runs over the rows of a batch and gives the texts and
+attributes that a ``Field`` names; all further work on them (numbers, links, identity) is
 built-in expressions.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import unescape
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+# The scan travels with the job: executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # A value is quoted where the quote follows the "="; possessive, so that no tag is read twice.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 _TOKEN = re.compile(
@@ -150,11 +156,26 @@ def scan(markup: str, roots: tuple[Node, ...] | None, fields: dict[str, Field],
     return found
 
 
+def plain(markup: str) -> str | None:
+    """The text of a piece of markup: what stands between its tags, decoded and stripped, joined by one blank."""
+    out, at = [], 0
+    while True:
+        token = _TOKEN.search(markup, at)
+        out.append(unescape(markup[at:token.start() if token else len(markup)]).strip())
+        if not token:
+            return " ".join(filter(None, out)) or None
+        at = token.end()
+        raw = _RAW_END.get((token["name"] or "").lower())
+        if raw and not token["end"]:
+            at = raw.search(markup, at).end()
+
+
 def scan_elements(pages: DataFrame, body: str, roots: Node | tuple[Node, ...] | None, fields: dict[str, Field],
-                  keep: list[str], root_attributes: tuple[str, ...] = (), xml: bool = False) -> DataFrame:
+                  keep: list[str], root_attributes: tuple[str, ...] = (), outer: bool = False, xml: bool = False) -> DataFrame:
     """One row per element of ``roots`` in ``body``, numbered in page order: the columns ``keep``, ``pos``,
-    ``root_html`` (its content), ``root_outer`` (the whole element), per field ``<name>_html`` (null: not
-    there; all contents as an array if ``every``) and, as written, the attributes ``root_<a>``, ``<name>_<a>``.
+    ``root_text`` (with ``outer`` in its place ``root_outer``, the element as written), per field ``<name>_text`` (null:
+    not there or empty; an array of all if ``every``) and, decoded, the attributes ``root_<a>``, ``<name>_<a>``
+    (null: not there or empty).
 
     A page without such an element, or with a null body, gives no row; with ``roots`` null it gives one.
     """
@@ -162,16 +183,18 @@ def scan_elements(pages: DataFrame, body: str, roots: Node | tuple[Node, ...] |
     named = [(f"root_{a}", None, a) for a in root_attributes]
     named += [(f"{k}_{a}", k, a) for k, f in fields.items() for a in f.attributes]
     schema = T.StructType([pages.schema[c] for c in keep])
-    schema.add("pos", "integer").add("root_html", "string").add("root_outer", "string")
+    schema.add("pos", "integer").add("root_text", "string")
+    if outer:
+        schema.add("root_outer", "string")
     for k, f in fields.items():
-        schema.add(f"{k}_html", T.ArrayType(T.StringType()) if f.every else T.StringType())
+        schema.add(f"{k}_text", T.ArrayType(T.StringType()) if f.every else T.StringType())
     for column, _, _ in named:
         schema.add(column, "string")
     kinds = [pa.list_(pa.string()) if f.every else pa.string() for f in fields.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, pos, html, outer = [], [], [], []
+            rows, pos, text, whole = [], [], [], []
             cells: list[list] = [[] for _ in fields]
             values: list[list] = [[] for _ in named]
             for i, markup in enumerate(b.column("_markup").to_pylist()):
@@ -180,17 +203,17 @@ def scan_elements(pages: DataFrame, body: str, roots: Node | tuple[Node, ...] |
                 for n, one in enumerate(scan(markup, roots, fields, xml)):
                     rows.append(i)
                     pos.append(n)
-                    html.append(one.html)
-                    outer.append(one.outer)
+                    text.append(None if outer else plain(one.html))
+                    whole.append(one.outer)
                     for out, (k, f) in zip(cells, fields.items()):
                         slots = one.fields.get(k, [])
-                        out.append([s[2] for s in slots] if f.every else slots[0][2] if slots else None)
+                        out.append([plain(s[2]) for s in slots] if f.every else plain(slots[0][2]) if slots else None)
                     for out, (_, k, a) in zip(values, named):
                         slots = one.fields.get(k) if k else [[one.rest]]
-                        out.append(attributes(slots[0][0]).get(a) if slots else None)
+                        out.append(unescape(attributes(slots[0][0]).get(a, "")) or None if slots else None)
             take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c).take(take) for c in keep), pa.array(pos, pa.int32()), pa.array(html, pa.string()),
-                 pa.array(outer, pa.string()), *(pa.array(x, t) for x, t in zip(cells, kinds)),
+                [*(b.column(c).take(take) for c in keep), pa.array(pos, pa.int32()), pa.array(text, pa.string()),
+                 *([pa.array(whole, pa.string())] if outer else []), *(pa.array(x, t) for x, t in zip(cells, kinds)),
                  *(pa.array(x, pa.string()) for x in values)], names=schema.names)
     return pages.select(*keep, pages[body].alias("_markup")).mapInArrow(run, schema)

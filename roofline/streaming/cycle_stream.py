@@ -28,7 +28,7 @@ from ..operators import dedup as D
 from ..operators import delivery as V
 from ..operators import results as R
 from ..operators import runlog as RL
-from ..plans.cycle import Cycle, run_cycle
+from ..plans.cycle import Cycle, Details, run_cycle
 
 log = logging.getLogger(__name__)
 
@@ -36,6 +36,8 @@ SEEN_TABLE_SCHEMA = "key string, title string, url string, source string, batch_
 STATE_SCHEMA = "listing_id string, n bigint, settled boolean, batch_id bigint"
 #: Sends the rows of an outbox; gives (listing_id, any_sent).
 Deliver = Callable[[DataFrame, int], DataFrame]
+#: Makes (listings, source outcomes) of a batch of landed rows.
+Prepare = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -64,8 +66,9 @@ def outbox_rows(c: Cycle, order: list[str]) -> DataFrame:
     return items.unionByName(rest)
 
 
-def cycle_events(c: Cycle, status: DataFrame | None, run_id: str, now) -> DataFrame:
-    """The run events of a cycle: source outcomes, funnel counts and notifications, in order."""
+def cycle_events(c: Cycle, status: DataFrame | None, run_id: str, now, outcomes: DataFrame | None = None) -> DataFrame:
+    """The run events of a cycle: source outcomes, funnel counts and notifications, in order.  ``outcomes``
+    (source, level, message, count) are those of the landing; without them every source with listings is ok."""
     at = F.lit(now).cast("timestamp_ntz")
 
     def event(df, rank, phase, message, level="info", source=None, count=None):
@@ -76,8 +79,12 @@ def cycle_events(c: Cycle, status: DataFrame | None, run_id: str, now) -> DataFr
                          col(source, "string").alias("source"), col(count, "bigint").alias("count"), at.alias("at"))
     total = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
     n = F.col("n")
-    per_source = c.fetched.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"))
-    out = (event(per_source, 1, "fetch_source", "ok", source=F.col("search_id").cast("string"), count=n)
+    if outcomes is None:
+        per_source = c.fetched.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"))
+        fetches = event(per_source, 1, "fetch_source", "ok", source=F.col("search_id").cast("string"), count=n)
+    else:
+        fetches = event(outcomes, 1, "fetch_source", F.col("message"), level=F.col("level"), source=F.col("source"), count=F.col("count"))
+    out = (fetches
            .unionByName(event(total(c.filtered), 2, "filter", "candidates kept", count=n))
            .unionByName(event(total(c.new), 3, "dedup", F.concat(n.cast("string"), F.lit(" new")), count=n))
            .unionByName(event(total(c.kept), 4, "dedup", "after content dedup", count=n)))
@@ -86,7 +93,8 @@ def cycle_events(c: Cycle, status: DataFrame | None, run_id: str, now) -> DataFr
         note = F.concat(F.when(over, "summary(1)").otherwise("item"),
                         F.when(sent, "").when(F.col("settled"), "; gave up").otherwise("; undelivered"))
         level = F.when(sent, "info").when(F.col("settled"), "error").otherwise("warning")
-        out = out.unionByName(event(status, 5, "notify_item", note, level=level, source=F.col("listing_id")))
+        told = status.join(c.kept.select("listing_id", F.col("source").alias("_source")), "listing_id", "left")
+        out = out.unionByName(event(told, 5, "notify_item", note, level=level, source=F.col("_source")))
     out = RL.number_events(out, ["rank", "source"]).withColumn(
         "event_id", F.concat_ws("-", "run_id", F.col("seq").cast("string")))
     return out.drop("rank")
@@ -103,12 +111,16 @@ def run_row(events: DataFrame, host: str, trigger: str, version: str) -> DataFra
 
 
 def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str, results_path: str,
-                       outbox_path: str, order: list[str], now, details: DataFrame | None = None,
+                       outbox_path: str, order: list[str], now, details: Details | None = None,
                        cap: int = V.DEFAULT_CAP, enrich_source: str | None = None, prime: bool | None = None,
                        runs_path: str | None = None, keep_going: bool = False, deliver: Deliver | None = None,
-                       max_attempts: int = V.MAX_NOTIFY_ATTEMPTS, host: str = "stream", version: str = ""):
+                       max_attempts: int = V.MAX_NOTIFY_ATTEMPTS, host: str = "stream", version: str = "",
+                       prepare: Prepare | None = None, content_dedup: bool = True):
     """The ``foreachBatch`` function of I1.
 
+    ``prepare`` makes listings and source outcomes of a batch of landed bodies; both are
+    written first (``<seen_path>_listings``, ``_outcomes``; details that are asked for to ``_details``), so a body is
+    read once and what is made of it is not made again by each sink.
     ``deliver`` sends an outbox and tells what was sent; without it there is no channel
     and every listing is stored.  ``prime``: as said, or (None) whether the seen table is
     empty.  ``runs_path``: where each batch leaves its run and events.  ``keep_going``
@@ -132,9 +144,15 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
             if not keep_going:
                 raise
 
+    def carried_counters(batch_id: int) -> DataFrame:
+        """The counters that the last committed batch left; a failed batch in between leaves none."""
+        done = read_table(spark, commits, "done boolean, batch_id bigint").where(F.col("batch_id") < batch_id)
+        last = done.agg(F.max("batch_id")).first()[0]
+        return read_table(spark, attempts_path, STATE_SCHEMA).where(F.col("batch_id") == (-1 if last is None else last))
+
     def settle(outbox: DataFrame, batch_id: int) -> DataFrame:
         """(listing_id, kind, any_sent, n, settled) of this batch's messages (F9 over the carried counters)."""
-        prior = read_table(spark, attempts_path, STATE_SCHEMA).where(F.col("batch_id") == batch_id - 1)
+        prior = carried_counters(batch_id)
         sent = deliver(outbox, batch_id).select("listing_id", "any_sent")
         j = outbox.select("listing_id", "kind").join(sent, "listing_id", "left").join(
             prior.select("listing_id", F.col("n").alias("_n")), "listing_id", "left")
@@ -153,8 +171,18 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
             return  # a committed batch handed out again
         seen = read_table(spark, seen_path, SEEN_TABLE_SCHEMA).where(F.col("batch_id") != batch_id).drop("batch_id")
         is_prime = seen.isEmpty() if prime is None else prime
-        c = run_cycle(batch, searches, seen, details, order, now, cap=cap, prime=is_prime,
-                      enrich_source=enrich_source, materialize="persist")
+        outcomes, rich = None, details
+
+        def written(name: str, df: DataFrame) -> DataFrame:
+            path = f"{seen_path.rstrip('/')}_{name}"
+            write_batch(df, path, batch_id)
+            return spark.read.schema(df.schema).parquet(f"{path}/batch_id={batch_id}")
+        if prepare is not None:
+            batch, outcomes = (written(*x) for x in zip(("listings", "outcomes"), prepare(batch)))
+        if callable(details):
+            rich = lambda wanted: written("details", details(wanted))
+        c = run_cycle(batch, searches, seen, rich, order, now, cap=cap, prime=is_prime,
+                      enrich_source=enrich_source, materialize="persist", content_dedup=content_dedup)
         try:
             status, stored = None, c.kept
             if not is_prime:
@@ -165,12 +193,11 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
                     status = spark.read.parquet(f"{outbox_path.rstrip('/')}_status/batch_id={batch_id}")
                     stored = c.kept.join(status.where("settled"), "listing_id", "left_semi")
             elif deliver is not None:
-                write_batch(read_table(spark, attempts_path, STATE_SCHEMA).where(F.col("batch_id") == batch_id - 1)
-                            .drop("batch_id"), attempts_path, batch_id)
+                write_batch(carried_counters(batch_id).drop("batch_id"), attempts_path, batch_id)
             write_batch(R.result_rows(stored, now), results_path, batch_id)
             write_batch(D.seen_append(seen, D.seen_rows(stored, c.dropped)), seen_path, batch_id)
             if runs_path is not None:
-                events = cycle_events(c, status, f"batch-{batch_id}", now).persist()
+                events = cycle_events(c, status, f"batch-{batch_id}", now, outcomes).persist()
                 log_run(run_row(events, host, "stream", version), events, batch_id)
                 events.unpersist()
             # The commit mark: all sinks of the batch are complete.
@@ -183,7 +210,7 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
 
 def run_stream(spark: SparkSession, source_dir: str, schema: str, searches: DataFrame, seen_path: str,
                results_path: str, outbox_path: str, checkpoint: str, order: list[str], now,
-               details: DataFrame | None = None, max_files_per_trigger: int | None = None,
+               details: Details | None = None, max_files_per_trigger: int | None = None,
                available_now: bool = True, interval: str = "30 minutes", cap: int = V.DEFAULT_CAP,
                prime: bool | None = None, **writer_options):
     """Start the cycle stream; returns the StreamingQuery.
