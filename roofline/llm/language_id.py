@@ -197,7 +197,9 @@ def held_out(doc_id, folds: int = 5, fold: int = 0):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """A model per value of ``lang`` over the rows that are not held out and have a language."""
+    """A model per value of ``lang`` over the rows that are not held out and have a language.  Null and empty
+    texts add a boundary alone, repeated rows count as often as they are there, and an empty table gives a
+    model without languages."""
     return fit(count_grams(docs.where(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))))
 

@@ -45,8 +45,11 @@ def slots_of(words: list[str]) -> np.ndarray:
 
 def tokenise(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct chunks, and per chunk of the batch its number, whether it ends a sentence, its
-    document and (without a gap within a document) its sentence."""
+    document and (without a gap within a document) its sentence.  Chunks end at ASCII white space and at
+    no-break spaces; the end of a line ends a sentence."""
     texts = pc.replace_substring(pc.fill_null(texts.cast(pa.large_string()), ""), "\n", " . ")
+    for blank in "\t\v\f\r\u00a0":
+        texts = pc.replace_substring(texts, blank, " ")
     cut = pc.split_pattern(texts, " ")
     chunks = cut.flatten().dictionary_encode()
     which = chunks.indices.to_numpy()
@@ -179,7 +182,10 @@ def fit(batches: list, rounds: int = 40, rate: float = 0.25, decay: float = 2e-3
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "toxic", **fitting) -> ToxicityModel:
     """A model of at most ``max_docs`` labelled documents that are not held out; the sample's
-    words are all that reaches the driver.  Without a toxic one among them every score is about 0."""
+    words are all that reaches the driver.  Without a toxic one among them every score is about 0.
+
+    A document with several labels is toxic if one says so; null labels and ids, and labels of documents that
+    are not there, are left out; a null or empty text is a document without sentences."""
     return fit(sample_rows(docs, labels, max_docs, id_col, text_col, label_col).collect(), **fitting)
 
 

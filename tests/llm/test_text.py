@@ -1,10 +1,12 @@
 """Archive, tokenisation, fingerprints, classifiers and packing."""
 
+import functools
 import gzip
 import hashlib
 import math
 import os
 import random
+import re
 import sys
 import zlib
 from collections import Counter
@@ -349,3 +351,73 @@ def test_packing_covers_every_id_once(spark):
 
 def test_packing_an_empty_table(spark):
     assert packing.pack(table(spark, [])).count() == 0
+
+
+# ---- brute force of the two models ----
+
+def test_noisy_or_equals_a_row_by_row_sum():
+    rng = np.random.default_rng(8)
+    vocabulary = ["bad", "worse", "good", "fine", "terribly", "plain", "Ünfein"]
+    weights = np.zeros(1 << toxicity.BITS)
+    for w in vocabulary:
+        for slot in toxicity.features(w):
+            if slot >= 0:
+                weights[slot] += rng.normal()
+    model = toxicity.ToxicityModel(weights, -0.7)
+    seps = [" ", "  ", "\t", "\n", "\u00a0", "\r\n", ". ", "! ", ", ", "? "]
+    texts_ = ["".join(rng.choice(vocabulary) + rng.choice(seps) for _ in range(rng.integers(0, 30))) for _ in range(200)]
+    texts_ += ["", None, " . ! ", "bad\tworse", "bad\u00a0worse", "bad worse"]
+    got = model.scores(pa.array(texts_, pa.string()))
+    for text, score in zip(texts_, got):
+        clean, sentence, sentences = (text or "").replace("\n", " . "), [], []
+        for chunk in re.split("[ \t\x0b\x0c\r\u00a0]", clean):
+            sentence.append(chunk)
+            if re.search(r"[.!?]\W*$", chunk):
+                sentences.append(sentence)
+                sentence = []
+        alive = 1.0
+        for s in sentences + [sentence]:
+            slots = [x for chunk in s for x in toxicity.features(chunk) if x >= 0]
+            if slots:
+                alive *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weights[x] for x in slots))))
+        assert abs(score - (1 - alive)) < 1e-9
+    assert got[-1] == got[-2] == got[-3] > 0
+
+
+def test_kneser_ney_equals_fractions_of_a_tiny_corpus(spark):
+    from fractions import Fraction
+    corpus = {"x": ["abab abba baab", "abc", None, ""], "y": ["bbb bcb", "été cab"]}
+    rows = [(lang, t) for lang, ts in corpus.items() for t in ts]
+    model = language_id.fit(language_id.count_grams(spark.createDataFrame(rows, "lang string, text string")))
+    d, kinds = Fraction(3, 4), language_id.CLASSES
+    tuples = lambda key, order: tuple(key >> 6 * (order - 1 - i) & 63 for i in range(order))
+    for col, lang in enumerate(model.langs):
+        levels = {4: Counter(tuples(int(k), 4) for t in corpus[lang] for k in language_id.gram_keys(language_id.classes(t or "")))}
+        for order in (3, 2, 1):  # in how many contexts a gram is found
+            levels[order] = Counter(g[1:] for g in levels[order + 1])
+
+        def p(gram):
+            own = {g: n for g, n in levels[len(gram)].items() if g[:-1] == gram[:-1]}
+            total = sum(own.values())
+            lower = p(gram[1:]) if len(gram) > 1 else Fraction(1, kinds)
+            if not own:
+                return lower
+            n = own.get(gram, 0)
+            return (max(n - d, 0) if n else Fraction(0)) / total + d * len(own) / total * lower
+        rng = np.random.default_rng(3)
+        grams = [g for lv in (levels[4],) for g in lv] + [tuple(rng.integers(0, 5, 4).tolist()) for _ in range(60)]
+        keys = np.array([functools.reduce(lambda a, c: a << 6 | c, g) for g in grams], np.uint32)
+        for g, got in zip(grams, model.gram_scores(keys)[:, col]):
+            assert abs(math.exp(got) - float(p(g))) < 1e-5, (lang, g)
+
+
+def test_queries_of_the_classifiers_equal_their_operators(spark, sf_dir):
+    """The select of op8 and op9: folds by CRC-32, the threshold, every row once."""
+    from roofline.llm import queries
+    ids = Counter(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect())
+    for name, folds, fold in (("op8_toxicity", 4, 2), ("op9_language_id", 5, 0)):
+        got = queries.QUERIES[name](spark, sf_dir).collect()
+        assert Counter(r.doc_id for r in got) == ids
+        assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % folds == fold) and 0 <= r.score <= 1 for r in got)
+        if name == "op8_toxicity":
+            assert all(r.predicted == int(r.score >= 0.3) for r in got)
