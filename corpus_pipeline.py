@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents stay in the first of them only; documents left without a text go."""
     done = line_dedup.line_dedup(docs, min_docs=10, keep_first=True, carry=True)
-    return _with_text(docs, done.where("n_dropped = 0 or trim(text) != ''"))
+    return _with_text(docs, done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
