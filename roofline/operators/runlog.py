@@ -108,6 +108,28 @@ def runs_over_time(runs: DataFrame, unit: str = "day") -> DataFrame:
                  F.sum("notified").cast("bigint").alias("notified")))
 
 
+def runs_over_time_stream(events: DataFrame, unit: str = "1 day", delay: str = "1 hour", tie: str = "event_id") -> DataFrame:
+    """E7 in event time, over a stream of run events (``at`` a timestamp): (bucket, status, runs, new, notified).
+
+    The events of a run within a window are its totals there (E4, E5); the runs of a
+    window are then counted by status, and the row is final: it comes out when the
+    watermark, ``delay`` behind the latest event of the batches before, has passed the
+    window's end.  An event counts until then, the batch that closes its window included;
+    a later one is left out.  A run whose events lie in two windows counts in both.  State
+    is the runs of the open windows."""
+    dedup = F.col("phase") == "dedup"
+    last = F.max_by(F.when(dedup, F.col("count")), F.when(dedup, F.struct("at", tie)))
+    runs = events.withWatermark("at", delay).groupBy(F.window("at", unit).alias("_w"), "run_id").agg(
+        F.count_if(is_polled_source()).alias("sources_polled"), F.count_if(is_failed_source()).alias("failed_sources"),
+        F.count_if(F.col("level") == "error").alias("errors"),
+        F.coalesce(F.bool_or(F.col("phase") == "run_error"), F.lit(False)).alias("crashed"),
+        F.coalesce(last, F.lit(0)).cast("bigint").alias("new"), F.count_if(is_notified()).alias("notified"))
+    runs = runs.select(F.window_time("_w").alias("_t"), classify_run().alias("status"), "new", "notified")
+    return runs.groupBy(F.window("_t", unit).alias("_b"), "status").agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("new").cast("bigint").alias("new"),
+        F.sum("notified").cast("bigint").alias("notified")).select(F.col("_b.start").alias("bucket"), "status", "runs", "new", "notified")
+
+
 def cycle_health(runs: DataFrame, unit: str = "day") -> DataFrame:
     """Duration percentiles (exact), mean and error maximum per bucket, from the counts of
     each duration, so that a bucket's buffer holds distinct durations only.

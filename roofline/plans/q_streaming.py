@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import runlog as RL
 from ..streaming import cycle_stream as CS
 from . import adapters as A
 from ._common import clean_searches, scratch
 from .oracle_adapters import ORDER_SQL, staged_ctes, with_ctes
 from .q_delivery import _CO
+from .q_runlog import _EV
 from .registry import register
 
 FILES_PER_CHUNK = 2
@@ -87,6 +89,24 @@ def q_stream_dedup(t):
     return spark.read.parquet(f"{base}/out").select("listing_id")
 
 
+@register("runs_over_time_stream", sql=with_ctes("run_events", extra=_EV) + """
+SELECT date_trunc('day', started_at)::TIMESTAMP AS bucket, status, count(*) AS runs, CAST(sum(new) AS BIGINT) AS new,
+       CAST(sum(notified) AS BIGINT) AS notified
+FROM runs WHERE date_trunc('day', started_at) + INTERVAL 1 DAY <= (SELECT max("at") FROM run_events) - INTERVAL 1 HOUR
+GROUP BY 1, 2""")
+def q_runs_over_time_stream(t):
+    """E7 as a stream: the run events of every ten days as a landing; the windows that the watermark has closed."""
+    base = scratch(t, "runs_over_time")
+    ev = A.run_events(t).withColumns({"at": F.col("at").cast("timestamp"), "event_no": F.col("event_no").cast("bigint")})
+    ev = ev.withColumn("_chunk", F.floor(F.datediff("at", F.lit("2024-01-01")) / 10).cast("int"))
+    chunks = sorted(r[0] for r in ev.select("_chunk").distinct().collect()) or [0]
+    src = land(ev, f"{base}/in", "_chunk", chunks)
+    s = t.spark.readStream.schema(ev.drop("_chunk").schema).option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
+    (RL.runs_over_time_stream(s, tie="event_no").writeStream.format("parquet").option("path", f"{base}/out")
+     .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return t.spark.read.parquet(f"{base}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+
+
 @register("stream_attempts", sql=with_ctes("attempts", extra=_CO) + """
 SELECT listing_id, cycle, n, any_sent, any_sent OR n >= 5 AS settled, NOT any_sent AND n >= 5 AS gave_up FROM da""")
 def q_stream_attempts(t):

@@ -160,3 +160,31 @@ def test_an_unreadable_table_is_not_an_empty_one(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         CS.read_table(spark, str(tmp_path / "seen"), CS.SEEN_TABLE_SCHEMA).count()
     assert CS.read_table(spark, str(tmp_path / "absent"), CS.SEEN_TABLE_SCHEMA).count() == 0
+
+
+EVENT = "run_id string, phase string, level string, message string, source string, count bigint, at timestamp, event_id string"
+
+
+def test_runs_over_time_in_event_time(spark):
+    """Windows come out when the watermark passes them; a late event counts up to then and not after."""
+    from datetime import datetime
+
+    from roofline.operators import runlog as RL
+    base, n = f"{ensure_checkpoint_dir(spark)}/test-e7-{uuid.uuid4().hex}", iter(range(99))
+
+    def event(day, hour, run, message="ok: 1", phase="fetch_source", level="info", count=1):
+        return (run, phase, level, message, "s", count, datetime(2024, 1, day, hour), f"{next(n):03d}")
+    landings = [
+        [event(1, 8, "a"), event(1, 9, "a", "3 new", "dedup", count=3), event(1, 23, "b", "failed: x", level="error")],
+        [event(1, 22, "a", "5 new", "dedup", count=5), event(2, 1, "c"), event(1, 20, "b", "delivered", "notify_item")],  # late, in time
+        [event(4, 1, "d"), event(4, 2, "d", "delivered", "notify_item")],
+        [event(1, 12, "g"), event(6, 12, "e", "in run_cycle: y", "run_error", "error")],  # the first day comes out with this batch
+        [event(1, 12, "late"), event(1, 23, "a", "9 new", "dedup", count=9), event(9, 1, "f")]]
+    for i, rows in enumerate(landings):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    s = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    RL.runs_over_time_stream(s, delay="6 hours").writeStream.format("parquet").option("path", f"{base}/out").option(
+        "checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.bucket.day, r.status): (r.runs, r.new, r.notified) for r in spark.read.parquet(f"{base}/out").collect()}
+    assert got == {(1, "success"): (2, 5, 0), (1, "failed"): (1, 0, 1), (2, "success"): (1, 0, 0), (4, "success"): (1, 0, 1),
+                   (6, "failed"): (1, 0, 0)}
