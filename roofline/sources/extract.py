@@ -179,17 +179,16 @@ def extract_details(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key
     through ``field_map``; ``prefixes`` catch the free-text keys; the first
     occurrence of a key wins even when its number does not parse."""
     pairs = detail_pairs(pages, spec, key, body)
-    k = F.lit(None).cast("string")
-    for lbl, (name, _num) in reversed(list(field_map.items())):
-        k = F.when(F.col("label") == lbl, F.lit(name)).otherwise(k)
-    pk = F.lit(None).cast("string")
-    for prefix, name in reversed(list(prefixes.items())):
-        pk = F.when(F.col("label").startswith(prefix), F.lit(name)).otherwise(pk)
-    keyed = pairs.withColumn("key", F.coalesce(k, pk)).filter(F.col("key").isNotNull())
-    firsts = keyed.groupBy(key, "key").agg(F.min_by("value", "pos").alias("value"))
+    # One lookup: the label is a long expression, and a filter on the key would repeat every use of it.
+    names = F.create_map(*[F.lit(x) for lbl, (name, _num) in field_map.items() for x in (lbl, name)])
+    starts = F.create_map(*[F.lit(x) for prefix, name in prefixes.items() for x in (prefix, name)])
+    begun = F.filter(F.map_keys(starts), lambda p: F.col("label").startswith(p))
+    named = F.coalesce(F.try_element_at(names, F.col("label")), F.try_element_at(starts, F.get(begun, 0)))
+    keyed = pairs.select(key, "pos", "value", named.alias("key"))
+    wanted = sorted({n for n, _ in field_map.values()} | set(prefixes.values()))
     numeric = [name for name, num in field_map.values() if num]
-    wide = firsts.groupBy(key).pivot("key", sorted({n for n, _ in field_map.values()} | set(prefixes.values()))) \
-        .agg(F.first("value"))
+    wide = keyed.groupBy(key).agg(*[F.min_by(F.when(F.col("key") == n, F.col("value")), F.when(F.col("key") == n, F.col("pos"))).alias(n)
+                                    for n in wanted])
     for name in numeric:
         wide = wide.withColumn(name, parse_number(name))
     whole = scan_elements(pages, body, None, {"_price": Field(spec.price), "_description": Field(spec.description),

@@ -29,20 +29,42 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # A value is quoted where the quote follows the "="; possessive, so that no tag is read twice.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>
-|<(?P<end>/)?(?P<name>[a-z][^\s/>]*+)(?P<rest>{_ATTRIBUTES})>""", re.I | re.S | re.X)
+_TAG = re.compile(rf"<(/)?([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>")
+_OTHER = re.compile(r"<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+>)", re.S)
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*+>|\Z", re.I) for name in ("script", "style")}
 _ATTRIBUTE = re.compile(r"""([^\s=/>"'][^\s=/>]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_KNOWN: dict[str, dict[str, str]] = {}  # pages have few kinds of short tags
 # Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
+def tokens(markup: str, raw: bool = True) -> Iterator[tuple[int, int, str | None, str | None, str]]:
+    """(start, end, slash, name, attributes) of the tags in order; comments and the like have no name.  With
+    ``raw``, what a script or a style sheet holds is passed over, up to its end tag."""
+    at = 0
+    while (start := markup.find("<", at)) >= 0:
+        if tag := _TAG.match(markup, start):
+            at = tag.end()
+            slash, name, rest = tag.groups()
+            yield start, at, slash, name, rest
+            if raw and not slash and (stop := _RAW_END.get(name.lower())):
+                at = stop.search(markup, at).start()
+        elif other := _OTHER.match(markup, start):
+            at = other.end()
+            yield start, at, None, None, ""
+        else:
+            at = start + 1
+
+
 def attributes(rest: str) -> dict[str, str]:
     """The attributes of a start tag, names in lower case; of repeated ones the first."""
+    if (known := _KNOWN.get(rest)) is not None:
+        return known
     out: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(rest):
         out.setdefault(name.lower(), next(filter(None, values), ""))
+    if len(rest) < 256 and len(_KNOWN) < 4096:
+        _KNOWN[rest] = out
     return out
 
 
@@ -107,28 +129,27 @@ def scan(markup: str, roots: tuple[Node, ...] | None, fields: dict[str, Field],
                 slot[2] = markup[slot[1]:at]
                 one.open.remove(name)
 
-    at = 0
-    while token := _TOKEN.search(markup, at):
-        at = token.end()
-        name = token["name"]
+    anything = wanted.get(None, [])
+    for start, at, slash, name, rest in tokens(markup, raw=not xml):
         if name is None:
             continue
         name = name if xml else name.lower()
-        if token["end"]:
+        if slash:
             while open_names.get(name):
                 top, ends = stack.pop()
                 open_names[top] -= 1
-                close(ends, token.start(), at)
+                if ends:
+                    close(ends, start, at)
                 if top == name:
                     break
             continue
-        rest, ends = token["rest"], []
-        for kind, node in [*wanted.get(name, ()), *wanted.get(None, ())]:
+        ends = []
+        for kind, node in wanted.get(name, []) + anything if name in wanted else anything:
             if not node.matches(rest):
                 continue
             if kind is None:
                 if not any(x[1] is None for x in ends):  # one element is one root
-                    found.append(_Found(token.start(), rest, at))
+                    found.append(_Found(start, rest, at))
                     ends.append((found[-1], None, None))
                 continue
             want = fields[kind]
@@ -139,12 +160,7 @@ def scan(markup: str, roots: tuple[Node, ...] | None, fields: dict[str, Field],
                     ends.append((one, kind, slots[-1]))
                     one.open.append(kind)
         live += [x[0] for x in ends if x[1] is None]
-        raw = None if xml else _RAW_END.get(name)
-        if raw:
-            stop = raw.search(markup, at)
-            close(ends, stop.start(), stop.end())
-            at = stop.end()
-        elif rest.endswith("/") or not xml and name in VOID:
+        if rest.endswith("/") or not xml and name in VOID:
             close(ends, at, at)
         else:
             stack.append((name, ends))
@@ -158,16 +174,14 @@ def scan(markup: str, roots: tuple[Node, ...] | None, fields: dict[str, Field],
 
 def plain(markup: str) -> str | None:
     """The text of a piece of markup: what stands between its tags, decoded and stripped, joined by one blank."""
-    out, at = [], 0
-    while True:
-        token = _TOKEN.search(markup, at)
-        out.append(unescape(markup[at:token.start() if token else len(markup)]).strip())
-        if not token:
-            return " ".join(filter(None, out)) or None
-        at = token.end()
-        raw = _RAW_END.get((token["name"] or "").lower())
-        if raw and not token["end"]:
-            at = raw.search(markup, at).end()
+    out, at, hidden = [], 0, False
+    for start, end, slash, name, _ in tokens(markup):
+        if not hidden:
+            out.append(unescape(markup[at:start]).strip())
+        at, hidden = end, bool(name and not slash and name.lower() in _RAW_END)
+    if not hidden:
+        out.append(unescape(markup[at:]).strip())
+    return " ".join(filter(None, out)) or None
 
 
 def scan_elements(pages: DataFrame, body: str, roots: Node | tuple[Node, ...] | None, fields: dict[str, Field],
