@@ -19,6 +19,7 @@ EXPIRED_STATUS = "expired"
 UNTOUCHED_STATUSES = ["", "new"]  # plus null
 PORTAL_SOURCE = "kleinanzeigen"
 
+# The columns of a results row.
 RESULT_COLS = ["listing_id", "title", "url", "source", "search_type", "status", "price", "rooms", "sqm",
                "location", "description", *DETAIL_KEYS, "features", "available", "last_checked",
                "first_seen"]

@@ -55,17 +55,21 @@ def test_same_id_two_searches_one_row(spark):
     assert len(out) == 1 and out[0].search_id == 1
 
 
-def test_two_searches_own_caps(spark):
-    s = spark.createDataFrame([(1, "", 1000.0), (2, "", 2000.0)], "search_id long, search_type string, max_rent double")
-    for c in ("min_rent", "min_rooms", "max_rooms", "min_sqm", "max_sqm"):
-        s = s.withColumn(c, F.lit(None).cast("double"))
-    s = s.withColumn("required_keywords", F.array().cast("array<string>")) \
-        .withColumn("excluded_keywords", F.array().cast("array<string>"))
-    rows = [("x:1", "x", "t", "u", 950.0, None, None, None, None, None, 1, 1, 0),
-            ("x:2", "x", "t", "u", 1800.0, None, None, None, None, None, 2, 1, 0),
-            ("x:3", "x", "t", "u", 1800.0, None, None, None, None, None, 1, 1, 1)]
-    out = {r.listing_id for r in M.match_per_search(_listings(spark, rows), s).collect()}
-    assert out == {"x:1", "x:2"}
+def test_a_listing_meets_the_bounds_and_words_of_its_own_search(spark):
+    """Three searches bound size, rooms or words; what a listing does not say never rules it out."""
+    bounds = "min_rent double, max_rent double, min_rooms double, max_rooms double, min_sqm double, max_sqm double"
+    words = "required_keywords array<string>, excluded_keywords array<string>"
+    s = spark.createDataFrame([
+        (11, "haus", None, None, None, None, 40.0, 60.0, [], []),
+        (12, "", 300.0, None, 2.5, None, None, None, [], []),
+        (13, "", None, None, None, None, None, None, ["garten"], ["keller"])], f"search_id long, search_type string, {bounds}, {words}")
+    listing = lambda i, search, price, rooms, sqm, title: (
+        f"x:{i}", "x", title, "u", price, rooms, sqm, None, None, None, search, 1, i)
+    rows = [listing(0, 11, 9000.0, None, 40.0, "t"), listing(1, 11, None, None, 60.5, "t"), listing(2, 11, 1.0, 9.0, None, "t"),
+            listing(3, 12, None, 2.5, 999.0, "t"), listing(4, 12, 299.0, 3.0, None, "t"), listing(5, 12, 300.0, 2.0, None, "t"),
+            listing(6, 13, None, None, None, "Garten und Hof"), listing(7, 13, 1.0, 1.0, 1.0, "Garten, Keller"), listing(8, 13, 1.0, 1.0, 1.0, "Hof")]
+    out = {r.listing_id: r.search_type for r in M.match_per_search(_listings(spark, rows), s).collect()}
+    assert out == {"x:0": "haus", "x:2": "haus", "x:3": "", "x:6": ""}
 
 
 def _status(spark, rows):
