@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runlog as RL
 from ..streaming import cycle_stream as CS
+from ..streaming import retry_state as RS
 from . import adapters as A
 from ._common import clean_searches, scratch
 from .oracle_adapters import ORDER_SQL, staged_ctes, with_ctes
@@ -122,3 +123,40 @@ def q_stream_attempts(t):
         .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
     CS.stream_attempts(s, f"{base}/out", f"{base}/ckpt").awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select("listing_id", "cycle", "n", "any_sent", "settled", "gave_up")
+
+
+_ENDED = {"mark": """
+SELECT max(DATE '2024-01-01' + CAST(cycle + 1 AS INTEGER))::TIMESTAMP - INTERVAL 132 HOUR AS mark FROM attempts""",
+          "ended": """
+SELECT listing_id, cycle, n, any_sent FROM da, mark WHERE (DATE '2024-01-01' + CAST(cycle + 1 AS INTEGER))::TIMESTAMP <= mark""",
+          "last": """
+SELECT listing_id, cycle, max(attempt) AS attempts, arg_max("at", attempt) AS at_, arg_max_null(status, attempt) AS st,
+       arg_max_null(retry_after, attempt) AS ra
+FROM attempts GROUP BY listing_id, cycle""",
+          "waits": """
+SELECT *, at_ + to_microseconds(CAST(delay_s * 1000000 AS BIGINT)) AS next_attempt_at
+FROM (SELECT *, CASE WHEN ra IS NOT NULL THEN greatest(0.0, CAST(ra AS DOUBLE)) ELSE pow(2.0, attempts) END AS delay_s
+      FROM last WHERE st IS NULL OR st IN (429, 500, 502, 503, 504)) x"""}
+
+
+@register("stream_retry_state", sql=with_ctes("attempts", extra={**_CO, **_ENDED}) + """
+SELECT listing_id, cycle, 'attempt' AS kind, n, any_sent, any_sent OR n >= 5 AS settled, NOT any_sent AND n >= 5 AS gave_up,
+       CAST(NULL AS BIGINT) AS attempts, CAST(NULL AS DOUBLE) AS delay_s, CAST(NULL AS TIMESTAMP) AS next_attempt_at
+FROM ended
+UNION ALL
+SELECT e.listing_id, e.cycle, 'retry', e.n, NULL, NULL, NULL, w.attempts, w.delay_s, w.next_attempt_at
+FROM ended e JOIN waits w USING (listing_id, cycle), mark WHERE w.next_attempt_at <= mark""")
+def q_stream_retry_state(t):
+    """I4 + B17 as keyed state: attempts of two five-day periods mixed in every landing; the cycles that the
+    watermark (5.5 days) has ended, and the retries of theirs that are due by then."""
+    base = scratch(t, "retry_state")
+    a = A.delivery_attempts(t)
+    a = a.select("listing_id", "cycle", "attempt", F.col("at").cast("timestamp").alias("at"), "channel", "status", "retry_after",
+                 (F.lit("2024-01-01").cast("date") + (F.col("cycle") + 1).cast("int")).cast("timestamp").alias("cycle_end"),
+                 (F.floor(F.col("cycle") / 5) + F.col("event_id") % 2).cast("int").alias("_chunk"))
+    chunks = sorted(r[0] for r in a.select("_chunk").distinct().collect()) or [0]
+    src = land(a, f"{base}/in", "_chunk", chunks)
+    s = t.spark.readStream.schema(a.drop("_chunk").schema).option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
+    # The test rows go on for settled listings, so their marks stay to the end.
+    RS.start_retry_state(s, f"{base}/out", f"{base}/ckpt", delay="132 hours", settled_for_s=400 * 86400).awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").withColumn("next_attempt_at", F.col("next_attempt_at").cast("timestamp_ntz"))
