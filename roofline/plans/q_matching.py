@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import haystack, missing_attrs, normalize_location, parse_number, within
 from ..operators import dedup as D
 from ..operators import matching as M
+from ..operators.seen_store import SeenStore
 from ..sources.searches import active_searches
 from . import adapters as A
 from ._common import active_dim, clean_searches, fetched, flat_arrays, scratch
@@ -16,6 +17,7 @@ from .oracle_adapters import (ORDER_SQL, criteria_sql, haystack_sql, norm_locati
 from .registry import register
 
 ORDER = A.LISTING_ORDER
+STORE_BUCKETS = 8
 KEY_OUT = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 _MATCHED = {"fetched": """
@@ -173,6 +175,40 @@ def q_seen_append(t):
     return D.seen_append(D.seen_union(one, two), adds).select("key")
 
 
+@register("seen_store_new", sql=with_ctes("listings", "searches", "seen_all", extra={**_MATCHED, **_SIG,
+    "old": f"SELECT DISTINCT {signature_sql('l')} AS key FROM listings l WHERE l_shipdate < TIMESTAMP '{A.SEEN_CUTOFF}'"}) + """
+SELECT listing_id, search_id, signature FROM sigs s
+WHERE NOT EXISTS (SELECT 1 FROM seen_all a WHERE a.key = s.listing_id)
+  AND NOT EXISTS (SELECT 1 FROM old o WHERE o.key = s.signature)""")
+def q_seen_store_new(t):
+    """D3 and D4 against a bucketed store of both kinds of keys: the two seen stores and the signatures of the rows
+    shipped before 1996, appended as three batches and merged."""
+    store = SeenStore(t.spark, scratch(t, "seen_store_new"), buckets=STORE_BUCKETS, fanout=2)
+    old = A.listings(t).filter(F.col("_shipdate") < F.lit(A.SEEN_CUTOFF).cast("timestamp_ntz"))
+    sigs = D.with_signature(old).select(F.col("signature").alias("key"))
+    for batch, rows in enumerate((*A.seen_stores(t), sigs)):
+        store.append(rows, batch)
+    store.compact()
+    new = store.only_new(D.with_signature(firsts(t)), "listing_id")
+    return store.only_new(new, "signature").select("listing_id", "search_id", "signature")
+
+
+@register("seen_store_compact", sql=with_ctes("listings", "searches", "seen_all", extra={**_MATCHED}) + """
+SELECT key, CAST(1 AS BIGINT) AS stored FROM (SELECT key FROM seen_all UNION SELECT listing_id FROM firsts) u""")
+def q_seen_store_compact(t):
+    """H3 on the bucketed store: six batches that share keys, one of them handed out again, and the merges after
+    each; every key is stored once."""
+    store = SeenStore(t.spark, scratch(t, "seen_store_compact"), buckets=STORE_BUCKETS, fanout=2)
+    one, two = A.seen_stores(t)
+    adds = firsts(t).select(F.col("listing_id").alias("key"), "title", "url", "source", "search_id")
+    thirds = [adds.filter(F.col("search_id") % 3 == i) for i in range(3)]
+    for batch, rows in enumerate((one, two, thirds[0], thirds[1], one.unionByName(two), thirds[2])):
+        store.append(rows, batch)
+        store.append(rows, batch)
+        store.compact()
+    return store.rows().groupBy("key").agg(F.count(F.lit(1)).alias("stored"))
+
+
 @register("fetch_counts", sql=with_ctes("listings", "searches") + """
 SELECT s.search_id, s.label, CAST(count(l.listing_id) AS BIGINT) AS fetched
 FROM searches s LEFT JOIN listings l ON l.search_id = s.search_id
