@@ -8,8 +8,8 @@ store of n batches has about ``fanout * log(n)`` runs.  Files carry a Parquet Bl
 over the keys, and a look-up of a few keys is pushed down to it.
 
 The manifest names the runs that count.  It is written last, in turn into one of two slots, so a crash at any
-point leaves the last state readable, and a batch handed out again finds itself there.  Runs that a merge has
-replaced stay on disk for readers that began before it; ``superseded`` lists those of the last merge.  One writer at a time,
+point leaves the last state readable, and a batch handed out again finds itself there.  Runs that were
+replaced stay on disk for readers that began before; ``superseded`` lists those of the last change.  One writer at a time,
 as ``foreachBatch`` has.
 """
 
@@ -62,12 +62,15 @@ class SeenStore:
         return [r for r in self._entries() if r.live]
 
     def superseded(self) -> list[str]:
-        """Folders of runs that the last merge replaced."""
+        """Folders of runs that the last change of the store replaced."""
         return [self._folder(r.run) for r in self._entries() if not r.live]
 
-    def _commit(self, runs: list[tuple], gone: list[tuple] = ()) -> None:
+    def _next_version(self) -> int:
         old = self._entries()
-        version = old[0].version + 1 if old else 0
+        return old[0].version + 1 if old else 0
+
+    def _commit(self, runs: list[tuple], gone: list[tuple] = ()) -> None:
+        version = self._next_version()
         rows = [(version, *r, self.buckets, True) for r in runs] + [(version, *r, self.buckets, False) for r in gone]
         self.spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
             f"{self.path}/manifest-{version % 2}")
@@ -88,17 +91,21 @@ class SeenStore:
                        f"SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{folder}'")
         return self.spark.table(name)
 
-    def rows(self) -> DataFrame:
-        """Every stored row: one per key, partitioned by key."""
-        runs = [self._run(r.run) for r in self.runs()]
+    def rows(self, before: int | None = None) -> DataFrame:
+        """Every stored row: one per key, partitioned by key; with ``before`` those of the batches before that one
+        (runs of later batches must not be merged yet)."""
+        runs = [self._run(r.run) for r in self.runs() if before is None or r.first_batch < before]
         return reduce(DataFrame.unionByName, runs) if runs else self.spark.createDataFrame([], SEEN_SCHEMA)
 
     # -- operations -------------------------------------------------------------------------------------
 
-    def append(self, rows: DataFrame, batch_id: int) -> bool:
+    def append(self, rows: DataFrame, batch_id: int, replace: bool = False) -> bool:
         """H3: add the keys that the store lacks, the first of repeated rows by (title, url, source), nulls first;
-        null keys are left out.  False where ``batch_id`` is not newer than the store: a batch handed out again."""
+        null keys are left out.  False where ``batch_id`` is not newer than the store: a batch handed out again.
+        ``replace``: if it is the newest and not merged yet, what it stored is replaced instead."""
         runs = [(r.run, r.level, r.first_batch, r.last_batch) for r in self.runs()]
+        gone = [r for r in runs if replace and r[2] == r[3] == batch_id]
+        runs = [r for r in runs if r not in gone]
         if runs and runs[-1][3] >= batch_id:
             return False
         # Grouped first, so that a key repeated very often is combined before it moves; then one row per key goes to
@@ -106,10 +113,11 @@ class SeenStore:
         fresh = seen_frame(rows).groupBy("key").agg(F.min(F.struct(*SEEN_COLS[1:])).alias("r")).select("key", "r.*")
         fresh = fresh.repartition(self.buckets, "key")
         if runs:
-            fresh = fresh.join(self.rows().select("key"), "key", "left_anti")
-        run = f"l0_{batch_id}_{batch_id}"
+            fresh = fresh.join(self.rows(before=batch_id).select("key"), "key", "left_anti")
+        # A run is written under a name of its own, so that what the manifest names is never written over.
+        run = f"l0_{batch_id}_{batch_id}_v{self._next_version()}"
         self._write_run(fresh, run)
-        self._commit([*runs, (run, 0, batch_id, batch_id)])
+        self._commit([*runs, (run, 0, batch_id, batch_id)], gone)
         return True
 
     def compact(self) -> int:
@@ -122,7 +130,7 @@ class SeenStore:
             if not full:
                 return done
             part = [r for r in runs if r[1] == full[0]][:self.fanout]
-            new = (f"l{full[0] + 1}_{part[0][2]}_{part[-1][3]}", full[0] + 1, part[0][2], part[-1][3])
+            new = (f"l{full[0] + 1}_{part[0][2]}_{part[-1][3]}_v{self._next_version()}", full[0] + 1, part[0][2], part[-1][3])
             self._write_run(reduce(DataFrame.unionByName, [self._run(r[0]) for r in part]), new[0])
             self._commit([r for r in runs if r not in part] + [new], part)
             done += 1

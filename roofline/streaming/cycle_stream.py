@@ -8,7 +8,7 @@
 * I2: a run that starts with an empty seen table is a *prime*: it stores everything and
   notifies nothing.
 * I3: ids and signatures live in a seen *table*, joined with ``left_anti``; it never
-  expires, so it is not kept in a state store.
+  expires, so it is not kept in a state store.  A ``SeenStore`` keeps it bucketed by key.
 * I4: a listing is stored as seen once it is delivered, given up, or there is no channel;
   the retry counters of the others are a small table carried from batch to batch.
 * I5: a large first load is split by ``maxFilesPerTrigger``; it stays a prime to its end,
@@ -28,6 +28,7 @@ from ..operators import dedup as D
 from ..operators import delivery as V
 from ..operators import results as R
 from ..operators import runlog as RL
+from ..operators.seen_store import SeenStore
 from ..plans.cycle import Cycle, Details, run_cycle
 
 log = logging.getLogger(__name__)
@@ -115,9 +116,12 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
                        cap: int = V.DEFAULT_CAP, enrich_source: str | None = None, prime: bool | None = None,
                        runs_path: str | None = None, keep_going: bool = False, deliver: Deliver | None = None,
                        max_attempts: int = V.MAX_NOTIFY_ATTEMPTS, host: str = "stream", version: str = "",
-                       prepare: Prepare | None = None, content_dedup: bool = True):
+                       prepare: Prepare | None = None, content_dedup: bool = True, store: SeenStore | None = None):
     """The ``foreachBatch`` function of I1.
 
+    ``store``: keep the seen keys in a bucketed store, merged after each committed batch, in place of
+    a folder per batch under ``seen_path`` (which still names the folders beside it).
+
     ``prepare`` makes listings and source outcomes of a batch of landed bodies; both are
     written first (``<seen_path>_listings``, ``_outcomes``; details that are asked for to ``_details``), so a body is
     read once and what is made of it is not made again by each sink.
@@ -169,7 +173,11 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
         done = read_table(spark, commits, "done boolean, batch_id bigint")
         if not done.filter(F.col("batch_id") == batch_id).isEmpty():
             return  # a committed batch handed out again
-        seen = read_table(spark, seen_path, SEEN_TABLE_SCHEMA).where(F.col("batch_id") != batch_id).drop("batch_id")
+        # A replayed batch does not see what its first run stored.
+        if store is not None:
+            seen = store.rows(before=batch_id)
+        else:
+            seen = read_table(spark, seen_path, SEEN_TABLE_SCHEMA).where(F.col("batch_id") != batch_id).drop("batch_id")
         is_prime = seen.isEmpty() if prime is None else prime
         outcomes, rich = None, details
 
@@ -195,13 +203,19 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
             elif deliver is not None:
                 write_batch(carried_counters(batch_id).drop("batch_id"), attempts_path, batch_id)
             write_batch(R.result_rows(stored, now), results_path, batch_id)
-            write_batch(D.seen_append(seen, D.seen_rows(stored, c.dropped)), seen_path, batch_id)
+            additions = D.seen_rows(stored, c.dropped)
+            if store is not None:
+                store.append(additions, batch_id, replace=True)
+            else:
+                write_batch(D.seen_append(seen, additions), seen_path, batch_id)
             if runs_path is not None:
                 events = cycle_events(c, status, f"batch-{batch_id}", now, outcomes).persist()
                 log_run(run_row(events, host, "stream", version), events, batch_id)
                 events.unpersist()
             # The commit mark: all sinks of the batch are complete.
             write_batch(spark.createDataFrame([(True,)], "done boolean"), commits, batch_id)
+            if store is not None:
+                store.compact()
         finally:
             c.flagged.unpersist()
 
@@ -219,7 +233,8 @@ def run_stream(spark: SparkSession, source_dir: str, schema: str, searches: Data
     initial load and stays silent through all its batches; a continuous stream is silent
     for the batches that find the table empty."""
     if prime is None and available_now:
-        prime = read_table(spark, seen_path, SEEN_TABLE_SCHEMA).isEmpty()
+        store = writer_options.get("store")
+        prime = (store.rows() if store is not None else read_table(spark, seen_path, SEEN_TABLE_SCHEMA)).isEmpty()
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

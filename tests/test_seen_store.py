@@ -94,3 +94,13 @@ def test_a_crash_before_the_manifest_leaves_the_last_state(spark, path, monkeypa
         store.compact()
     monkeypatch.setattr(SeenStore, "_commit", commit)
     assert keys(store.rows()) == ["a", "b"] and store.compact() == 1 and keys(store.rows()) == ["a", "b"]
+
+
+def test_a_batch_may_replace_what_it_stored_until_it_is_merged(spark, path):
+    store = SeenStore(spark, path, buckets=2, fanout=2)
+    store.append(rows(spark, "a"), 0)
+    store.append(rows(spark, "b", "c"), 1)
+    assert keys(store.rows(before=1)) == ["a"]
+    assert store.append(rows(spark, "a", "c", "d"), 1, replace=True) and keys(store.rows()) == ["a", "c", "d"]
+    store.compact()
+    assert not store.append(rows(spark, "e"), 1, replace=True) and keys(store.rows()) == ["a", "c", "d"]

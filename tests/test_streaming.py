@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roofline.operators import dedup as D
 from roofline.operators import delivery as V
+from roofline.operators.seen_store import SeenStore
 from roofline.plans import adapters as A
 from roofline.plans._common import clean_searches
 from roofline.plans.cycle import run_cycle
@@ -141,6 +142,35 @@ def test_undelivered_listings_are_tried_again_up_to_the_limit(spark):
     assert spark.read.parquet(f"{s.base}/out").where("batch_id = 5").count() == 0
 
 
+def test_the_cycle_over_a_bucketed_store(spark, monkeypatch):
+    """As with folders: crash between store and commit mark, a replay that delivers more, merges after each batch."""
+    sent = {"x:1"}
+    send = lambda outbox, batch_id: outbox.select("listing_id", F.col("listing_id").isin(*sent).alias("any_sent"))
+    s = Store(spark, prime=False, deliver=send)
+    s.options["store"] = store = SeenStore(spark, f"{s.base}/store", buckets=3, fanout=2)
+    stored = lambda: {r.key for r in store.rows().collect()}
+    write = CS.write_batch
+
+    def crash(df, path, batch_id):
+        if path.endswith("_commits"):
+            raise OSError("lost")
+        write(df, path, batch_id)
+    monkeypatch.setattr(CS, "write_batch", crash)
+    with pytest.raises(OSError):
+        s.writer()(s.listings(0, 3), 0)
+    assert stored() == {"x:1"}
+    monkeypatch.setattr(CS, "write_batch", write)
+    sent.add("x:2")
+    s.writer()(s.listings(0, 3), 0)
+    assert stored() == {"x:1", "x:2"} and s.count("res") == 2
+    sent |= {f"x:{i}" for i in range(9)}
+    for batch in (1, 2):
+        s.writer()(s.listings(0, 3 + batch), batch)
+    s.writer()(s.listings(0, 5), 2)  # handed out once more
+    assert stored() == {f"x:{i}" for i in range(5)} and s.count("res") == 5
+    assert [r.level for r in store.runs()] == [1, 0] and CS.read_table(spark, f"{s.base}/seen", "key string").count() == 0
+
+
 def test_an_initial_load_in_chunks_is_silent(spark):
     s = Store(spark)
     for i in range(3):
