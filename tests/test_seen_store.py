@@ -104,3 +104,11 @@ def test_a_batch_may_replace_what_it_stored_until_it_is_merged(spark, path):
     assert store.append(rows(spark, "a", "c", "d"), 1, replace=True) and keys(store.rows()) == ["a", "c", "d"]
     store.compact()
     assert not store.append(rows(spark, "e"), 1, replace=True) and keys(store.rows()) == ["a", "c", "d"]
+
+
+def test_bloom_filters_are_as_large_as_their_keys_need(spark, path):
+    store = SeenStore(spark, path, buckets=4)
+    store.append(rows(spark, *[f"k{i}" for i in range(40)]), 0)
+    store.append(spark.range(200000).select(F.concat(F.lit("n"), "id").alias("key")), 1)
+    small, large = (sorted(spark.read.format("binaryFile").load(f"{path}/runs/{r.run}").select("length").toPandas()["length"]) for r in store.runs())
+    assert len(small) == len(large) == 4 and small[-1] < 10_000 and large[0] > 50_000
