@@ -1,9 +1,8 @@
 """Registered queries: the streaming operators.
 
 Each query lands the adapter rows as files in a scratch folder under the shared
-checkpoint directory (chunk by chunk, in order), runs the stream to completion
-with ``availableNow`` and returns the sink table.  Rows-only checks; the
-stream-equals-batch comparisons are in ``tests/test_streaming.py``.
+checkpoint directory (chunk by chunk, in order), runs the stream with ``availableNow``
+after each landing and returns the sink table.  Rows-only checks; the stream-equals-batch comparisons are in ``tests/test_streaming.py``.
 """
 
 from __future__ import annotations
@@ -20,36 +19,31 @@ from .q_delivery import _CO
 from .q_runlog import _EV
 from .registry import register
 
-FILES_PER_CHUNK = 2
 NOW = "2024-02-01 00:00:00"
 
 
-def land(df, path: str, chunk_col: str, chunks) -> str:
-    """Write ``df`` as successive landings, one per value of ``chunks``: written once, then handed over in order."""
-    df.repartition(len(chunks) * FILES_PER_CHUNK, chunk_col).write.partitionBy(chunk_col).parquet(f"{path}-all")
+def land(df, path: str, chunk_col: str, chunks, start) -> None:
+    """Hand over ``df`` as successive landings in ``path``, one per value of ``chunks``, and run the stream that
+    ``start(source)`` gives to its present end after each: a landing is one batch, however many files it has.
+    The rows are written once, by the tasks that make them, and each landing is a copy of its files' rows, so
+    no task has more than a file's share; they are not gathered by chunk."""
+    df.write.partitionBy(chunk_col).parquet(f"{path}-all")
     whole = df.sparkSession.read.schema(df.schema).parquet(f"{path}-all")
     for i in chunks:
-        whole.filter(F.col(chunk_col) == i).drop(chunk_col).repartition(FILES_PER_CHUNK) \
-            .write.mode("append").parquet(path)
-    return path
+        whole.filter(F.col(chunk_col) == i).drop(chunk_col).write.mode("append").parquet(path)
+        start(df.sparkSession.readStream.schema(df.drop(chunk_col).schema).parquet(path)).awaitTermination()
 
 
-def _landed_listings(t, base):
-    li = A.listings(t).withColumn("_chunk", (F.col("search_id") % 4).cast("int"))
-    schema = li.drop("_chunk").schema
-    return land(li, f"{base}/in", "_chunk", range(4)), schema
+def _land_listings(t, base, start):
+    land(A.listings(t).withColumn("_chunk", (F.col("search_id") % 4).cast("int")), f"{base}/in", "_chunk", range(4), start)
 
 
 def _run_cycle_stream(t, name, prime=None):
     base = scratch(t, name)
-    src, schema = _landed_listings(t, base)
-    spark = t.spark
-    writer = CS.cycle_batch_writer(spark, clean_searches(t), f"{base}/seen", f"{base}/results", f"{base}/outbox",
+    writer = CS.cycle_batch_writer(t.spark, clean_searches(t), f"{base}/seen", f"{base}/results", f"{base}/outbox",
                                    A.LISTING_ORDER, NOW, prime=prime)
-    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
-         .writeStream.foreachBatch(writer).option("checkpointLocation", f"{base}/ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _land_listings(t, base, lambda s: s.writeStream.foreachBatch(writer).option("checkpointLocation", f"{base}/ckpt")
+                   .trigger(availableNow=True).start())
     return base
 
 
@@ -80,14 +74,10 @@ def q_stream_prime_chunks(t):
 def q_stream_dedup(t):
     """I3, id-only: ``dropDuplicates`` on a stream of the landed listings."""
     base = scratch(t, "dedup")
-    src, schema = _landed_listings(t, base)
-    spark = t.spark
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
-    q = (CS.stream_dedup(s.select("listing_id", "search_id")).writeStream.format("parquet")
-         .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("listing_id")
+    _land_listings(t, base, lambda s: CS.stream_dedup(s.select("listing_id", "search_id")).writeStream.format("parquet")
+                   .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+                   .trigger(availableNow=True).start())
+    return t.spark.read.parquet(f"{base}/out").select("listing_id")
 
 
 @register("runs_over_time_stream", sql=with_ctes("run_events", extra=_EV) + """
@@ -101,10 +91,9 @@ def q_runs_over_time_stream(t):
     ev = A.run_events(t).withColumns({"at": F.col("at").cast("timestamp"), "event_no": F.col("event_no").cast("bigint")})
     ev = ev.withColumn("_chunk", F.floor(F.datediff("at", F.lit("2024-01-01")) / 10).cast("int"))
     chunks = sorted(r[0] for r in ev.select("_chunk").distinct().collect()) or [0]
-    src = land(ev, f"{base}/in", "_chunk", chunks)
-    s = t.spark.readStream.schema(ev.drop("_chunk").schema).option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
-    (RL.runs_over_time_stream(s, tie="event_no").writeStream.format("parquet").option("path", f"{base}/out")
-     .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    land(ev, f"{base}/in", "_chunk", chunks, lambda s: RL.runs_over_time_stream(s, tie="event_no").writeStream
+         .format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
     return t.spark.read.parquet(f"{base}/out").withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
@@ -116,12 +105,8 @@ def q_stream_attempts(t):
     base = scratch(t, "attempts")
     st = V.delivery_status(V.channel_outcomes(A.delivery_attempts(t), ["listing_id", "cycle"]))
     st = st.select("listing_id", "cycle", "any_sent").withColumn("_chunk", F.floor(F.col("cycle") / 10).cast("int"))
-    # Only chunks that have rows: an empty landing would shift the files of the batches after it.
     chunks = sorted(r[0] for r in st.select("_chunk").distinct().collect()) or [0]
-    src = land(st, f"{base}/in", "_chunk", chunks)
-    s = t.spark.readStream.schema("listing_id string, cycle bigint, any_sent boolean") \
-        .option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
-    CS.stream_attempts(s, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    land(st, f"{base}/in", "_chunk", chunks, lambda s: CS.stream_attempts(s, f"{base}/out", f"{base}/ckpt"))
     return t.spark.read.parquet(f"{base}/out").select("listing_id", "cycle", "n", "any_sent", "settled", "gave_up")
 
 
@@ -155,8 +140,7 @@ def q_stream_retry_state(t):
                  (F.lit("2024-01-01").cast("date") + (F.col("cycle") + 1).cast("int")).cast("timestamp").alias("cycle_end"),
                  (F.floor(F.col("cycle") / 5) + F.col("event_id") % 2).cast("int").alias("_chunk"))
     chunks = sorted(r[0] for r in a.select("_chunk").distinct().collect()) or [0]
-    src = land(a, f"{base}/in", "_chunk", chunks)
-    s = t.spark.readStream.schema(a.drop("_chunk").schema).option("maxFilesPerTrigger", FILES_PER_CHUNK).parquet(src)
     # The test rows go on for settled listings, so their marks stay to the end.
-    RS.start_retry_state(s, f"{base}/out", f"{base}/ckpt", delay="132 hours", settled_for_s=400 * 86400).awaitTermination()
+    land(a, f"{base}/in", "_chunk", chunks, lambda s: RS.start_retry_state(
+        s, f"{base}/out", f"{base}/ckpt", delay="132 hours", settled_for_s=400 * 86400))
     return t.spark.read.parquet(f"{base}/out").withColumn("next_attempt_at", F.col("next_attempt_at").cast("timestamp_ntz"))
