@@ -6,6 +6,6 @@ from .numbers import (parse_number, retry_delay_seconds, to_bool_cell, to_bool_s
 from .predicates import excludes_keywords, matches_criteria, requires_keywords, within
 from .text import (bounded_text, format_attrs, format_g, haystack, html_escape, is_removed_text,
                    keyword_window, keywords_cell, node_text, normalize_location, strip_text)
-from .urls import infer_source_type, page_url, resolve_url, url_origin, with_radius
+from .urls import infer_source_type, join_origin, page_url, resolve_url, url_origin, with_radius
 
 __all__ = [n for n in dir() if not n.startswith("_")]
