@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources.searches import active_searches, read_searches
 from . import adapters as A
 
@@ -33,6 +33,20 @@ def fetched(t: A.Tables) -> DataFrame:
     return t.memo("fetched", lambda: A.listings(t).join(active_dim(t).select("search_id"), "search_id", "left_semi"))
 
 
+def cut_once(t: A.Tables):
+    """A cut for the plans of one query: of equal plans the rows are stored once."""
+    done = t.memo("cuts", list)
+
+    def cut(df: DataFrame) -> DataFrame:
+        for plan, table in done:
+            if df.sameSemantics(plan):
+                return table
+        table = cut_lineage(df)
+        done.append((df, table))
+        return table
+    return cut
+
+
 def scratch(t, name: str) -> str:
     """A new folder of this query below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/roofline/{name}-{uuid.uuid4().hex}"

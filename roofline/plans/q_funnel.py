@@ -8,7 +8,7 @@ from ..operators import delivery as V
 from ..operators import dedup as D
 from ..operators import enrich as E
 from . import adapters as A
-from ._common import clean_searches, flat_arrays
+from ._common import clean_searches, cut_once, flat_arrays
 from .cycle import cycle_stats, run_cycle
 from .oracle_adapters import cycle_ctes, format_attrs_sql, html_escape_sql, with_ctes
 from .registry import register
@@ -21,11 +21,13 @@ _BASE = ("listings", "searches", "seen_all", "details")
 
 def cycle(t, materialize: str | None = "checkpoint", prime: bool = False):
     """The cycle of the L adapter.  Queries that read its outputs (kept, outbox,
-    results) cut the lineage after repost dedup; queries on earlier stages don't."""
+    results) cut the lineage before and after repost dedup; queries on earlier stages don't.  Two cycles
+    of a query share what is equal in both plans up to a cut."""
     def build():
         seen = D.seen_union(*A.seen_stores(t))
         return run_cycle(A.listings(t), clean_searches(t), seen, A.detail_rows(t), A.LISTING_ORDER, NOW,
-                         cap=CAP, prime=prime, enrich_source=PORTAL, materialize=materialize)
+                         cap=CAP, prime=prime, enrich_source=PORTAL,
+                         materialize=cut_once(t) if materialize == "checkpoint" else materialize)
     return t.memo(f"cycle-{materialize}-{prime}", build)
 
 

@@ -220,7 +220,7 @@ def cycle_batch_writer(spark: SparkSession, searches: DataFrame, seen_path: str,
             if store is not None:
                 store.compact()
         finally:
-            c.flagged.unpersist()
+            c.release()
 
     return on_batch
 
