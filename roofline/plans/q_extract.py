@@ -101,7 +101,8 @@ def q_html_escape(t):
 
 def detail_pages(t):
     """A portal detail page per part, in the portal's markup: attributes in either order and quote, entities.
-    The parts are dealt out before: a row is small, the scan of its page is not, and a file is few tasks."""
+    The parts are dealt out before, by a number that stays: a row is small, the scan of its page is not."""
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
     p, s = lambda c: F.col(c).cast("string"), F.lit
     item = lambda i, label, value: F.concat(
         s(["<li class='addetailslist--detail' data-n=\"1\">", '<li id="a" class="x addetailslist--detail">'][i % 2] + label),
@@ -114,7 +115,7 @@ def detail_pages(t):
                     *items, s("</ul><div><span class=\"checklisttag\"><b>"), html_escape("p_brand"),
                     s("</b></span><li class='checklisttag on'>Garten</li></div><p id=\"viewad-description-text\">Teil <i>"),
                     html_escape("p_name"), s("</i> &ndash; neu</p>"))
-    return t.part.repartition("p_partkey").select(F.col("p_partkey").alias("page_id"), body.alias("body"))
+    return t.part.repartition(n, "p_partkey").select(F.col("p_partkey").alias("page_id"), body.alias("body"))
 
 
 @register("extract_details", sql="""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import join_origin, keyword_window, missing_attrs, parse_number, stable_id, strip_text, url_origin
 from ..functions.text import PRICE_KEYWORDS, ROOMS_KEYWORDS, SQM_KEYWORDS
-from .markup import Field, Node, scan_elements
+from .markup import Field, Node, scan_elements, scan_pages
 
 
 @dataclass
@@ -161,15 +161,18 @@ DETAIL_OUT = ["price", "sqm", "rooms", "bedrooms", "bathrooms", "floor", "apartm
               "additional_costs", "warm_rent", "deposit", "description", "features"]
 
 
+def detail_label(text, value) -> Column:
+    """The label of a list item: its text minus the value text, colon-stripped, lower-cased."""
+    rest = F.replace(F.coalesce(text, F.lit("")), F.coalesce(value, F.lit("\u0000")), F.lit(""))
+    return F.lower(strip_text(F.regexp_replace(strip_text(rest), ":+$", "")))
+
+
 def detail_pairs(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key: str = "page_id",
                  body: str = "body") -> DataFrame:
-    """A4 (first half): (key, pos, label, value) for each list item with a value.
-    label = item text minus the value text, colon-stripped, lower-cased."""
+    """A4 (first half): (key, pos, label, value) for each list item with a value."""
     items = scan_elements(pages, body, spec.item, {"_value": Field(spec.value)}, [key])
     value = F.col("_value_text")
-    text = F.coalesce("root_text", F.lit(""))
-    label = F.lower(strip_text(F.regexp_replace(strip_text(F.replace(text, F.coalesce(value, F.lit("\u0000")),
-                                                                       F.lit(""))), ":+$", "")))
+    label = detail_label(F.col("root_text"), value)
     return items.select(key, "pos", label.alias("label"), value.alias("value")).filter(F.col("value").isNotNull())
 
 
@@ -179,25 +182,28 @@ def extract_details(pages: DataFrame, spec: DetailSpec = PORTAL_DETAIL_SPEC, key
     """A4: one row per page with the detail fields found.  Labels map exactly
     through ``field_map``; ``prefixes`` catch the free-text keys; the first
     occurrence of a key wins even when its number does not parse."""
-    pairs = detail_pairs(pages, spec, key, body)
-    # One lookup: the label is a long expression, and a filter on the key would repeat every use of it.
     names = F.create_map(*[F.lit(x) for lbl, (name, _num) in field_map.items() for x in (lbl, name)])
     starts = F.create_map(*[F.lit(x) for prefix, name in prefixes.items() for x in (prefix, name)])
-    begun = F.filter(F.map_keys(starts), lambda p: F.col("label").startswith(p))
-    named = F.coalesce(F.try_element_at(names, F.col("label")), F.try_element_at(starts, F.get(begun, 0)))
-    keyed = pairs.select(key, "pos", "value", named.alias("key"))
+
+    def name_of(label):
+        begun = F.filter(F.map_keys(starts), lambda p: label.startswith(p))
+        return F.coalesce(F.try_element_at(names, label), F.try_element_at(starts, F.get(begun, 0)))
+    whole = scan_pages(pages, body, spec.item, {"_value": Field(spec.value)},
+                       {"_price": Field(spec.price), "_description": Field(spec.description),
+                        "_check": Field(spec.checklist, every=True)}, [key])
+    # The label is a long expression: made once, then looked up.
+    valued = F.filter("elements", lambda e: e["_value_text"].isNotNull())
+    pairs = F.transform(valued, lambda e: F.struct(detail_label(e["root_text"], e["_value_text"]).alias("label"),
+                                                   e["_value_text"].alias("value")))
+    found = whole.withColumn("_found", F.transform(pairs, lambda p: F.struct(name_of(p["label"]).alias("name"), p["value"])))
     wanted = sorted({n for n, _ in field_map.values()} | set(prefixes.values()))
-    numeric = [name for name, num in field_map.values() if num]
-    wide = keyed.groupBy(key).agg(*[F.min_by(F.when(F.col("key") == n, F.col("value")), F.when(F.col("key") == n, F.col("pos"))).alias(n)
-                                    for n in wanted])
-    for name in numeric:
-        wide = wide.withColumn(name, parse_number(name))
-    whole = scan_elements(pages, body, None, {"_price": Field(spec.price), "_description": Field(spec.description),
-                                              "_check": Field(spec.checklist, every=True)}, [key], text=False)
-    extras = whole.select(
+    numeric = {name for name, num in field_map.values() if num}
+    first = lambda n: F.get(F.filter("_found", lambda p: p["name"] == n), 0)["value"]
+    wide = found.withColumns({f"_{n}_value": first(n) for n in wanted})
+    return wide.select(
         key, parse_number("_price_text").alias("price"), F.col("_description_text").alias("description"),
-        F.filter("_check_text", lambda t: t.isNotNull()).alias("features"))
-    return extras.join(wide, key, "left")
+        F.filter("_check_text", lambda t: t.isNotNull()).alias("features"),
+        *[(parse_number(f"_{n}_value") if n in numeric else F.col(f"_{n}_value")).alias(n) for n in wanted])
 
 
 def feed_item_xml(title, link, guid, description) -> Column:
