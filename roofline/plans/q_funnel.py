@@ -19,7 +19,7 @@ CAP = 15
 _BASE = ("listings", "searches", "seen_all", "details")
 
 
-def cycle(t, materialize: str | None = "checkpoint", prime: bool = False):
+def cycle(t, cut: bool = True, prime: bool = False):
     """The cycle of the L adapter.  Queries that read its outputs (kept, outbox,
     results) cut the lineage before and after repost dedup; queries on earlier stages don't.  Two cycles
     of a query share what is equal in both plans up to a cut."""
@@ -27,8 +27,8 @@ def cycle(t, materialize: str | None = "checkpoint", prime: bool = False):
         seen = D.seen_union(*A.seen_stores(t))
         return run_cycle(A.listings(t), clean_searches(t), seen, A.detail_rows(t), A.LISTING_ORDER, NOW,
                          cap=CAP, prime=prime, enrich_source=PORTAL,
-                         materialize=cut_once(t) if materialize == "checkpoint" else materialize)
-    return t.memo(f"cycle-{materialize}-{prime}", build)
+                         materialize=cut_once(t) if cut else None)
+    return t.memo(f"cycle-{cut}-{prime}", build)
 
 
 def _sql(body, **extra):
@@ -63,7 +63,7 @@ SELECT listing_id, price, rooms, sqm, description, bedrooms, bathrooms, floor, a
 FROM enr"""))
 def q_enrich_coalesce(t):
     """New listings filled from their detail pages (portal listings only)."""
-    c = cycle(t, materialize=None)
+    c = cycle(t, cut=False)
     e = E.enrich(c.new, A.detail_rows(t), source=PORTAL)
     return flat_arrays(e.select("listing_id", "price", "rooms", "sqm", "description", *E.DETAIL_KEYS,
                                 "features", "missing"))
@@ -76,7 +76,7 @@ FROM new1 n LEFT JOIN details d ON d.listing_id = n.listing_id
 WHERE n.source = 'board' GROUP BY 1"""))
 def q_enrich_outcomes(t):
     """Enrichment outcomes of the portal listings that are new this cycle."""
-    c = cycle(t, materialize=None)
+    c = cycle(t, cut=False)
     d = A.detail_rows(t)
     # Stand-ins: dear adverts are pages that could not be worked through, or gave nothing.
     bare = F.col("price") > 60
