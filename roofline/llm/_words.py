@@ -36,13 +36,22 @@ class Memo(dict):
             self[key] = out
         return out
 
+    def once(self, key: str) -> bytes:
+        """The result of a key that is not worth a place: one that is not remembered is made and forgotten."""
+        return self[key] if key in self or key in self.older else self.compute(key)
+
 
 def encode_chunks(texts: pa.Array, memo: Memo) -> list[bytes]:
     """For each text the joined results of its chunks, which one blank separates."""
+    return encode_distinct(texts, lambda chunks: [memo[c] for c in chunks.dictionary.to_pylist()])
+
+
+def encode_distinct(texts: pa.Array, encode: Callable[[pa.DictionaryArray], list[bytes]]) -> list[bytes]:
+    """``encode_chunks`` with a function that gives the results of a column's distinct chunks, in their order."""
     cut = pc.split_pattern(texts, " ")
     bounds = cut.offsets.to_numpy()
     chunks = cut.flatten().dictionary_encode()
-    results = pa.array([memo[c] for c in chunks.dictionary.to_pylist()], pa.large_binary()).take(chunks.indices)
+    results = pa.array(encode(chunks), pa.large_binary()).take(chunks.indices)
     at = np.frombuffer(results.buffers()[1], np.int64)[results.offset:results.offset + len(results) + 1]
     data = memoryview(results.buffers()[2] or b"")
     ends = at[bounds - bounds[0]].tolist()

@@ -2,7 +2,8 @@
 
 The tokenizer splits at white space and at the ends of letter runs, so the ids of a text
 are those of its words in turn.  Words repeat, so the library sees each distinct word of
-a batch at most once.
+a batch at most once.  A batch has more rare words than the memo has places: a word takes
+one if the batch has it twice, and without the punctuation behind it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ._words import Memo, encode_chunks
+from ._words import Memo, encode_distinct
 
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -58,12 +59,19 @@ class WordEncoder:
             if word == word.lower() and unicodedata.is_normalized("NFC", word):
                 return self._bytes([t.id for t in self.tok.model.tokenize(
                     word.encode("utf-8").decode("latin-1").translate(self.letters))])
-        else:
-            core = word.rstrip(PUNCTUATION)
-            if core != word and core.isalpha():
-                return self.memo[core] + self.memo[word[len(core):]]
         return self.direct(word)
 
+    def _distinct(self, chunks: pa.DictionaryArray) -> list[bytes]:
+        """Ids of each distinct word; a run of letters and the punctuation behind it are encoded on their own."""
+        words = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        cores = [w.rstrip(PUNCTUATION) for w in words]
+        cores = [c if c.isalpha() else w for w, c in zip(words, cores)]
+        times: dict[str, int] = {}
+        for core, n in zip(cores, np.bincount(chunks.indices, minlength=len(words)).tolist()):
+            times[core] = times.get(core, 0) + n
+        ids = {core: self.memo[core] if n > 1 else self.memo.once(core) for core, n in times.items()}
+        return [ids[c] if len(c) == len(w) else ids[c] + self.memo[w[len(c):]] for w, c in zip(words, cores)]
+
     def direct(self, text: str) -> bytes:
         return self._bytes(self.tok.encode(text, add_special_tokens=False).ids)
 
@@ -73,7 +81,7 @@ class WordEncoder:
         if not self.wordwise:
             return [self.direct(t) for t in texts.to_pylist()]
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
-        out = encode_chunks(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), self.memo)
+        out = encode_distinct(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), self._distinct)
         for i in np.flatnonzero(special).tolist():  # a special token's text, as written
             out[i] = self.direct(texts[i].as_py())
         return out
