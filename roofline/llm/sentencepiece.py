@@ -2,8 +2,10 @@
 
 The lattice is walked one character at a time.  A position is alive while the text since
 then is the beginning of a longer piece, so the window is bounded by the longest piece;
-once all backpointer paths of the alive positions pass one boundary, the ids before it
-are committed and forgotten.  For a unigram model a position keeps its best-scoring last
+the text since the first alive position tells the others, so the model remembers, for it
+and the next character, the pieces that end there and the text alive after it.  Once all
+backpointer paths of the alive positions pass one boundary, the ids before it are
+committed and forgotten.  For a unigram model a position keeps its best-scoring last
 piece.  For a BPE model it keeps the one last piece that the merges would leave there:
 the merges' segmentation of a text is the only one in which each neighbouring pair of
 pieces is what the merges make of that pair alone, so a pair test replaces the score.
@@ -14,7 +16,8 @@ from __future__ import annotations
 import functools
 import re
 from array import array
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._common import documents, map_batches
-from ._words import Memo, encode_chunks
+from ._words import Memo, encode_distinct
+from .word_bpe import PUNCTUATION
 
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
-#: Pair tests remembered, some 250 bytes each.
-PAIRS = 400_000
+#: Pair tests remembered, some 100 bytes each, and steps of the window, some 300.
+PAIRS, STEPS = 400_000, 200_000
 PIECE, BEGINNING = 1, 2
 
 
@@ -61,10 +65,23 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class _Alive(dict):
+    """The longest beginning of a piece that ends at a position, and the steps from it by each next character."""
+
+    __slots__ = ("step", "text")
+
+    def __init__(self, step: Callable[[_Alive, str], tuple], text: str):
+        super().__init__()
+        self.step, self.text = step, text
+
+    def __missing__(self, c: str) -> tuple:
+        return self.step(self, c)
+
+
 class PieceModel:
     """The pieces, scores and normalisation of a model file."""
 
-    def __init__(self, path: str | None = None, proto: bytes | None = None, memo: int = 96 << 20):
+    def __init__(self, path: str | None = None, proto: bytes | None = None, memo: int = 160 << 20, parts: int = 32 << 20):
         from sentencepiece import SentencePieceProcessor
         if proto is None:
             with open(path, "rb") as f:
@@ -92,6 +109,10 @@ class PieceModel:
         self.bytes = [found[f"<0x{b:02X}>"] for b in range(256)] if len(found) == 256 else None
         #: Neighbours inside pieces: between other characters no piece can stand.
         self.inside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
+        #: Texts may be cut between such neighbours (without byte pieces, a run of unknown characters is one unknown).
+        self.cuts = self.kind == BPE and self.bytes is not None
+        #: Punctuation that no piece has behind a letter.
+        self.closing = "".join(c for c in PUNCTUATION if self.cuts and not any(p[0].isalpha() and p[1] == c for p in self.inside))
         self.chunked = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
         self.newline_cuts = self.chunked and not any("\n" in p for p in self.ids)
         text = [lib.id_to_piece(i).replace(BLANK, " ").encode() for i in range(n)]
@@ -103,8 +124,13 @@ class PieceModel:
             elif lib.is_byte(i):
                 text[i] = bytes([int(lib.id_to_piece(i)[3:5], 16)])
         self.table = pa.array(text, pa.large_binary())
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.memo, self.parts = Memo(self._chunk, memo), Memo(self._packed, memo)
+        #: Codes of the walk: 0 is the start, then the pieces, then a code for each other character.
+        self.names = ["", *self.ids]
+        self.codes = {p: i for i, p in enumerate(self.names) if p}
+        self.span = len(self.names) + 0x110000
+        self.pairs: dict[int, bool] = {}
+        self.root, self.alive, self.steps = _Alive(self._step, ""), {}, 0
+        self.memo, self.parts = Memo(self._chunk, memo), Memo(self._packed, parts)
 
     def merge(self, text: str) -> list[str]:
         """The merges on a short text: the best-scoring neighbours first, the leftmost of equals."""
@@ -117,15 +143,35 @@ class PieceModel:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def stands(self, before: str, piece: str) -> bool:
-        """Whether the merges leave ``piece`` as it is after ``before`` (empty: at the start)."""
-        key = (before, piece)
-        if (ok := self.pairs.get(key)) is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[key] = self.merge(before + piece) == ([before, piece] if before else [piece])
+    def name(self, code: int) -> str:
+        return self.names[code] if code < len(self.names) else chr(code - len(self.names))
+
+    def code(self, c: str) -> int:
+        return self.codes.get(c) or len(self.names) + ord(c)
+
+    def stands(self, pair: int) -> bool:
+        """Whether the merges leave a piece as it is after the one before it (``span`` times that one's code and its own)."""
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        before, piece = map(self.name, divmod(pair, self.span))
+        ok = self.pairs[pair] = self.merge(before + piece) == ([before, piece] if before else [piece])
         return ok
 
+    def _step(self, alive: _Alive, c: str) -> tuple[tuple[tuple[int, int], ...], _Alive]:
+        """The pieces that end with ``c`` (length and code, longest first) and what is alive after it."""
+        if self.steps >= STEPS:
+            for known in [self.root, *self.alive.values()]:
+                known.clear()
+            self.alive, self.steps = {}, 0
+        text = alive.text + c
+        tails = [text[k:] for k in range(len(text))]
+        ends = tuple((len(t), self.codes[t]) for t in tails if self.forms.get(t, 0) & PIECE)
+        rest = next((t for t in tails if self.forms.get(t, 0) & BEGINNING), "")
+        after = self.alive.setdefault(rest, _Alive(self._step, rest)) if rest else self.root
+        alive[c] = out = ends, after
+        self.steps += 1
+        return out
+
     def piece_ids(self, piece: str) -> list[int]:
         if (i := self.ids.get(piece)) is not None:
             return [i]
@@ -140,18 +186,18 @@ class PieceModel:
 
     def _walk(self, chars: Iterable[str], out: list[int]) -> Iterator[None]:
         """Appends the ids of a normalised text to ``out``; stops whenever some have been committed."""
-        seen, base, at = "", 0, 0        # the window's text, its start, the position reached
-        last, score = [""], [0.0]        # per position of the window: last piece, best score
-        alive = [0]
-        bpe, forms, ids, pairs, stands = self.kind == BPE, self.forms, self.ids, self.pairs, self.stands
+        base, at, alive = 0, 0, self.root  # the window's start, the position reached
+        last, score = [0], [0.0]           # per position of the window: last piece, best score
+        bpe, names, ids, pairs, stands, span = self.kind == BPE, self.names, self.ids, self.pairs, self.stands, self.span
+        named = len(names)
         after_unknown = False
 
         def commit(upto: int) -> None:
-            nonlocal seen, base, after_unknown
-            path, end = [], upto
-            while end > base:
-                path.append(last[end - base])
-                end -= len(path[-1])
+            nonlocal base, after_unknown
+            path, end = [], upto - base
+            while end > 0:
+                path.append(piece := names[last[end]] if last[end] < named else self.name(last[end]))
+                end -= len(piece)
             for piece in reversed(path):
                 i = ids.get(piece)
                 if i is not None:
@@ -162,49 +208,48 @@ class PieceModel:
                         out.extend(self.piece_ids(piece))
                     after_unknown = True
             cut = upto - base
-            seen, base = seen[cut:], upto
+            base = upto
             del last[:cut], score[:cut]
 
         for c in chars:
-            seen += c
+            ends, alive = alive[c]
             at += 1
-            best, best_score, still = None, 0.0, []
-            for j in alive:
-                piece = seen[j - base:]
-                form = forms.get(piece, 0)
-                if form & PIECE:
-                    if bpe:
-                        if best is None:
-                            before = last[j - base]
-                            ok = pairs.get((before, piece))
-                            if stands(before, piece) if ok is None else ok:
-                                best = piece
-                    else:
-                        s = score[j - base] + self.scores[piece]
-                        if best is None or s > best_score:
-                            best, best_score = piece, s
-                if form & BEGINNING:
-                    still.append(j)
-            if best is None or not bpe and c not in ids and score[-1] + self.unknown_score > best_score:
-                best, best_score = c, score[-1] + self.unknown_score
-            last.append(best)
-            score.append(best_score)
-            still.append(at)
-            alive = still
-            if len(alive) == 1:
+            if bpe:
+                for size, code in ends:
+                    pair = last[-size] * span + code
+                    ok = pairs.get(pair)
+                    if stands(pair) if ok is None else ok:
+                        break
+                else:
+                    code = self.code(c)
+            else:
+                code, best = None, 0.0
+                for size, piece in ends:
+                    s = score[-size] + self.scores[names[piece]]
+                    if code is None or s > best:
+                        code, best = piece, s
+                unknown = score[-1] + self.unknown_score
+                if code is None or c not in ids and unknown > best:
+                    code, best = self.code(c), unknown
+                score.append(best)
+            last.append(code)
+            if alive is self.root:
                 commit(at)
                 yield
             elif at - base >= 64 and at % 16 == 0:
                 # The last boundary that every alive position's path passes.
                 common = None
-                for j in alive:
-                    ends, e = {j}, j
-                    while e > base:
-                        e -= len(last[e - base])
-                        ends.add(e)
-                    common = ends if common is None else common & ends
-                if (to := max(common)) > base:
-                    commit(to)
+                for k in range(len(alive.text) + 1):
+                    if k < len(alive.text) and not self.forms.get(alive.text[k:], 0) & BEGINNING:
+                        continue
+                    e = at - base - len(alive.text) + k
+                    path = {e}
+                    while e > 0:
+                        e -= len(self.name(last[e]))
+                        path.add(e)
+                    common = path if common is None else common & path
+                if (to := max(common)) > 0:
+                    commit(base + to)
                     yield
         commit(at)
         yield
@@ -224,17 +269,25 @@ class PieceModel:
 
     def _raw(self, text: str) -> bytes:
         """Ids of a normalised text, cut where no piece can stand across."""
-        if len(text) > 64 or self.kind != BPE or not self.bytes:
+        if len(text) > 64 or not self.cuts or self.inside.issuperset(map(add, text, text[1:])):
             return self._packed(text)
         ends = [i for i in range(1, len(text)) if text[i - 1:i + 1] not in self.inside]
         return b"".join([self.parts[text[i:j]] for i, j in zip([0, *ends], [*ends, len(text)])])
 
+    def _distinct(self, chunks: pa.DictionaryArray) -> list[bytes]:
+        """Ids of each distinct chunk; a run of letters and the punctuation behind it are encoded on their own."""
+        words = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        cores = [w.rstrip(self.closing) for w in words]
+        cores = [c if c.isalpha() or c[:1] == "\n" and c[1:].isalpha() else w for w, c in zip(words, cores)]
+        memo, parts = self.memo, self.parts
+        return [memo[c] if len(c) == len(w) else memo[c] + parts[w[len(c):]] for w, c in zip(words, cores)]
+
     def encode(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not (self.plain and self.newline_cuts):
             return [self._packed(self.lib.normalize(t)) if t else b"" for t in texts.to_pylist()]
-        out = encode_chunks(pc.replace_substring(texts, "\n", " \n"), self.memo)
+        out = encode_distinct(pc.replace_substring(texts, "\n", " \n"), self._distinct)
         odd = pc.match_substring_regex(texts, f"  |^ | \n|{BLANK}| $").to_numpy(zero_copy_only=False)
         for i in np.flatnonzero(odd).tolist():  # runs of blanks belong to one chunk
             text = BLANK + texts[i].as_py().replace(" ", BLANK)

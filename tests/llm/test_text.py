@@ -135,6 +135,39 @@ def test_streaming_window_is_bounded(pieces):
     assert read < 200
 
 
+def test_steps_of_the_window_are_remembered(pieces, monkeypatch):
+    """A text met before is walked without looking up a piece; the steps remembered are bounded."""
+    looked = 0
+
+    class Forms(dict):
+        def get(self, *args):
+            nonlocal looked
+            looked += 1
+            return super().get(*args)
+    model = sentencepiece.PieceModel(sentencepiece.default_model())
+    model.forms = Forms(model.forms)
+    words = [model.lib.normalize(w) for w in ("thinginha", "aileèmentêeux", "licheinbeauung", "日本x")]
+    ids = [model.encode_ids(w) for w in words]
+    looked = 0
+    assert [model.encode_ids(w) for w in words] == ids and looked == 0
+    monkeypatch.setattr(sentencepiece, "STEPS", 7)
+    model = sentencepiece.PieceModel(sentencepiece.default_model())
+    for text in ODD + noise(40, 3):
+        if text:
+            assert list(model.stream(model.lib.normalize(text))) == model.lib.encode(text)
+        assert model.steps <= 7 and sum(map(len, [model.root, *model.alive.values()])) <= 7
+
+
+def test_words_and_closing_punctuation(pieces):
+    """A word takes one place in the memo whatever punctuation stands behind it; the ids are the library's."""
+    model = sentencepiece.PieceModel(sentencepiece.default_model())
+    data = ["Thnrew", "Thnrew.", "Thnrew, Thnrew?! x.", "(Thnrew) Thnrew's ..", "\nThnrew.\nThnrew\n.", "Thnrew.ed é. 日本. ▁."]
+    for text, raw in zip(data, model.encode(pa.array(data))):
+        assert np.frombuffer(raw, "<i4").tolist() == model.lib.encode(text), text
+    assert "Thnrew" in model.memo and not {"Thnrew.", "Thnrew,", "Thnrew?!"} & set(model.memo)
+    assert unigram(pieces).closing == ""
+
+
 def test_unigram_paths_are_the_best(pieces):
     model = unigram(pieces)
     assert model.kind == sentencepiece.UNIGRAM
